@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import binary, packing, sharding
+from . import binary, decontaminate, media, packing, quality, sharding, template
 
 QUERIES = {
+    "op1_media_columns": media.op1_media_columns,
+    "op3_benchmark_decontamination": decontaminate.op3_benchmark_decontamination,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
+    "op7_quality_classifier": quality.op7_quality_classifier,
     "op8_sharding": sharding.op8_sharding,
     "op9_token_binary": binary.op9_token_binary,
+    "op10_html_extraction": template.op10_html_extraction,
 }
 
 ORACLE_SQL: dict[str, str] = {}
