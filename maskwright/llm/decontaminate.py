@@ -86,5 +86,11 @@ def overlaps(docs: DataFrame, items: DataFrame, least: float = LEAST, bound: int
     return best.select("doc_id", "item_id", F.col("b.n_agreeing").alias("n_agreeing"), (F.col("b.n_agreeing") / F.col("b.n")).alias("overlap"), (-F.col("b.col2")).alias("start"))
 
 
+def clean(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFrame:
+    """The rows of docs, all columns, that overlap with no item."""
+    hit = overlaps(docs, items, least).select("doc_id").distinct()
+    return docs.join(hit, "doc_id", "left_anti").select(docs.columns)
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))

@@ -200,7 +200,8 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, width: int = WID
 
 def keep_first(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is its class's least."""
-    return docs.join(classes.filter("doc_id = class_id").select("doc_id").distinct(), "doc_id", "left_semi")
+    first = classes.filter("doc_id = class_id").select("doc_id").distinct()
+    return docs.join(first, "doc_id", "left_semi").select(docs.columns)
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import binary, chunks, decontaminate, jaccard, media, packing, quality, sharding, template
+from . import binary, chunks, decontaminate, jaccard, media, packing, quality, sharding, suffix, template
 
 QUERIES = {
     "op1_media_columns": media.op1_media_columns,
     "op2_substring_dedup": chunks.op2_substring_dedup,
     "op3_benchmark_decontamination": decontaminate.op3_benchmark_decontamination,
     "op4_ngram_jaccard_join": jaccard.op4_ngram_jaccard_join,
+    "op5_suffix_array_dedup": suffix.op5_suffix_array_dedup,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op7_quality_classifier": quality.op7_quality_classifier,
     "op8_sharding": sharding.op8_sharding,
