@@ -65,16 +65,15 @@ def canonical(lengths: np.ndarray) -> np.ndarray:
     return codes
 
 
-def decoding_table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each LONGEST-bit window: the id it starts with, and that code's length."""
-    ids, width = np.zeros(1 << LONGEST, dtype=np.uint32), np.zeros(1 << LONGEST, dtype=np.uint8)
+def decoding_table(lengths: np.ndarray) -> np.ndarray:
+    """For each LONGEST-bit window: the id it starts with, and from bit 27 on that code's length."""
+    table = np.zeros(1 << LONGEST, dtype=np.uint32)
     codes = canonical(lengths)
     for i in np.flatnonzero(lengths).tolist():
         n = int(lengths[i])
         at = int(codes[i]) << LONGEST - n
-        ids[at : at + (1 << LONGEST - n)] = i
-        width[at : at + (1 << LONGEST - n)] = n
-    return ids, width
+        table[at : at + (1 << LONGEST - n)] = i | n << 27
+    return table
 
 
 def write_bits(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[bytes, np.ndarray]:
@@ -91,18 +90,19 @@ def write_bits(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple
     return words.astype(">u8").tobytes()[: int(ends[-1] + 7 >> 3)], at[::SEGMENT]
 
 
-def read_bits(bits: bytes, checkpoints: np.ndarray, n: int, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+def read_bits(bits: bytes, checkpoints: np.ndarray, n: int, table: np.ndarray) -> np.ndarray:
     """All segments at once: one table lookup for each id."""
     raw = np.frombuffer(bits + bytes(8), dtype=np.uint8).astype(np.uint32)
+    words = raw[:-3] << 24 | raw[1:-2] << 16 | raw[2:-1] << 8 | raw[3:]
     at = checkpoints.astype(np.int64)
     out = np.zeros((SEGMENT, len(at)), dtype=np.uint32)
-    last = len(raw) - 4
+    most = 8 * (len(words) - 1)
     for k in range(SEGMENT):
-        i = np.minimum(at >> 3, last)
-        window = raw[i] << 24 | raw[i + 1] << 16 | raw[i + 2] << 8 | raw[i + 3]
-        window = (window >> (32 - LONGEST - (at & 7)).astype(np.uint32)) & ((1 << LONGEST) - 1)
-        out[k] = table[0][window]
-        at += table[1][window]
+        window = words[at >> 3] << (at & 7).astype(np.uint32) >> np.uint32(32 - LONGEST)
+        found = table[window]
+        out[k] = found & np.uint32(0x7FFFFFF)
+        at += found >> np.uint32(27)
+        np.minimum(at, most, out=at)
     return out.T.reshape(-1)[:n]
 
 

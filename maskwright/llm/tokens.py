@@ -31,44 +31,35 @@ class _Words(dict):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        vocab = self.tok.get_vocab()
-        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
-        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.model, self.bytes = self.tok.model, {}
         self[""] = b""
 
     def _encode(self, part: str) -> bytes:
         return np.asarray(self.tok.encode(part, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn_pieces(self, pieces: list[str]) -> None:
-        """Encode new words and runs of punctuation together; each ends where a token with an end-of-word mark does."""
-        for at in range(0, len(pieces), 4096):
-            some = pieces[at : at + 4096]
-            [found] = self.tok.encode_batch_fast([" ".join(some)], add_special_tokens=False)
-            ids = np.asarray(found.ids, dtype="<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) != len(some):
-                self.update((p, self._encode(p)) for p in some)
-                continue
-            raw, start = ids.tobytes(), 0
-            for piece, end in zip(some, (cuts * 4).tolist()):
-                self[piece], start = raw[start:end], end
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a word or a run of punctuation, by the file's model alone: the rules before it change nothing but the alphabet."""
+        if not piece.isascii():
+            for c in piece:
+                if c not in self.bytes:
+                    [(shown, _)] = self.tok.pre_tokenizer.pre_tokenize_str(c)
+                    self.bytes[c] = shown
+            piece = "".join(map(self.bytes.__getitem__, piece))
+        return np.array([t.id for t in self.model.tokenize(piece)], dtype="<u4").tobytes()
 
     def learn(self, parts: set[str]) -> None:
-        plain, pieces = [], set()
         for part in parts:
             if m := _PLAIN.match(part):
                 word, rest = m[1].lower(), m[2]
-                if word not in self:
-                    pieces.add(word)
-                if rest and rest not in self:
-                    pieces.add(rest)
-                plain.append((part, word, rest))
+                if (ids := self.get(word)) is None:
+                    ids = self[word] = self._piece(word)
+                if rest:
+                    if (more := self.get(rest)) is None:
+                        more = self[rest] = self._piece(rest)
+                    ids += more
+                self[part] = ids
             else:
                 self[part] = self._encode(part)
-        self._learn_pieces(list(pieces))
-        for part, word, rest in plain:
-            if rest or part != word:
-                self[part] = self[word] + self[rest]
 
 
 _loaded: dict[str, _Words] = {}
@@ -83,5 +74,15 @@ def encode(path: str, texts: list[str], end_id: int | None = None) -> list[bytes
         words.clear()
         words[""] = b""
     parts = [text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for text in texts]
-    words.learn({p for some in parts for p in some if p not in words})
-    return [b"".join(map(words.__getitem__, some)) + end for some in parts]
+    found = [list(map(words.get, some)) for some in parts]
+    gaps, new = [], set()
+    for k, ids in enumerate(found):
+        at = -1
+        for _ in range(ids.count(None)):
+            at = ids.index(None, at + 1)
+            gaps.append((k, at))
+            new.add(parts[k][at])
+    words.learn(new)
+    for k, at in gaps:
+        found[k][at] = words[parts[k][at]]
+    return [b"".join(ids) + end for ids in found]
