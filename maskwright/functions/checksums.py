@@ -12,7 +12,7 @@ def digits(text: Column) -> Column:
 
 def luhn(text: Column) -> Column:
     d = digits(text)
-    return F.length(d).between(12, 19) & F.luhn_check(d)
+    return F.length(d).between(12, 19) & F.call_function("luhn_check", d)
 
 
 def _dihedral() -> list[list[int]]:

@@ -8,6 +8,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import HANDLE, bounded, confirm_text, guarded, is_handle, looks_like_pii, name_score, planner_score
 from .labels import allowed_sink
@@ -168,7 +169,7 @@ def _balanced(text: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _reply_json(replies: pd.Series) -> pd.Series:
     return replies.map(_balanced)
 

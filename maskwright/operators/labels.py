@@ -68,11 +68,13 @@ SINKS = (
 
 
 def first_match(text: Column, table: tuple) -> Column:
-    """struct(cls, p) of the first row whose words the text has; null if none."""
-    found = F.lit(None)
-    for words, cls, p in reversed(table):
-        found = F.when(text.rlike("(?i)" + bounded(words)), F.struct(F.lit(cls).alias("cls"), F.lit(p).alias("p"))).otherwise(found)
-    return found
+    """Place (from 1) of the first row whose words the text has; 0 if none."""
+    return F.array_position(F.array(*[F.coalesce(text.rlike("(?i)" + bounded(words)), F.lit(False)) for words, _, _ in table]), F.lit(True))
+
+
+def matched(place: Column, table: tuple, column: int) -> Column:
+    """That row's class (1) or probability (2); null without a match."""
+    return F.get(F.array(*[F.lit(row[column]) for row in table]), place.cast("int") - 1)
 
 
 def _autocomplete(token: Column) -> Column:
@@ -91,17 +93,22 @@ def detect(elements: DataFrame) -> DataFrame:
     image = (F.col("role") == "image") | (F.col("tag") == "img")
     token = F.element_at(F.split(F.lower(F.coalesce("autocomplete", F.lit(""))), r"\s+"), -1)
     made = lambda where, cls, p: F.struct(F.lit(where).alias("field"), cls.alias("cls"), p.cast("double").alias("p"))
-    near = first_match(_joined(F.col("name"), F.col("label"), F.col("placeholder"), F.col("parent_name")), IMAGE_WORDS)
-    word = first_match(_joined(F.col("name"), F.col("label"), F.col("placeholder"), F.col("type")), KEYWORDS)
+    rows = rows.select(
+        "*",
+        first_match(_joined(F.col("name"), F.col("label"), F.col("placeholder"), F.col("parent_name")), IMAGE_WORDS).alias("near_"),
+        first_match(_joined(F.col("name"), F.col("label"), F.col("placeholder"), F.col("type")), KEYWORDS).alias("word_"),
+        _autocomplete(token).alias("auto_"),
+    )
+    near, word = F.col("near_"), F.col("word_")
     secret = (F.coalesce("role", F.lit("")) == "password") | (F.coalesce("type", F.lit("")) == "password")
     found = (
-        F.when(image, F.when(near.isNotNull(), made("element", near["cls"], near["p"])))
+        F.when(image, F.when(near > 0, made("element", matched(near, IMAGE_WORDS, 1), matched(near, IMAGE_WORDS, 2))))
         .when(secret, made("value", F.lit("password"), F.lit(1.0)))
-        .when(_autocomplete(token).isNotNull(), made("value", _autocomplete(token), F.lit(0.95)))
+        .when(F.col("auto_").isNotNull(), made("value", F.col("auto_"), F.lit(0.95)))
         .when(F.col("type") == "email", made("value", F.lit("email"), F.lit(0.93)))
         .when(F.col("type") == "tel", made("value", F.lit("phone"), F.lit(0.93)))
-        .when(word.isNotNull() & field, made("value", word["cls"], word["p"]))
-        .when(word.isNotNull(), made("text", word["cls"], word["p"] - 0.25))
+        .when((word > 0) & field, made("value", matched(word, KEYWORDS, 1), matched(word, KEYWORDS, 2)))
+        .when(word > 0, made("text", matched(word, KEYWORDS, 1), matched(word, KEYWORDS, 2) - 0.25))
     )
     return rows.select("scope", "id", "ord", found.alias("d")).filter("d is not null").select("scope", "id", "ord", "d.*", F.lit("dom").alias("source"))
 

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import checksums as C
 from ..functions.text import EDGE, bounded, entropy
@@ -56,7 +57,11 @@ BY_NAME = {r.name: r for r in RULES}
 
 #: Whatever any rule can match has one of these; everything else skips the scan.
 CANDIDATE = r"[0-9]{4}|@|[0-9][/\-.](?:0?[1-9]|1[0-2])[/\-.]|[0-9] ?-?[0-9]|[-_][A-Za-z0-9_-]{16}|[A-Za-z0-9_\-+/=]{24}"
-HITS = "array<struct<cls:string,start:int,end:int,text:string,p:double>>"
+HITS = T.ArrayType(
+    T.StructType(
+        [T.StructField("cls", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("p", T.DoubleType())]
+    )
+)
 
 
 def candidate(text: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import prefix
+from ..session import cut
 
 REMOVED = "[REMOVED]"
 
@@ -59,7 +60,7 @@ def redact(elements: DataFrame, findings: DataFrame, profile: DataFrame | None =
 
     Value disposition, first that applies: any drop -> sensitive; a whole-value substitute -> its handle; spans -> the
     substituted string; harmless controls echo; a blank field -> wants, or empty. profile: cls, ord, value."""
-    f = findings.filter("anchored")
+    f = cut(findings.filter("anchored"))
     base = elements.select("scope", "ord", "id", "value", "text")
     raw = F.when(F.col("field") == "value", F.col("value")).otherwise(F.col("text"))
     met = f.filter("fate = 'substitute' and field in ('value', 'text')").drop("ord").join(base, ["scope", "id"]).withColumn("raw", raw).filter("raw is not null and raw <> ''")
@@ -75,7 +76,7 @@ def redact(elements: DataFrame, findings: DataFrame, profile: DataFrame | None =
         first = f.filter("field = 'value'").groupBy("scope", "id").agg(F.max_by("cls", "p").alias("cls"))
         blank = elements.filter("coalesce(value, '') = ''").join(first, ["scope", "id"]).join(F.broadcast(slots), "cls").select("scope", "id", "cls", slots["value"], "ord")
         minted = minted.unionByName(blank.select("scope", "cls", "value", F.struct(F.col("ord").alias("o"), F.lit(0).alias("f"), F.lit(0).alias("s")).alias("place")))
-    vault = mint(minted).select("scope", "cls", "value", "handle").distinct()
+    vault = cut(mint(minted).select("scope", "cls", "value", "handle").distinct())
     named = spans.join(vault, ["scope", "cls", "value"]).select("scope", "id", "field", F.struct("start", "end", F.col("handle").alias("rep")).alias("s"))
     gone = f.filter("fate = 'drop' and field = 'text' and start is not null").select("scope", "id", "field", F.struct("start", "end", F.lit(REMOVED).alias("rep")).alias("s"))
     lists = named.unionByName(gone).groupBy("scope", "id").pivot("field", ["value", "text"]).agg(F.collect_list("s"))

@@ -8,8 +8,10 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import HANDLE, bounded, entropy, fnv1a, strip_handles
+from ..session import cut
 from .patterns import CANDIDATE, scan_udf
 from .redact import serialise
 
@@ -50,7 +52,7 @@ def secret_like(payloads: DataFrame) -> DataFrame:
     return rows.filter(~F.col("token").rlike(f"^{HANDLE}$") & ~F.col("token").rlike("^sanitized/|^el_")).filter(entropy(F.col("token")) >= 4.2)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _unknown(payloads: pd.Series) -> pd.Series:
     allowed = frozenset(ALLOWED_KEYS)
 
@@ -106,8 +108,9 @@ def escalate(safe: DataFrame, vault: DataFrame, masks: DataFrame | None = None,
     """scope, payload, passed, retries: scopes that fail are hardened and verified again; what still fails is refused (payload null)."""
     done = None
     for k in range(retries + 1):
-        payloads = serialise(safe)
-        verdict = payloads.join(verify(payloads, vault, masks).select("scope", "passed"), "scope").withColumn("retries", F.lit(k))
+        safe = cut(safe)
+        payloads = cut(serialise(safe))
+        verdict = cut(payloads.join(verify(payloads, vault, masks).select("scope", "passed"), "scope").withColumn("retries", F.lit(k)))
         last = k == retries
         ended = verdict if last else verdict.filter("passed")
         done = ended if done is None else done.unionByName(ended)

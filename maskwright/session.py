@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -23,3 +23,11 @@ def ship(spark: SparkSession) -> SparkSession:
                 z.write(f, f.relative_to(top.parent))
         sc.addPyFile(str(target))
     return spark
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df checkpointed in the folder that executors share: later uses read it instead of computing it again."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/maskwright")
+    return df.checkpoint()
