@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import box, containment, iou, overlaps
+from ..functions.geometry import box, containment, intersection, iou, overlaps
 from ..schema import opaque
 
 CELL = 32
@@ -91,65 +90,43 @@ def anchor(vision: DataFrame, elements: DataFrame, least_iou: float = 0.5, least
     return scored.withColumn("r", F.row_number().over(first)).filter("r = 1").drop("r", "ord")
 
 
-def _fold(columns: list[str], keep):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        return group.iloc[keep(group)][columns]
+def _fold(boxes: DataFrame, keys: list[str], order: list[Column], clashes, cap: int | None = None) -> DataFrame:
+    """Greedy choice per group as a native fold: in order, a row stays unless it clashes with one that stays."""
+    rest = [c for c in boxes.columns if c not in keys]
+    lists = boxes.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], F.struct(*rest).alias("row")))).alias("rows"))
+    rows = F.transform("rows", lambda r: r["row"])
+    none = F.filter(rows, lambda r: F.lit(False))
 
-    return run
+    def step(kept: Column, r: Column) -> Column:
+        refused = F.exists(kept, lambda k: clashes(r, k))
+        if cap is not None:
+            refused = refused | (F.size(kept) >= cap)
+        return F.when(refused, kept).otherwise(F.array_append(kept, r))
 
+    chosen = lists.select(*keys, F.explode(F.aggregate(rows, none, step)).alias("r"))
+    return chosen.select(*[F.col(c) if c in keys else F.col(f"r.{c}").alias(c) for c in boxes.columns])
 
-def _overlap(x, y, w, h, i, j):
-    ix = np.minimum(x[i] + w[i], x[j] + w[j]) - np.maximum(x[i], x[j])
-    iy = np.minimum(y[i] + h[i], y[j] + h[j]) - np.maximum(y[i], y[j])
-    return np.maximum(ix, 0) * np.maximum(iy, 0)
+
+def _box(r: Column) -> tuple:
+    return tuple(r[c] for c in "xywh")
 
 
 def nms(boxes: DataFrame, least: float = 0.7, most_iou: float = 0.4, cap: int = 24) -> DataFrame:
     """Greedy suppression per scope by score; ties by box_id."""
-    columns = boxes.columns
-
-    def keep(group: pd.DataFrame) -> list[int]:
-        x, y, w, h = (group[c].to_numpy(float) for c in "xywh")
-        kept: list[int] = []
-        for i in np.lexsort((group["box_id"], -group["score"].to_numpy())):
-            j = np.array(kept, dtype=int)
-            both = _overlap(x, y, w, h, i, j)
-            if len(kept) < cap and not (both > most_iou * (w[i] * h[i] + w[j] * h[j] - both)).any():
-                kept.append(int(i))
-        return kept
-
-    return boxes.filter(F.col("score") >= least).groupBy("scope").applyInPandas(_fold(columns, keep), boxes.schema)
+    some = boxes.filter(F.col("score") >= least)
+    return _fold(some, ["scope"], [-F.col("score"), F.col("box_id")], lambda a, b: iou(_box(a), _box(b)) > most_iou, cap)
 
 
 def dedupe_regions(boxes: DataFrame, most: float = 0.35) -> DataFrame:
     """Of boxes of one class that share over `most` of the smaller one's area, the likelier stays."""
-    columns = boxes.columns
-
-    def keep(group: pd.DataFrame) -> list[int]:
-        x, y, w, h = (group[c].to_numpy(float) for c in "xywh")
-        kept: list[int] = []
-        for i in np.lexsort((group["box_id"], -group["score"].to_numpy())):
-            j = np.array(kept, dtype=int)
-            if not (_overlap(x, y, w, h, i, j) > most * np.minimum(w[i] * h[i], w[j] * h[j])).any():
-                kept.append(int(i))
-        return kept
-
-    return boxes.groupBy("scope", "cls").applyInPandas(_fold(columns, keep), boxes.schema)
+    area = lambda r: r["w"] * r["h"]
+    return _fold(boxes, ["scope", "cls"], [-F.col("score"), F.col("box_id")], lambda a, b: intersection(_box(a), _box(b)) > most * F.least(area(a), area(b)))
 
 
 def add_unless_overlapping(regions: DataFrame, boxes: DataFrame) -> DataFrame:
     """Regions, and boxes in order of `ord` that overlap neither a region nor a box added before."""
     both = regions.select("scope", F.lit(-1).alias("ord"), *"xywh").unionByName(boxes.select("scope", "ord", *"xywh"))
-
-    def keep(group: pd.DataFrame) -> list[int]:
-        x, y, w, h = (group[c].to_numpy(float) for c in "xywh")
-        ord_, kept = group["ord"].to_numpy(), []
-        for i in np.argsort(ord_, kind="stable"):
-            if ord_[i] < 0 or not (_overlap(x, y, w, h, i, np.array(kept, dtype=int)) > 0).any():
-                kept.append(int(i))
-        return kept
-
-    return both.groupBy("scope").applyInPandas(_fold(both.columns, keep), both.schema)
+    return _fold(both, ["scope"], [F.col(c) for c in ("ord", *"xywh")], lambda a, b: (a["ord"] >= 0) & overlaps(_box(a), _box(b)))
 
 
 def union_box(df: DataFrame, *keys: str) -> DataFrame:

@@ -37,9 +37,9 @@ def _(spark, d):
 PIXELS = "SELECT CAST(user_id AS BIGINT) AS scope, CAST((event_id * 2) % 128 AS INT) AS x, CAST(floor(event_id / 64) AS INT) % 96 AS y, CAST(floor(value * 7) AS BIGINT) % 256 AS luma FROM {events}"
 
 
-@query("a09_cell_variance", f"SELECT scope, CAST(x // 32 AS BIGINT) AS cx, CAST(y // 32 AS BIGINT) AS cy, round(CASE WHEN count(*) > 1 THEN greatest(0.0, var_pop(luma)) ELSE 0.0 END, 3) AS variance FROM {plain(PIXELS)} WHERE x % 2 = 0 AND y % 2 = 0 GROUP BY scope, cx, cy")
+@query("a09_cell_variance", f"SELECT scope, CAST(x // 32 AS BIGINT) AS cx, CAST(y // 32 AS BIGINT) AS cy, round(CASE WHEN count(*) > 1 THEN greatest(0.0, var_pop(luma)) ELSE 0.0 END + 1e-7, 3) AS variance FROM {plain(PIXELS)} WHERE x % 2 = 0 AND y % 2 = 0 GROUP BY scope, cx, cy")
 def _(spark, d):
-    return spatial.cell_variance(derived(spark, d, PIXELS)).select("scope", "cx", "cy", F.round("variance", 3).alias("variance"))
+    return spatial.cell_variance(derived(spark, d, PIXELS)).select("scope", "cx", "cy", F.round(F.col("variance") + 1e-7, 3).alias("variance"))
 
 
 @query("g02_candidate_cells", f"SELECT scope, cx, cy FROM (SELECT scope, CAST(x // 32 AS BIGINT) AS cx, CAST(y // 32 AS BIGINT) AS cy, var_pop(luma) AS v, count(*) AS n FROM {plain(PIXELS)} WHERE x % 2 = 0 AND y % 2 = 0 GROUP BY scope, cx, cy) WHERE v >= 120 AND n > 1 AND NOT (cx = 1 AND cy = 1)")
