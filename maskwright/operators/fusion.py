@@ -91,8 +91,8 @@ def fuse(elements: DataFrame, detections: DataFrame) -> DataFrame:
     visual = F.col("cls").isin(*VISUAL)
     settled = F.when(visual | F.col("ord").isNull() | (F.col("p") >= KEEP), F.col("p")).otherwise(moved)
     least = F.when(visual, F.lit(DISCARD)).otherwise(F.lit(KEEP))
-    stands = (F.col("p") >= DISCARD) & (settled >= least)
-    found = groups.filter(stands).select(*keys, "ord", settled.alias("p"), "sources", fate(F.col("cls")).alias("fate"), F.col("ord").isNotNull().alias("anchored"))
+    scored = groups.select(*keys, "ord", "sources", F.col("p").alias("raw_p"), F.explode_outer(F.array(settled)).alias("p"))
+    found = scored.filter((F.col("raw_p") >= DISCARD) & (F.col("p") >= least)).select(*keys, "ord", "p", "sources", fate(F.col("cls")).alias("fate"), F.col("ord").isNotNull().alias("anchored"))
     dropped = found.filter("field = 'value' and fate = 'drop'").select("scope", "id").distinct().withColumn("gone", F.lit(True))
     kept = found.join(dropped, ["scope", "id"], "left").filter("gone is null or field <> 'value' or fate = 'drop'")
     return kept.drop("gone")

@@ -110,7 +110,8 @@ def detect(elements: DataFrame) -> DataFrame:
         .when((word > 0) & field, made("value", matched(word, KEYWORDS, 1), matched(word, KEYWORDS, 2)))
         .when(word > 0, made("text", matched(word, KEYWORDS, 1), matched(word, KEYWORDS, 2) - 0.25))
     )
-    return rows.select("scope", "id", "ord", found.alias("d")).filter("d is not null").select("scope", "id", "ord", "d.*", F.lit("dom").alias("source"))
+    # explode_outer of one value keeps the filter above it, so that the rules are evaluated once.
+    return rows.select("scope", "id", "ord", F.explode_outer(F.array(found)).alias("d")).filter("d is not null").select("scope", "id", "ord", "d.*", F.lit("dom").alias("source"))
 
 
 def allowed_sink(cls: Column, role: Column, tag: Column, kind: Column, name: Column, label: Column, placeholder: Column, autocomplete: Column, height: Column) -> Column:

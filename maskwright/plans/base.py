@@ -33,7 +33,7 @@ FROM {customer}
 #: Boxes by order: three kinds of rectangle with a probability each.
 BOXES = """
 SELECT l_orderkey AS scope, CAST(l_linenumber AS INT) AS ord, CAST(l_partkey % 600 AS INT) AS x, CAST(l_suppkey % 400 AS INT) AS y, CAST(20 + l_quantity AS INT) AS w, CAST(20 + l_partkey % 60 AS INT) AS h,
-  CAST(l_discount AS DOUBLE) AS p, CAST(l_tax AS DOUBLE) AS q, l_returnflag AS cls, l_shipdate AS at
+  CAST(l_discount AS DOUBLE) AS p, CAST(l_tax AS DOUBLE) AS q, l_returnflag AS cls, l_shipdate AS shipped
 FROM {lineitem}
 """
 

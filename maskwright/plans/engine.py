@@ -135,12 +135,12 @@ def _(spark, d):
     return spatial.classify(derived(spark, d, LABELLED)).select("scope", "box_id", six(F.col("score")).alias("score"))
 
 
-@query("w04_reading_order", f"SELECT scope, ord, x, y, row_number() OVER (PARTITION BY scope ORDER BY y, x, ord, w, h, p, q, at) AS reading FROM {_B}")
+@query("w04_reading_order", f"SELECT scope, ord, x, y, row_number() OVER (PARTITION BY scope ORDER BY y, x, ord, w, h, p, q, shipped) AS reading FROM {_B}")
 def _(spark, d):
     from pyspark.sql import Window
 
     rows = derived(spark, d, BOXES)
-    return rows.select("scope", "ord", "x", "y", F.row_number().over(Window.partitionBy("scope").orderBy("y", "x", "ord", "w", "h", "p", "q", "at")).cast("long").alias("reading"))
+    return rows.select("scope", "ord", "x", "y", F.row_number().over(Window.partitionBy("scope").orderBy("y", "x", "ord", "w", "h", "p", "q", "shipped")).cast("long").alias("reading"))
 
 
 @query("w07_top_margin", f"SELECT scope, top, round(top - second, 6) AS margin FROM (SELECT scope, w AS top, lead(w) OVER (PARTITION BY scope ORDER BY w DESC, ord) AS second, row_number() OVER (PARTITION BY scope ORDER BY w DESC, ord) AS r FROM {_B}) WHERE r = 1")
