@@ -125,7 +125,7 @@ def from_png(png: bytes) -> tuple[bytes, int]:
     while at < len(png):
         n, kind = struct.unpack(">I4s", png[at : at + 8])
         body = png[at + 8 : at + 8 + n]
-        if zlib.crc32(kind + body) != struct.unpack(">I", png[at + 8 + n : at + 12 + n])[0]:
+        if struct.pack(">I", zlib.crc32(kind + body)) != png[at + 8 + n : at + 12 + n]:
             raise ValueError("a stored medium is damaged")
         if kind == b"tEXt" and body.startswith(b"length\0"):
             length = int(body[7:])
