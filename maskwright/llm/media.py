@@ -180,7 +180,9 @@ def resolve(found: DataFrame, key: str, known: DataFrame) -> DataFrame:
     numbered = found.withColumn("row_", F.monotonically_increasing_id())
     flat = numbered.select(key, "row_", F.explode_outer("items").alias("i")).select(key, "row_", F.col("i.*"))
     names = [c for c in known.columns if c != "digest"]
-    joined = flat.join(known.withColumnRenamed("digest", "known_"), F.col("digest") == F.col("known_"), "left")
+    # Text blocks have no digest; a key of their own spreads them over the join's tasks.
+    key_ = F.coalesce("digest", F.concat(F.lit("\t"), F.col("row_").cast("string")))
+    joined = flat.withColumn("key_", key_).join(known.withColumnRenamed("digest", "key_"), "key_", "left")
     item = F.struct("position", "kind", "text", "digest", "caption", *names)
     return joined.groupBy("row_", key).agg(F.array_sort(F.collect_list(F.when(F.col("position").isNotNull(), item))).alias("resolved")).drop("row_")
 
