@@ -108,6 +108,7 @@ def repeated_spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """doc_id, n_repeated (bytes), spans (start, end of what is cut), only for documents with repeated stretches."""
     chunks = common.materialise(chunk(docs), "chunks")
     sums = chunks.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).filter("n > 1").drop("n")
+    sums = common.materialise(sums, "repeated-chunks")  # a plain table: Spark can then split a hot digest's side of the join
     met = chunks.join(sums, "digest")
     # Within its first document a digest's first place is the least one; that is decided where the document's spans are gathered.
     per_doc = met.groupBy("doc_id").agg(F.collect_list(F.struct("at", "size", (F.col("doc_id") == F.col("first_doc")).alias("own"), F.when(F.col("doc_id") == F.col("first_doc"), F.col("digest")).alias("digest"))).alias("parts"))
