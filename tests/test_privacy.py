@@ -67,7 +67,7 @@ FIXTURE = [
     {"name": "Payment", "role": "text", "tag": "p", "text": "Pay to asha@okaxis before Friday."},
     {"name": "Contact", "role": "text", "tag": "p", "text": "mail asha@example.com or call 9876543211"},
     {"name": "Checksum", "role": "text", "tag": "p", "text": "id 223456789019 and 4111 1111 1111 1112"},
-    {"name": "Order number", "role": "text", "tag": "p", "text": "Order number: 9876543210"},
+    {"name": "Order number", "role": "text", "tag": "p", "text": "Order number: 9876500001"},
     {"name": "Years of experience", "role": "select", "tag": "select", "value": "2-4"},
     {"name": "Notice period", "value": None},
 ]
