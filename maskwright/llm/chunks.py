@@ -7,7 +7,7 @@ the others are cut out. Sums per digest are built map-side and occurrences meet
 Spark splits where a digest is hot; a document's spans are gathered, never a digest's documents.
 
 Defined results: null and empty texts have no chunks; cuts never split a character; rows with equal doc_id are
-one document's repeated rows: their chunks count as occurrences, and each such row loses the same spans; an empty table
+one document's repeated rows: their chunks count as occurrences, and each such row loses the same spans; rows without a doc_id lose nothing; an empty table
 gives no row; other columns are kept by `cut` and ignored by the rest.
 """
 

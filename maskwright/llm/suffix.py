@@ -11,7 +11,7 @@ suffix-array interval that deep and their ends, before the first and behind the
 `most` different contexts is spread over tasks by hashes of its single windows instead, with the same result.
 
 Defined results: null and empty texts, and those shorter than a window, lose nothing; repeated rows are documents of their
-own, so a row as long as a window that occurs twice is removed as a whole; an empty table gives no row; other columns are ignored.
+own, so a row as long as a window that occurs twice is removed as a whole; a null doc_id is an id like any other; an empty table gives no row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -318,9 +318,10 @@ def covered(found: list[dict] | None) -> list[tuple[int, int]]:
 
 def dedup(docs: DataFrame, most: int = MOST) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans."""
-    rows = common.doc_columns(docs).select("doc_id", F.xxhash64("text").alias("version"), "text")
-    found = common.materialise(repeated_runs(rows, most), "runs")
-    met = rows.join(found, ["doc_id", "version"], "left").select("doc_id", "runs", "text")
+    own = F.col("doc_id").alias("own_id")
+    rows = common.doc_columns(docs).select(own, F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), F.xxhash64("text").alias("version"), "text")
+    found = common.materialise(repeated_runs(rows.drop("own_id"), most), "runs")
+    met = rows.join(found, ["doc_id", "version"], "left").select(F.col("own_id").alias("doc_id"), "runs", "text")
 
     def run(batches):
         for ids, runs_, texts in common.steps(batches, "doc_id", "runs", "text"):

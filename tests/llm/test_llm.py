@@ -85,6 +85,10 @@ def test_chunk_dedup(spark):
     assert kept.columns == docs(spark).columns
     assert {r["doc_id"]: r["n_chars"] for r in kept.collect()}[8] == len(got[8]["text"])
     assert chunks.dedup(empty(spark)).count() == 0
+    nameless = docs(spark, [PASSAGE, PASSAGE]).selectExpr("cast(null as long) as doc_id", "text")
+    assert {r["n_removed"] for r in chunks.dedup(nameless).collect()} == {0}
+    assert jaccard.near_classes(nameless).count() == quality.score(nameless, quality.Machine()).count() == sharding.shard(nameless).count() == 2
+    assert packing.pack_documents(nameless).count() == binary.token_ids(nameless).count() == 2
 
 
 def test_decontamination(spark):
@@ -183,6 +187,8 @@ def test_exact_substrings_equal_brute_force(spark):
         got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix.dedup(docs(spark, texts), most).collect()}
         assert [got[i] for i in range(len(texts))] == want
     assert suffix.dedup(empty(spark)).count() == 0
+    nameless = docs(spark, [PASSAGE, PASSAGE]).drop("doc_id").selectExpr("cast(null as long) as doc_id", "text")
+    assert {(r["doc_id"], r["n_removed"]) for r in suffix.dedup(nameless).collect()} == {(None, len(PASSAGE))}
     twice = docs(spark, [prose(100, 1)])
     assert {r["n_removed"] for r in suffix.dedup(twice.unionAll(twice)).collect()} == {len(prose(100, 1))}
 
