@@ -25,7 +25,7 @@ from . import common
 SAMPLE = 3000
 BUCKETS, FACTORS, EPOCHS, BATCH, RATE, DECAY = 1 << 13, 6, 6, 64, 0.1, 1e-5
 #: A worker forgets its words' buckets beyond so many; it changes no score.
-MEMORY = 300_000
+MEMORY = 150_000
 STATISTICS = ("log length", "metadata length", "word length", "capitals", "digits", "marks", "bars", "bangs", "symbols", "unique words", "repeated lines", "line length", "top word")
 SIZE = 2 * BUCKETS + len(STATISTICS)
 
