@@ -49,7 +49,7 @@ def _(spark, d):
     return spatial.candidate_cells(v, covered).select("scope", "cx", "cy")
 
 
-CELLS = "SELECT l_orderkey AS scope, CAST(l_partkey % 6 AS BIGINT) AS cx, CAST(l_suppkey % 5 AS BIGINT) AS cy FROM {lineitem} WHERE l_orderkey < 400"
+CELLS = "SELECT l_orderkey AS scope, CAST(l_partkey % 6 AS BIGINT) AS cx, CAST(l_suppkey % 5 AS BIGINT) AS cy FROM {lineitem}"
 
 
 @query(

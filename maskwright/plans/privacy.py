@@ -289,7 +289,7 @@ def _(spark, d):
     return verify.receipts(safe, found, verify.escalate(safe, vault))
 
 
-LEAKY = "SELECT conv_id AS scope, 'x ' || CASE WHEN turn % 3 = 0 THEN 'write to u' || CAST(conv_id AS STRING) || '@example.com' WHEN turn % 3 = 1 THEN 'see EMAIL_1' ELSE 'call ' || CAST(9000000000 + conv_id AS STRING) END AS payload FROM {conversations} WHERE turn < 3"
+LEAKY = "SELECT conv_id AS scope, 'x ' || CASE WHEN turn % 3 = 0 THEN 'write to u' || CAST(conv_id AS STRING) || '@example.com' WHEN turn % 3 = 1 THEN 'see EMAIL_1' ELSE 'call ' || CAST(9000000000 + conv_id AS STRING) END AS payload FROM {conversations}"
 
 
 @query("v01_leaks", f"SELECT scope, CASE WHEN payload LIKE '%@%' THEN 'email' ELSE 'phone' END AS cls FROM {plain(LEAKY)} WHERE payload NOT LIKE '%EMAIL_1%'")
