@@ -216,11 +216,22 @@ def test_packing(spark):
     assert packing.pack_documents(empty(spark)).count() == 0
 
 
+def first_fit_decreasing(histogram, capacity):
+    rooms = []
+    for n in sorted((k for k, v in histogram.items() for _ in range(v)), reverse=True):
+        k = next((k for k, room in enumerate(rooms) if room >= n), None)
+        if k is None:
+            rooms.append(capacity - n)
+        else:
+            rooms[k] -= n
+    return len(rooms)
+
+
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 60), min_size=1, max_size=20))
 @settings(max_examples=25, deadline=None)
 def test_plan_places_every_piece(histogram):
     entries, n = packing.plan(histogram, 64)
-    assert n <= 1.25 * sum(k * v for k, v in histogram.items()) / 64 + sum(v for k, v in histogram.items() if k > 32) + 1
+    assert n <= first_fit_decreasing(histogram, 64) + 1
     ends = {}
     for length, first, _, _, _ in sorted(entries):
         assert first == ends.get(length, 0) or first > ends.get(length, -1)
