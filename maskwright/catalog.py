@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import base, engine, privacy, scalars  # noqa: F401  registering is what importing does
+from .plans import base, engine, lookups, privacy, scalars  # noqa: F401  registering is what importing does
 
 QUERIES = base.QUERIES
 ORACLE_SQL = base.ORACLE_SQL

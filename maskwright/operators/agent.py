@@ -28,8 +28,12 @@ def says(text: Column, words: str) -> Column:
     return text.rlike("(?i)" + bounded(words))
 
 
+def actionable(df: DataFrame) -> DataFrame:
+    return df.filter(F.col("enabled") & (F.col("visible") | F.col("offscreen")))
+
+
 def clickable(df: DataFrame) -> DataFrame:
-    return df.filter(F.col("enabled") & (F.col("visible") | F.col("offscreen")) & F.col("role").isin("button", "link"))
+    return actionable(df).filter(F.col("role").isin("button", "link"))
 
 
 def route(tasks: DataFrame, elements: DataFrame) -> DataFrame:
@@ -81,7 +85,7 @@ def plan(tasks: DataFrame, elements: DataFrame, history: DataFrame | None = None
         history = spark.createDataFrame([], "scope long, action string, target string, result string")
     asked = history.filter("action = 'ask_user'").select("scope", F.col("target").alias("id")).distinct().withColumn("asked", F.lit(True))
     clicked = history.filter("action = 'click' and result = 'ok'").select("scope", F.col("target").alias("id")).distinct().withColumn("clicked", F.lit(True))
-    usable = elements.filter(F.col("enabled") & (F.col("visible") | F.col("offscreen"))).join(asked, ["scope", "id"], "left").join(clicked, ["scope", "id"], "left")
+    usable = actionable(elements).join(asked, ["scope", "id"], "left").join(clicked, ["scope", "id"], "left")
     met = tasks.withColumn("task", F.lower("task")).join(usable, "scope", "left")
     field, button = F.col("role").isin("textbox", "password", "select"), F.col("role").isin("button", "link")
     met = met.withColumn("s", F.when(button, planner_score(F.col("task"), F.coalesce("name", F.lit("")))).otherwise(0.0))

@@ -70,6 +70,12 @@ def delta(cls: Column, context: Column, span: Column, tag: Column, role: Column,
     return label + check + where + often + task + F.when(n_sources >= 2, 0.10).otherwise(0.0)
 
 
+def unsubsumed(findings: DataFrame) -> DataFrame:
+    """Where an element's value is dropped, its other value findings go."""
+    dropped = findings.filter("field = 'value' and fate = 'drop'").select("scope", "id").distinct().withColumn("gone", F.lit(True))
+    return findings.join(dropped, ["scope", "id"], "left").filter("gone is null or field <> 'value' or fate = 'drop'").drop("gone")
+
+
 def fuse(elements: DataFrame, detections: DataFrame) -> DataFrame:
     """scope, ord, id, field, start, end, cls, p, sources, fate, anchored: the findings that stand.
 
@@ -93,6 +99,4 @@ def fuse(elements: DataFrame, detections: DataFrame) -> DataFrame:
     least = F.when(visual, F.lit(DISCARD)).otherwise(F.lit(KEEP))
     scored = groups.select(*keys, "ord", "sources", F.col("p").alias("raw_p"), F.explode_outer(F.array(settled)).alias("p"))
     found = scored.filter((F.col("raw_p") >= DISCARD) & (F.col("p") >= least)).select(*keys, "ord", "p", "sources", fate(F.col("cls")).alias("fate"), F.col("ord").isNotNull().alias("anchored"))
-    dropped = found.filter("field = 'value' and fate = 'drop'").select("scope", "id").distinct().withColumn("gone", F.lit(True))
-    kept = found.join(dropped, ["scope", "id"], "left").filter("gone is null or field <> 'value' or fate = 'drop'")
-    return kept.drop("gone")
+    return unsubsumed(found)

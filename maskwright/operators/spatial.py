@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,8 +35,8 @@ def candidate_cells(variances: DataFrame, covered: DataFrame, least: float = 120
     return variances.filter(F.col("variance") >= least).join(covered, ["scope", "cx", "cy"], "left_anti")
 
 
-def _components(group: pd.DataFrame) -> pd.DataFrame:
-    cells = set(zip(group["cx"].tolist(), group["cy"].tolist()))
+def _components(cells: set[tuple[int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """x, y, w, h, n_cells of each 4-neighbour component of more than one cell."""
     out = []
     while cells:
         todo, seen = [cells.pop()], []
@@ -47,15 +47,27 @@ def _components(group: pd.DataFrame) -> pd.DataFrame:
                 if near in cells:
                     cells.remove(near)
                     todo.append(near)
-        xs, ys = [c[0] for c in seen], [c[1] for c in seen]
-        out.append((group["scope"].iloc[0], min(xs) * CELL, min(ys) * CELL, (max(xs) - min(xs) + 1) * CELL, (max(ys) - min(ys) + 1) * CELL, len(seen)))
-    return pd.DataFrame(out, columns=["scope", "x", "y", "w", "h", "n_cells"])
+        if len(seen) > 1:
+            xs, ys = [c[0] for c in seen], [c[1] for c in seen]
+            out.append((min(xs) * CELL, min(ys) * CELL, (max(xs) - min(xs) + 1) * CELL, (max(ys) - min(ys) + 1) * CELL, len(seen)))
+    return out
 
 
 def connected_regions(cells: DataFrame) -> DataFrame:
-    """scope, x, y, w, h, n_cells: boxes of 4-neighbour components of more than one cell. A scope's grid is a frame's, hence small."""
+    """scope, x, y, w, h, n_cells: boxes of 4-neighbour components of more than one cell.
+
+    A scope's cells become one array (a frame's grid, hence small) and Python sees batches of many scopes."""
     kind = cells.schema["scope"].dataType.simpleString()
-    return cells.groupBy("scope").applyInPandas(_components, f"scope {kind}, x long, y long, w long, h long, n_cells long").filter("n_cells > 1")
+
+    def run(batches):
+        for batch in batches:
+            rows = [(scope, *box_) for scope, xs, ys in zip(*(c.to_pylist() for c in batch.columns)) for box_ in _components(set(zip(xs, ys)))]
+            of = batch.schema.field(0).type
+            columns = list(zip(*rows)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (of, *[pa.int64()] * 5))], names=["scope", "x", "y", "w", "h", "n_cells"])
+
+    grids = cells.groupBy("scope").agg(F.collect_set(F.struct(F.col("cx").cast("long").alias("cx"), F.col("cy").cast("long").alias("cy"))).alias("c"))
+    return grids.select("scope", "c.cx", "c.cy").mapInArrow(run, f"scope {kind}, x long, y long, w long, h long, n_cells long")
 
 
 def largest(boxes: DataFrame, k: int = 20) -> DataFrame:
@@ -142,11 +154,30 @@ def mask_audit(pixels: DataFrame, regions: DataFrame, darkest: int = 8) -> DataF
 
 
 def mask(pixels: DataFrame, regions: DataFrame, pad: int = 4) -> DataFrame:
-    """Pixels (scope, x, y, luma) with masked regions, `pad` wider on all sides, painted black."""
-    r = regions.select("scope", *[F.col(c).alias(f"r{c}") for c in "xywh"])
-    inside = (F.col("p.x") >= F.col("rx") - pad) & (F.col("p.x") < F.col("rx") + F.col("rw") + pad) & (F.col("p.y") >= F.col("ry") - pad) & (F.col("p.y") < F.col("ry") + F.col("rh") + pad)
-    hit = pixels.alias("p").join(r.alias("r"), (F.col("p.scope") == F.col("r.scope")) & inside, "left_semi").select("scope", "x", "y", F.lit(True).alias("hit"))
-    return pixels.join(hit, ["scope", "x", "y"], "left").select("scope", "x", "y", F.when(F.col("hit"), 0).otherwise(F.col("luma")).alias("luma"))
+    """Pixels (scope, x, y, luma) with masked regions, `pad` wider on all sides, painted black. A frame has few regions, so its boxes travel as one array."""
+    boxes = regions.groupBy("scope").agg(F.collect_list(F.struct(*"xywh")).alias("boxes"))
+    inside = lambda r: (F.col("x") >= r["x"] - pad) & (F.col("x") < r["x"] + r["w"] + pad) & (F.col("y") >= r["y"] - pad) & (F.col("y") < r["y"] + r["h"] + pad)
+    hit = F.coalesce(F.exists("boxes", inside), F.lit(False))
+    return pixels.join(boxes, "scope", "left").select("scope", "x", "y", F.when(hit, 0).otherwise(F.col("luma")).alias("luma"))
+
+
+def frame_size(w: Column, h: Column, longest: int = 768) -> tuple[Column, Column]:
+    """Width and height of a frame once its longest edge has `longest` pixels at most."""
+    down = F.least(F.lit(1.0), F.lit(float(longest)) / F.greatest(w, h))
+    return tuple(F.greatest(F.lit(1), F.floor(x * down + 0.5).cast("int")) for x in (w, h))
+
+
+def preprocessed(pixels: DataFrame, width: int, height: int, columns: int = 320, rows: int = 240) -> DataFrame:
+    """scope, ox, oy, v: a frame's pixels (scope, x, y, luma) sampled by nearest neighbour on the model's grid, (luma - 127) / 128.
+
+    Every source pixel makes the grid points that sample it, so there is no join."""
+    def sampled(x: Column, source: int, target: int) -> Column:
+        points = F.sequence(F.lit(0), F.lit(target - 1))
+        return F.filter(points, lambda o: F.least(F.lit(source - 1), F.floor(o * F.lit(source) / F.lit(target)).cast("int")) == x)
+
+    out = pixels.select("scope", "y", "luma", F.explode(sampled(F.col("x"), width, columns)).alias("ox"))
+    out = out.select("scope", "ox", "luma", F.explode(sampled(F.col("y"), height, rows)).alias("oy"))
+    return out.select("scope", "ox", "oy", ((F.col("luma") - 127) / F.lit(128.0)).alias("v"))
 
 
 def scaled(x: Column, frame: int, css: int) -> Column:

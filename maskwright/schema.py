@@ -75,6 +75,12 @@ def visibility(x: Column, y: Column, w: Column, h: Column, width: Column, height
     return (x + w <= 0) | (y + h <= 0) | (x >= width) | (y >= height)
 
 
+def described(boxes: DataFrame) -> DataFrame:
+    """Rows with (display, visibility, opacity, w, h) that are worth a record: shown, and neither tiny nor huge."""
+    shown = (F.coalesce("display", F.lit("")) != "none") & (F.coalesce("visibility", F.lit("")) != "hidden") & (F.coalesce("opacity", F.lit(1.0)) >= 0.05)
+    return boxes.filter(shown & F.col("w").between(2, 4000) & F.col("h").between(2, 4000))
+
+
 def occluded(elements: DataFrame) -> DataFrame:
     """scope, id of elements whose centre a later element without kinship covers; a range condition within the scope."""
     a, b = elements.alias("a"), elements.alias("b")

@@ -19,7 +19,9 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _CLOSES = {"p": ("p",), "li": ("li",), "td": ("td", "th"), "tr": ("tr", "td", "th"), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",)}
 #: Elements and texts of a page that are kept, and characters of an own text.
 BUDGET, TEXT_BUDGET, OWN_TEXT = 400, 400, 500
-NODES = "scope long, node int, tag string, type string, explicit string, aria string, alt string, title string, placeholder string, autocomplete string, html_id string, label_for string, value string, own_text string, full_text string, ancestors array<int>, pass int, editable boolean"
+#: Elements that may label what follows them, and characters of such a label.
+_LABELS, SIBLING_LABEL = frozenset("label span div dt p strong b".split()), 48
+NODES = "scope long, node int, tag string, type string, explicit string, aria string, alt string, title string, placeholder string, autocomplete string, html_id string, label_for string, value string, own_text string, full_text string, ancestors array<int>, pass int, editable boolean, labelled string, label string"
 
 
 class _Nodes(HTMLParser):
@@ -42,7 +44,7 @@ class _Nodes(HTMLParser):
         self.rows.append({
             "node": n, "tag": tag, "type": a.get("type"), "explicit": a.get("role"), "aria": a.get("aria-label"), "alt": a.get("alt"), "title": a.get("title"), "placeholder": a.get("placeholder"), "autocomplete": a.get("autocomplete"),
             "html_id": a.get("id"), "label_for": a.get("for"), "value": a.get("value") if tag in ("input", "button") else None, "own_text": "", "full_text": "", "ancestors": list(self.stack),
-            "pass": 1 if interactive else 2 if tag in MEDIA else 3 if tag in TEXTY else 0, "editable": "contenteditable" in a or "onclick" in a,
+            "pass": 1 if interactive else 2 if tag in MEDIA else 3 if tag in TEXTY else 0, "editable": "contenteditable" in a or "onclick" in a, "labelled": a.get("aria-labelledby"), "label": None,
         })
         if tag not in _VOID:
             self.stack.append(n)
@@ -60,6 +62,25 @@ class _Nodes(HTMLParser):
                 self.rows[k]["full_text"] += data
 
 
+    def resolve_labels(self):
+        """Names by reference, and labels: one for the element's id, else one around it, else a short sibling before it."""
+        by_id, named, before = {}, {}, {}
+        for r in self.rows:
+            if r["html_id"]:
+                by_id.setdefault(r["html_id"], r["full_text"].strip())
+            if r["tag"] == "label" and r["label_for"]:
+                named.setdefault(r["label_for"], r["full_text"].strip())
+        for r in self.rows:
+            if r["labelled"]:
+                r["labelled"] = " ".join(by_id.get(i, "") for i in r["labelled"].split())
+            around = next((self.rows[k]["full_text"].strip() for k in [r["node"], *reversed(r["ancestors"])] if self.rows[k]["tag"] == "label"), "")
+            up = r["ancestors"][-1] if r["ancestors"] else None
+            sibling = before.get(up)
+            before[up] = r["node"]
+            beside = self.rows[sibling]["full_text"].strip() if sibling is not None and self.rows[sibling]["tag"] in _LABELS else ""
+            r["label"] = named.get(r["html_id"]) or around or (beside if len(beside) <= SIBLING_LABEL else "") or None
+
+
 def nodes(pages: DataFrame) -> DataFrame:
     """Every element of every page, in document order."""
 
@@ -70,6 +91,7 @@ def nodes(pages: DataFrame) -> DataFrame:
                 parser = _Nodes()
                 parser.feed(page or "")
                 parser.close()
+                parser.resolve_labels()
                 out += [{"scope": scope} | r for r in parser.rows]
             yield pd.DataFrame(out, columns=[c.split()[0] for c in NODES.split(", ")])
 
@@ -78,6 +100,7 @@ def nodes(pages: DataFrame) -> DataFrame:
 
 def elements(found: DataFrame) -> DataFrame:
     """Kept elements: interactive, media, then text nodes that may hold personal data or label something; first pass wins; budgets per page."""
+    from ..operators.lookup import within_budget
     from ..schema import accessible_name, role
 
     squeeze = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
@@ -85,12 +108,9 @@ def elements(found: DataFrame) -> DataFrame:
     short = found.filter("pass > 0").withColumn("text", F.nullif(own, F.lit(""))).drop("own_text", "full_text")
     short = short.filter("pass < 3 or text is not null")
     texts = F.row_number().over(Window.partitionBy("scope", "pass").orderBy("node"))
-    order = F.row_number().over(Window.partitionBy("scope").orderBy("pass", "node"))
-    kept = short.withColumn("t", texts).filter(f"pass < 3 or t <= {TEXT_BUDGET}").withColumn("ord", order).filter(f"ord <= {BUDGET}")
-    labels = found.filter("tag = 'label' and label_for is not null").groupBy("scope", F.col("label_for").alias("html_id")).agg(F.min_by("full_text", "node").alias("label"))
-    kept = kept.join(labels, ["scope", "html_id"], "left")
+    kept = within_budget(short.withColumn("t", texts).filter(f"pass < 3 or t <= {TEXT_BUDGET}"), BUDGET)
     button = F.when(F.col("tag").isin("button", "input"), F.coalesce("value", F.lit("")))
-    named = kept.withColumn("name", accessible_name(*[F.col(c) if isinstance(c, str) else c for c in ("aria", F.lit(None).cast("string"), "label", "alt", button, "text", "title", "placeholder")]))
+    named = kept.withColumn("name", accessible_name(*[F.col(c) if isinstance(c, str) else c for c in ("aria", "labelled", "label", "alt", button, "text", "title", "placeholder")]))
     none = F.lit(None).cast("int")
     return named.select(
         "scope", "ord", F.concat(F.lit("el_"), "node").alias("id"), role(F.col("tag"), F.col("type"), F.col("explicit"), F.col("editable")).alias("role"), "tag", "type", "name", F.nullif("value", F.lit("")).alias("value"), "text",

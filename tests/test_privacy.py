@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from maskwright.functions import text as T
-from maskwright.operators import agent, fusion, labels, patterns, redact, spatial, verify
+from maskwright.operators import agent, fusion, labels, lookup, patterns, redact, spatial, verify
 from maskwright.schema import ELEMENTS
 from maskwright.sources import profile
 from maskwright.streaming import guards
@@ -168,3 +168,15 @@ def test_nothing_imports_the_llm_subpackage():
     for f in top.rglob("*.py"):
         if "llm" not in f.parts:
             assert not re.search(r"\bllm\b.*import|import.*\bllm\b", f.read_text()), f
+
+
+def test_realigned_to_the_nearest_occurrence(spark):
+    rows = [("aXaaaX", "aa", 0, 2), ("aaaa", "aa", 2, 2), (r"x \E y \E", r"\E", 9, 7), ("abc", "z", 1, 1), ("abc", "", 2, 2), ("", "a", 3, 3)]
+    df = spark.createDataFrame(rows, "raw string, wanted string, start int, want int")
+    assert all(r["got"] == r["want"] for r in df.withColumn("got", lookup.realigned(F.col("raw"), F.col("wanted"), F.col("start"))).collect())
+
+
+def test_mask_keeps_repeated_pixels(spark):
+    pixels = spark.createDataFrame([(1, 5, 5, 9), (1, 5, 5, 9), (1, 90, 90, 9), (2, 5, 5, 9)], "scope long, x int, y int, luma int")
+    boxes = spark.createDataFrame([(1, 5, 5, 2, 2), (1, 4, 4, 9, 9)], "scope long, x int, y int, w int, h int")
+    assert sorted(tuple(r) for r in spatial.mask(pixels, boxes).collect()) == [(1, 5, 5, 0), (1, 5, 5, 0), (1, 90, 90, 9), (2, 5, 5, 9)]
