@@ -11,7 +11,7 @@ checked; beyond SEED_BOUND rows, hits come from a shuffled join and are verified
 
 Defined results: null and empty texts and items have no words and match nothing; items shorter than a mask use
 one mask of their own length without gaps; equal items are all reported; repeated rows of a document report
-the larger overlap once; empty tables give no row; other columns are ignored.
+the larger overlap once; rows without a doc_id are reported together under null, and `clean` keeps them; empty tables give no row; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -9,8 +9,8 @@ returns each text's number of links and its root within the block, never its pai
 most, so a group that holds a third of all texts is many tasks, each of bounded size.
 
 Defined results: null texts are empty; texts without words equal each other and nothing else; shorter texts than a
-shingle have one shingle of all their words; rows with equal doc_id are separate rows with that id; an empty table
-gives no row; other columns are ignored.
+shingle have one shingle of all their words; rows with equal doc_id are separate rows with that id; a class of
+rows without a doc_id has no class_id; an empty table gives no row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -199,9 +199,15 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, width: int = WID
 
 
 def keep_first(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is its class's least."""
-    first = classes.filter("doc_id = class_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").select(docs.columns)
+    """The rows of docs whose doc_id is its class's least; of such rows with equal doc_id and text, one. Rows without a doc_id stay."""
+    first = classes.filter("doc_id = class_id").groupBy(F.col("doc_id").alias("first_doc_")).agg(F.count("*").alias("first_rows_"))
+    first = common.materialise(first, "kept")
+    met = docs.join(first, F.col("doc_id") == F.col("first_doc_"), "left")
+    kept = met.filter("doc_id is null or first_rows_ = 1").select(docs.columns)
+    if not first.filter("first_rows_ > 1").limit(1).count():
+        return kept
+    again = docs.join(first.filter("first_rows_ > 1"), F.col("doc_id") == F.col("first_doc_"), "left_semi")
+    return kept.unionByName(again.dropDuplicates(["doc_id", "text"]).select(docs.columns))
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -363,3 +363,14 @@ def test_pipeline_stages(spark):
     assert {0, 3, 6, 7} <= {r["doc_id"] for r in kept.collect()} and not {1, 5} & {r["doc_id"] for r in kept.collect()}
     assert pipeline.without_repeated_passages(spark, frame, "").count() == frame.count()
     assert len(pipeline.STAGES) == 5
+
+
+def test_keep_first_keeps_one_row_of_each_class(spark):
+    a, b = prose(40, 800), prose(40, 801)
+    rows = [(3, a), (3, a), (5, a + " more"), (6, b), (6, b), (6, b), (9, prose(40, 802)), (None, a), (None, b)]
+    frame = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, first_rows int")
+    kept = jaccard.keep_first(frame, jaccard.near_classes(frame))
+    assert kept.columns == frame.columns
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == sorted([(0, a), (0, b), (3, a), (6, b), (9, prose(40, 802))])
+    once = frame.filter("doc_id in (5, 9)")
+    assert sorted(r["doc_id"] for r in jaccard.keep_first(once, jaccard.near_classes(once)).collect()) == [5, 9]
