@@ -200,14 +200,13 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, width: int = WID
 
 def keep_first(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is its class's least; of such rows with equal doc_id and text, one. Rows without a doc_id stay."""
-    first = classes.filter("doc_id = class_id").groupBy(F.col("doc_id").alias("first_doc_")).agg(F.count("*").alias("first_rows_"))
-    first = common.materialise(first, "kept")
-    met = docs.join(first, F.col("doc_id") == F.col("first_doc_"), "left")
-    kept = met.filter("doc_id is null or first_rows_ = 1").select(docs.columns)
-    if not first.filter("first_rows_ > 1").limit(1).count():
+    first = classes.filter("doc_id = class_id").select(F.col("doc_id").alias("first_doc_"))
+    again = common.materialise(first.groupBy("first_doc_").agg(F.count("*").alias("n")).filter("n > 1").select("first_doc_"), "again")
+    same = F.col("doc_id") == F.col("first_doc_")
+    kept = docs.join(first.distinct(), same, "left_semi").union(docs.filter("doc_id is null"))
+    if not again.limit(1).count():
         return kept
-    again = docs.join(first.filter("first_rows_ > 1"), F.col("doc_id") == F.col("first_doc_"), "left_semi")
-    return kept.unionByName(again.dropDuplicates(["doc_id", "text"]).select(docs.columns))
+    return kept.join(again, same, "left_anti").union(docs.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
