@@ -1,14 +1,16 @@
-"""Substring deduplication by content-defined chunking with a gear rolling hash.
-
-A gear hash over the last WINDOW bytes marks chunk ends by content alone, so an insertion moves only the chunks it
-touches. Chunks meet by digest. A stretch of neighbouring chunks that all occur elsewhere too is repeated if it
-has at least `least` bytes; of each repeated chunk the first occurrence, by (doc_id, position), stays and
-the others are cut out. Sums per digest are built map-side and occurrences meet them in a join that
-Spark splits where a digest is hot; a document's spans are gathered, never a digest's documents.
-
-Defined results: null and empty texts have no chunks; cuts never split a character; rows with equal doc_id are
-one document's repeated rows: their chunks count as occurrences, and each such row loses the same spans; rows without a doc_id lose nothing; an empty table
-gives no row; other columns are kept by `cut` and ignored by the rest.
+"""Substring deduplication by winnowed seeds that are extended byte by byte.
+
+Every stretch of SEED + REACH - 1 bytes picks its least hashed SEED-byte string, so equal stretches of that many bytes share
+a seed wherever they stand. Seeds meet by hash; each is compared with the first occurrence of its hash, by (doc_id,
+position), and the first occurrence with the last one: from the seed on, equal bytes are counted left and right
+within CONTEXT bytes, more than the farthest next seed. What neighbouring seeds so cover joins to stretches; one of
+at least `least` bytes is repeated. The first occurrence stays and the others are cut out. Sums per hash are
+built map-side and occurrences meet them in joins that Spark splits where a hash is hot; a document's hits are
+gathered with CONTEXT bytes each, never a hash's documents or their texts.
+
+Defined results: null and empty texts have no seeds; cuts never split a character; rows with equal doc_id are
+one document's repeated rows: their seeds count as occurrences, and each such row loses the same spans; rows without a doc_id lose nothing
+and are nobody's first occurrence; an empty table gives no row; other columns are kept by `cut` and ignored by the rest.
 """
 
 from __future__ import annotations
@@ -21,11 +23,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from .shingles import mix
 
 #: Bytes: gear window, least and greatest chunk; one position in MEAN ends a chunk once it has the least size.
 WINDOW, SMALLEST, GREATEST, MEAN = 16, 24, 256, 32
-#: A repeated stretch has so many bytes at least: half of a passage of 50 words, as its ends fall within chunks.
+#: A repeated stretch has so many bytes at least: under half of a passage of 50 words.
 LEAST = 120
+#: Bytes: a seed, the places one of which is picked (together LEAST at most), and what is compared on each side of a seed (REACH at least).
+SEED, REACH, CONTEXT = 48, 72, 80
+_RANDOM = np.random.default_rng(3).integers(1, 1 << 63, 256, dtype=np.uint64)
+_ODD = 0x9E3779B97F4A7C15
+_NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _GEAR = np.random.default_rng(2).integers(0, 1 << 16, 256, dtype=np.uint16)
 
 
@@ -66,92 +74,185 @@ def cut_points(raws: list[bytes]) -> list[list[int]]:
     return out
 
 
-def chunk(docs: DataFrame) -> DataFrame:
-    """doc_id, at, size, digest: every chunk of every text."""
+def hashes(data: np.ndarray) -> np.ndarray:
+    """Hash of the SEED bytes that begin at each place; the places at the end that have fewer are left out."""
+    h, span, power = _RANDOM[data], 1, _ODD
+    while span < SEED:
+        step = min(span, SEED - span)
+        if step < span:
+            h = h[:-step] * np.uint64(pow(_ODD, step, 1 << 64)) + part[span:] if len(h) > step else h[:0]
+        else:
+            part = h
+            h = h[:-span] * np.uint64(power) + h[span:] if len(h) > span else h[:0]
+            power = power * power % (1 << 64)
+        span += step
+    return mix(h)
+
+
+def extreme(h: np.ndarray, least: bool) -> np.ndarray:
+    """The least (or greatest) of the REACH values that begin at each place."""
+    span, take = 1, np.minimum if least else np.maximum
+    while span < REACH:
+        step = min(span, REACH - span)
+        h = take(h[:-step], h[step:])
+        span += step
+    return h
+
+
+def pick(raws: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Each text's picked seeds: places and hashes. Of equal hashes in a row only as many as neighbours need."""
+    gap = bytes(SEED + REACH)
+    data = np.frombuffer(gap.join([b"", *raws, b""]), dtype=np.uint8)
+    size = np.array([len(r) for r in raws])
+    first = np.cumsum(np.r_[0, size[:-1] + len(gap)]) + len(gap)
+    h = hashes(data)
+    edge = np.zeros(len(h) + 1, dtype=np.int8)
+    fits = size >= SEED
+    np.add.at(edge, first[fits], 1)
+    np.add.at(edge, (first + size - SEED + 1)[fits], -1)
+    h[np.cumsum(edge[:-1]) == 0] = _NONE
+    best = extreme(extreme(h, True), False)  # of the windows over each place, the greatest least value
+    at = np.flatnonzero((h[REACH - 1 : REACH - 1 + len(best)] == best) & (h[REACH - 1 : REACH - 1 + len(best)] != _NONE)) + REACH - 1
+    value = h[at]
+    twin = np.flatnonzero((value[1:] == value[:-1]) & (np.diff(at) < REACH // 2)) + 1
+    if len(twin):
+        keep, same = np.ones(len(at), dtype=bool), set(twin.tolist())
+        last = -1
+        for k in twin.tolist():
+            if k - 1 not in same:
+                last = at[k - 1]
+            if k + 1 in same and at[k + 1] - last < REACH // 2:
+                keep[k] = False
+            else:
+                last = at[k]
+        at, value = at[keep], value[keep]
+    lo, hi = np.searchsorted(at, first), np.searchsorted(at, first + size)
+    return [(at[a:b] - f, value[a:b].view(np.int64)) for a, b, f in zip(lo, hi, first)]
+
+
+def seeds(docs: DataFrame) -> DataFrame:
+    """doc_id, at, seed: the picked seeds of every text."""
 
     def run(batches):
         for ids, texts in common.steps(batches, "doc_id", "text"):
-            raws = [t.encode("utf-8", "replace") for t in texts]
-            doc, at, size, digest = [], [], [], []
-            for i, raw, cuts in zip(ids, raws, cut_points(raws)):
-                starts = [0, *cuts[:-1]]
-                doc += [i] * len(cuts)
-                at += starts[: len(cuts)]
-                size += [e - s for s, e in zip(starts, cuts)]
-                digest += [hashlib.blake2b(raw[s:e], digest_size=16).digest() for s, e in zip(starts, cuts)]
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(at, pa.int32()), pa.array(size, pa.int32()), pa.array(digest, pa.binary())], names=["doc_id", "at", "size", "digest"])
-
-    return common.doc_columns(docs).mapInArrow(run, "doc_id long, at int, size int, digest binary")
-
-
-def merge(parts: list[tuple[int, int, bool]], least: int) -> tuple[int, list[tuple[int, int]]]:
-    """From a document's repeated chunks (start, end, stays): bytes in stretches of at least `least`, and the spans to cut."""
-    repeated, cut, run = 0, [], []
-    for p in [*sorted(set(parts)), (-1, -1, True)]:
-        if run and p[0] != run[-1][1]:
-            n = run[-1][1] - run[0][0]
-            if n >= least:
-                repeated += n
-                for s, e, stays in run:
-                    if stays:
-                        continue
-                    if cut and cut[-1][1] == s:
-                        cut[-1] = (cut[-1][0], e)
-                    else:
-                        cut.append((s, e))
-            run = []
-        run.append(p)
-    return repeated, cut
-
-
-def repeated_spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """doc_id, n_repeated (bytes), spans (start, end of what is cut), only for documents with repeated stretches."""
-    chunks = common.materialise(chunk(docs), "chunks")
-    sums = chunks.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).filter("n > 1").drop("n")
-    sums = common.materialise(sums, "repeated-chunks")  # a plain table: Spark can then split a hot digest's side of the join
-    met = chunks.join(sums, "digest")
-    # Within its first document a digest's first place is the least one; that is decided where the document's spans are gathered.
-    per_doc = met.groupBy("doc_id").agg(F.collect_list(F.struct("at", "size", (F.col("doc_id") == F.col("first_doc")).alias("own"), F.when(F.col("doc_id") == F.col("first_doc"), F.col("digest")).alias("digest"))).alias("parts"))
+            found = pick([t.encode("utf-8", "replace") for t in texts])
+            doc = np.repeat(np.array(ids, dtype=np.int64), [len(at) for at, _ in found])
+            cols = [pa.array(doc), pa.array(np.concatenate([at for at, _ in found]).astype(np.int32)), pa.array(np.concatenate([v for _, v in found]))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "at", "seed"])
+
+    return common.doc_columns(docs.filter("doc_id is not null")).mapInArrow(run, "doc_id long, at int, seed long")
+
+
+def contexts(docs: DataFrame, met: DataFrame, stays: bool) -> DataFrame:
+    """seed, side (0: of its first occurrence, 1: of its last one), other_doc, other_at, before (bytes before the seed), context."""
+    ends = met.groupBy("seed").agg(
+        F.min("first_doc").alias("first_doc"), F.min("last_doc").alias("last_doc"),
+        F.min(F.when(F.col("doc_id") == F.col("first_doc"), F.col("at"))).alias("first_at"), F.max(F.when(F.col("doc_id") == F.col("last_doc"), F.col("at"))).alias("last_at"),
+    )
+    sides = F.array(*[F.struct(F.lit(k).alias("side"), F.col(f"{n}_doc").alias("doc_id"), F.col(f"{n}_at").alias("at")) for k, n in enumerate(("first", "last") if stays else ("first",))])
+    places = ends.select("seed", F.explode(sides).alias("s")).groupBy("s.doc_id").agg(F.collect_list(F.struct("seed", "s.side", "s.at")).alias("places"))
+    rows = common.doc_columns(docs).join(places, "doc_id").select("doc_id", "places", "text")
 
     def run(batches):
-        for batch in batches:
-            ids, repeated, spans = [], [], []
-            for doc, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found, seen = [], {}
-                for p in sorted(parts, key=lambda p: p["at"]):
-                    stays = p["own"] and seen.setdefault(p["digest"], p["at"]) == p["at"]
-                    found.append((p["at"], p["at"] + p["size"], stays))
-                n, cut_ = merge(found, least)
-                if n:
-                    ids.append(doc)
-                    repeated.append(n)
-                    spans.append([{"start": s, "end": e} for s, e in cut_])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(repeated, pa.int64()), pa.array(spans, kind)], names=["doc_id", "n_repeated", "spans"])
-
-    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    return per_doc.mapInArrow(run, "doc_id long, n_repeated long, spans array<struct<start:bigint,end:bigint>>")
-
-
-def without(raw: bytes, spans: list[dict] | None) -> bytes:
+        for ids, places_, texts in common.steps(batches, "doc_id", "places", "text"):
+            out = []
+            for i, places, text in zip(ids, places_, texts):
+                raw = text.encode("utf-8", "replace")
+                h = hashes(np.frombuffer(raw, dtype=np.uint8)).view(np.int64)
+                for p in places:
+                    if (at := p["at"]) < len(h) and h[at] == p["seed"]:  # rows with equal doc_id may have other texts
+                        begin = max(0, at - CONTEXT)
+                        out.append((p["seed"], p["side"], i, at, at - begin, raw[begin : at + SEED + CONTEXT]))
+            cols = list(zip(*out)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["seed", "side", "other_doc", "other_at", "before", "context"])
+
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    return rows.mapInArrow(run, "seed long, side int, other_doc long, other_at int, before int, context binary")
+
+
+def hits(docs: DataFrame, stays: bool = True) -> DataFrame:
+    """doc_id, parts (at, side, before, context): the repeated seeds of each document that has some, with what to compare them with.
+
+    Without `stays`, first occurrences are left out. Each step's tables and shuffles go as soon as the next one is written."""
+    spark = docs.sparkSession
+    found = common.materialise(seeds(docs), "seeds")
+    mark = len(common._written) - 1
+    sums = found.groupBy("seed").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).filter("n > 1").drop("n")
+    sums = common.materialise(sums, "repeated-seeds")  # a plain table: Spark can then split a hot seed's side of the join
+    common.release(spark, mark + 1)
+    met = common.materialise(found.join(sums, "seed").select("doc_id", "at", "seed", "first_doc", "last_doc").distinct(), "met")
+    common.release(spark, mark)
+    known = common.materialise(contexts(docs, met, stays), "contexts")
+    common.release(spark, mark + 1)
+    own = F.col("doc_id") == F.col("first_doc")
+    asked = met.select("doc_id", "at", "seed", F.explode(F.when(own & F.lit(stays), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("side"))
+    both = asked.join(known, ["seed", "side"]).filter((F.col("side") == 1) | (F.col("doc_id") != F.col("other_doc")) | (F.col("at") > F.col("other_at")))
+    out = common.materialise(both.groupBy("doc_id").agg(F.collect_list(F.struct("at", "side", "before", "context")).alias("parts")), "hits")
+    common.release(spark, mark)
+    return out
+
+
+def extend(raw: bytes, at: int, before: int, context: bytes) -> tuple[int, int] | None:
+    """The stretch around a seed that agrees with the context of another occurrence; none if the seed itself doesn't."""
+    x, y = raw[at : at + len(context) - before], context[before:]
+    n = min(len(x), len(y))
+    right = n - ((int.from_bytes(x[:n], "big") ^ int.from_bytes(y[:n], "big")).bit_length() + 7) // 8
+    if right < SEED:
+        return None
+    n = min(at, before)
+    left = n - ((int.from_bytes(raw[at - n : at], "little") ^ int.from_bytes(context[before - n : before], "little")).bit_length() + 7) // 8
+    return at - left, at + right
+
+
+def joined(spans: list[tuple[int, int]], least: int) -> list[tuple[int, int]]:
+    """Spans that meet as one each; those of at least `least` bytes."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return [(s, e) for s, e in out if e - s >= least]
+
+
+def repeated(raw: bytes, parts: list[dict] | None, least: int) -> tuple[int, list[tuple[int, int]]]:
+    """Bytes in repeated stretches, whether they stay or go, and the spans to cut."""
+    spans, gone = [], []
+    for p in parts or ():
+        if span := extend(raw, p["at"], p["before"], p["context"]):
+            spans.append(span)
+            if p["side"] == 0:
+                gone.append(span)
+    whole = []
+    for s, e in joined(gone, least):
+        while s < e and raw[s] & 0xC0 == 0x80:
+            s += 1
+        while s < e < len(raw) and raw[e] & 0xC0 == 0x80:
+            e -= 1
+        whole.append((s, e))
+    return sum(e - s for s, e in joined(spans, least)), whole
+
+
+def without(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     out, at = [], 0
-    for s in spans or ():
-        out.append(raw[at : s["start"]])
-        at = s["end"]
+    for s, e in spans:
+        out.append(raw[at:s])
+        at = e
     return b"".join([*out, raw[at:]])
 
 
 def dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """doc_id, n_bytes, n_repeated, n_removed, n_spans, kept_sha256, text (what is kept)."""
-    spans = common.materialise(repeated_spans(docs, least), "spans")
-    met = common.doc_columns(docs).join(spans, "doc_id", "left").select("doc_id", "n_repeated", "spans", "text")
+    met = common.doc_columns(docs).join(hits(docs), "doc_id", "left").select("doc_id", "parts", "text")
 
     def run(batches):
-        for ids, repeated, spans_, texts in common.steps(batches, "doc_id", "n_repeated", "spans", "text"):
+        for ids, parts, texts in common.steps(batches, "doc_id", "parts", "text"):
             raws = [t.encode("utf-8", "replace") for t in texts]
-            kept = [without(r, s) for r, s in zip(raws, spans_)]
+            found = [repeated(r, p, least) for r, p in zip(raws, parts)]
+            kept = [without(r, s) for r, (_, s) in zip(raws, found)]
             cols = [
-                pa.array(ids, pa.int64()), pa.array([len(r) for r in raws], pa.int64()), pa.array([n or 0 for n in repeated], pa.int64()),
-                pa.array([len(r) - len(k) for r, k in zip(raws, kept)], pa.int64()), pa.array([len(s or ()) for s in spans_], pa.int64()),
+                pa.array(ids, pa.int64()), pa.array([len(r) for r in raws], pa.int64()), pa.array([n for n, _ in found], pa.int64()),
+                pa.array([len(r) - len(k) for r, k in zip(raws, kept)], pa.int64()), pa.array([len(s) for _, s in found], pa.int64()),
                 pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()), pa.array([k.decode("utf-8", "replace") for k in kept], pa.string()),
             ]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_bytes", "n_repeated", "n_removed", "n_spans", "kept_sha256", "text"])
@@ -161,18 +262,26 @@ def dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
 def cut(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """docs, all columns, with repeated stretches cut from text and n_chars, if there, set anew."""
-    spans = common.materialise(repeated_spans(docs, least), "spans").select(F.col("doc_id").alias("cut_doc_"), F.col("spans").alias("cut_spans_"))
-    met = docs.join(spans, F.col("doc_id") == F.col("cut_doc_"), "left").drop("cut_doc_")
+    parts = hits(docs, stays=False).select(F.col("doc_id").alias("cut_doc_"), F.col("parts").alias("cut_parts_"))
+    met = docs.join(parts, F.col("doc_id") == F.col("cut_doc_"), "left").drop("cut_doc_")
+
+    def shorter(text: str | None, parts: list[dict] | None) -> str | None:
+        if text is None or not parts:
+            return text
+        raw = text.encode("utf-8", "replace")
+        spans = repeated(raw, parts, least)[1]
+        return without(raw, spans).decode("utf-8", "replace") if spans else text
 
     def run(batches):
         for batch in batches:
             at = batch.schema.get_field_index("text")
-            texts, spans_ = batch.column(at).to_pylist(), batch.column(batch.schema.get_field_index("cut_spans_")).to_pylist()
-            kept = [without(t.encode("utf-8", "replace"), s).decode("utf-8", "replace") if s else t for t, s in zip(texts, spans_)]
-            out = batch.drop_columns(["cut_spans_"])
+            texts, parts_ = batch.column(at), batch.column(batch.schema.get_field_index("cut_parts_"))
+            kept = [shorter(t.as_py(), p.as_py()) for t, p in zip(texts, parts_)]
+            changed = [k is not None and k != t.as_py() for k, t in zip(kept, texts)]
+            out = batch.drop_columns(["cut_parts_"])
             out = out.set_column(out.schema.get_field_index("text"), "text", pa.array(kept, out.schema.field("text").type))
             if (n := out.schema.get_field_index("n_chars")) >= 0:
-                fresh = [len(k) if s and k is not None else old for k, s, old in zip(kept, spans_, out.column(n).to_pylist())]
+                fresh = [len(k) if c else old for k, c, old in zip(kept, changed, out.column(n).to_pylist())]
                 out = out.set_column(n, "n_chars", pa.array(fresh, out.schema.field(n).type))
             yield out
 

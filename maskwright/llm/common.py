@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -58,6 +59,16 @@ def release_all() -> None:
         _remove(*_written.pop())
 
 
+def release(spark: SparkSession, since: int) -> None:
+    """Remove the tables written since `_written` had `since` entries but the last one, and have Spark drop shuffle files no longer referred to."""
+    done = _written[since:-1]
+    del _written[since:-1]
+    for w in done:
+        _remove(*w)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts the lineage, and lost executors lose nothing."""
     spark = df.sparkSession

@@ -91,6 +91,31 @@ def test_chunk_dedup(spark):
     assert packing.pack_documents(nameless).count() == binary.token_ids(nameless).count() == 2
 
 
+def test_chunk_dedup_finds_short_passages_whole(spark):
+    """Passages of 51 words at random places of two documents go whole from the second one, and nothing else does."""
+    dice, texts, passages = np.random.default_rng(51), [], []
+    for k in range(200):
+        passages.append(prose(51, 5000 + k))
+        texts.append(" ".join([prose(int(dice.integers(1, 200)), 6000 + 2 * k), "a", passages[-1], "b", prose(int(dice.integers(1, 200)), 9000 + 2 * k)]))
+    for k in range(200):
+        texts.append(" ".join([prose(int(dice.integers(1, 200)), 6001 + 2 * k), "c", passages[k], "d", prose(int(dice.integers(1, 200)), 9001 + 2 * k)]))
+    got = {r["doc_id"]: r for r in chunks.dedup(docs(spark, texts)).collect()}
+    for k, p in enumerate(passages):
+        assert got[k]["text"] == texts[k] and got[k]["n_repeated"] == len(p) + 2  # with the blanks around it
+        assert got[200 + k]["text"] == texts[200 + k].replace(f" {p} ", "") and got[200 + k]["n_spans"] == 1
+
+
+def test_picked_seeds_meet_in_every_repeated_stretch():
+    data = np.random.default_rng(8)
+    for k in range(300):
+        shared, sides = data.bytes(chunks.LEAST), [data.bytes(int(n)) for n in data.integers(0, 300, 4)]
+        one, two = (set(v.tolist()) for _, v in chunks.pick([sides[0] + shared + sides[1], sides[2] + shared + sides[3]]))
+        assert one & two
+    assert [len(at) for at, _ in chunks.pick([b"", b"x" * 47, b"x" * 48])] == [0, 0, 1]
+    at = chunks.pick([b"ab" * 1500])[0][0]
+    assert len(at) < 200 and np.diff(at).max() < chunks.CONTEXT
+
+
 def test_decontamination(spark):
     items = [prose(30, 50), prose(8, 51), "", None, prose(30, 50)]
     words = items[0].split()
