@@ -56,7 +56,7 @@ RULES = (
 BY_NAME = {r.name: r for r in RULES}
 
 #: Whatever any rule can match has one of these; everything else skips the scan.
-CANDIDATE = r"[0-9]{4}|@|[0-9][/\-.](?:0?[1-9]|1[0-2])[/\-.]|[0-9] ?-?[0-9]|[-_][A-Za-z0-9_-]{16}|[A-Za-z0-9_\-+/=]{24}"
+CANDIDATE = r"[0-9]{4}|@|[0-9][/\-.](?:0?[1-9]|1[0-2])[/\-.]|[0-9] ?-?[0-9]|[-_][A-Za-z0-9_-]{16}|[A-Za-z0-9_\-+/=]{24}|[A-Z]{4}0[A-Z0-9]{6}|eyJ[A-Za-z0-9_-]{10,}\."
 HITS = T.ArrayType(
     T.StructType(
         [T.StructField("cls", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("p", T.DoubleType())]

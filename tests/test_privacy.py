@@ -93,6 +93,23 @@ def test_fixture_end_to_end(spark):
     assert vault.filter("cls in ('password', 'otp', 'apikey')").count() == 0
 
 
+@given(st.data())
+@settings(max_examples=300, deadline=None)
+def test_what_a_rule_matches_is_a_candidate(data):
+    rule, pattern = data.draw(st.sampled_from(patterns._COMPILED))
+    text = data.draw(st.from_regex(pattern, fullmatch=True))
+    assert re.search(patterns.CANDIDATE, text), rule.name
+
+
+def test_values_without_neighbouring_digits_are_found(spark):
+    values = ["HDFC0CADARS", "eyJabcdefghijk.abcdefghijklm.abcdefg"]
+    df = spark.createDataFrame([(f"s{k}", v) for k, v in enumerate(values)], "scope string, payload string")
+    scanned = df.select("payload", patterns.scan_patterns(F.col("payload")).alias("h")).collect()
+    assert [[h["text"] for h in r["h"]] for r in scanned] == [[v] for v in values]
+    rows = df.selectExpr("scope", "'e' as id", "payload as value", "cast(null as string) as text")
+    assert {(r["scope"], r["cls"]) for r in patterns.detect(rows, ["scope", "id"]).collect()} == {("s0", "ifsc"), ("s1", "apikey")}
+
+
 def test_verifier_passes_and_refuses(spark):
     _, _, safe, vault = pipeline(spark)
     assert verify.escalate(safe, vault).first()["passed"]
