@@ -2,16 +2,20 @@
 
 Texts become arrays of word hashes (lower case, runs of letters and digits). Each fixed mask picks the word
 positions that count within a window and ignores the rest; hashes of the picked words are joined with those of the
-test items. Around every hit the item is laid over the text and agreeing words are counted in place, so a few
-substituted words don't hide an overlap. An overlap counts when at least `least` of the item's words agree.
+test items. Around every hit the item is laid over the text and agreeing words are noted in place. Where NEAR of
+SPAN neighbouring words agree, they form a stretch; an item's stretches are added up over all its places in a text, so
+that parts, insertions and cuts don't hide an overlap. It counts when at least `least` of the item's words agree in
+one place or in stretches, or when stretches hold ENOUGH words. Every pattern of substitutions of up to a quarter of
+an item's words (of eight words or more) leaves a hit; beyond, a pattern may leave none.
 
-Hits are verified where they are found, in the map task: only (doc_id, item_id) sums are shuffled, so a
+Hits are verified where they are found, in the map task: only sums for (text, item) are shuffled, so a
 passage that a third of all documents hold is no single task's work. The item side is broadcast after its size is
-checked; beyond SEED_BOUND rows, hits come from a shuffled join and are verified against the texts by doc_id.
+checked; beyond SEED_BOUND rows, hits come from a shuffled join and are verified against the texts by a key of id and text.
 
 Defined results: null and empty texts and items have no words and match nothing; items shorter than a mask use
 one mask of their own length without gaps; equal items are all reported; repeated rows of a document report
-the larger overlap once; rows without a doc_id are reported together under null, and `clean` keeps them; empty tables give no row; other columns are ignored.
+the larger overlap once; rows without a doc_id are reported together under null, and `clean` keeps them; items without an
+item_id are reported together under null; empty tables give no row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,10 +28,12 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Fixed masks: 1 counts, 0 is ignored.
-MASKS = ("110110010111", "111001101101", "101011110011")
+MASKS = ("1111", "11101", "11011", "1010101")
 #: Seed rows that are broadcast at most (24 bytes each).
 SEED_BOUND = 500_000
 LEAST = 0.5
+#: Words: a stretch has NEAR agreeing ones within SPAN; ENOUGH in stretches are an overlap, however long the item is.
+NEAR, SPAN, ENOUGH = 6, 8, 13
 
 
 def words(text: Column) -> Column:
@@ -51,39 +57,50 @@ def seeds(rows: DataFrame, h: str, masks: tuple[str, ...], *keep: str) -> DataFr
 
 
 def agreeing(doc: str, item: str, diagonal: Column) -> Column:
-    """How many words agree in place when the item starts at word `diagonal` of the text."""
-    return F.aggregate(
-        F.sequence(F.lit(0), F.size(item) - 1),
-        F.lit(0),
-        lambda n, k: n + F.when((diagonal + k >= 0) & (F.get(F.col(doc), F.when(diagonal + k >= 0, diagonal + k).otherwise(F.size(doc))) == F.get(F.col(item), k)), 1).otherwise(0),
-    )
+    """Which words of the item agree in place when it starts at word `diagonal` of the text."""
+    first, last = F.greatest(F.lit(0), -diagonal), F.least(F.size(item), F.size(doc) - diagonal) - 1
+    places = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+    return F.filter(places, lambda k: F.get(F.col(doc), diagonal + k) == F.get(F.col(item), k))
+
+
+def stretches(places: str) -> Column:
+    """Those of the agreeing words that have NEAR - 1 others with them within SPAN words."""
+    dense = lambda i: F.coalesce(F.get(F.col(places), i + NEAR - 1) - F.get(F.col(places), i) < SPAN, F.lit(False))
+    return F.filter(F.col(places), lambda k, j: F.exists(F.sequence(F.greatest(j - NEAR + 1, F.lit(0)), j), dense))
 
 
 def overlaps(docs: DataFrame, items: DataFrame, least: float = LEAST, bound: int = SEED_BOUND) -> DataFrame:
-    """doc_id, item_id, n_agreeing, overlap, start (word position of the item's first word in the text, may be negative)."""
+    """doc_id, item_id, n_agreeing, overlap, start (word position of the item's first word in the text where most agree, may be negative)."""
     common.shared_dir(docs.sparkSession)
     tests = items.select(F.col("item_id").cast("long").alias("item_id"), words(F.col("text")).alias("item")).filter(F.size("item") > 0)
-    tests = common.materialise(tests.distinct(), "items")
-    span = len(MASKS[0])
+    tests = common.materialise(tests.distinct().withColumn("item_key", F.xxhash64("item_id", "item")), "items")
+    span = min(map(len, MASKS))
     short = [r[0] for r in tests.filter(F.size("item") < span).select(F.size("item")).distinct().collect()]  # at most span - 1 rows
     masks = (*MASKS, *("1" * n for n in sorted(short)))
     probes = reduce(
         DataFrame.unionByName,
-        [seeds(tests.filter(F.size("item") >= span), "item", MASKS, "item_id"), *(seeds(tests.filter(F.size("item") == n), "item", ("1" * n,), "item_id") for n in short)],
+        [seeds(tests.filter(F.size("item") >= span), "item", MASKS, "item_key"), *(seeds(tests.filter(F.size("item") == n), "item", ("1" * n,), "item_key") for n in short)],
     )
-    probes = common.materialise(probes.select("seed", "item_id", F.col("at").alias("item_at")), "seeds")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("doc"))
+    probes = common.materialise(probes.select("seed", "item_key", F.col("at").alias("item_at")), "seeds")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("doc"), F.xxhash64("doc_id", "text").alias("doc_key"))
     if probes.count() <= bound:
-        hits = seeds(texts, "doc", masks, "doc_id").join(F.broadcast(probes), "seed").join(F.broadcast(tests), "item_id")
+        hits = seeds(texts, "doc", masks, "doc_id", "doc_key").join(F.broadcast(probes), "seed").join(F.broadcast(tests), "item_key")
     else:
-        found = seeds(texts, "doc", masks, "doc_id").drop("doc").join(probes, "seed")
-        found = found.select("doc_id", "item_id", "at", "item_at").withColumn("at", F.col("at") - F.col("item_at")).withColumn("item_at", F.lit(0)).distinct()
-        hits = found.join(tests, "item_id").join(texts, "doc_id")
+        found = seeds(texts, "doc", masks, "doc_key").drop("doc").join(probes, "seed")
+        found = found.select("doc_key", "item_key", "at", "item_at").withColumn("at", F.col("at") - F.col("item_at")).withColumn("item_at", F.lit(0)).distinct()
+        hits = found.join(tests, "item_key").join(texts, "doc_key")
     start = F.col("at") - F.col("item_at")
-    checked = hits.select("doc_id", "item_id", start.alias("start"), F.size("item").alias("n"), agreeing("doc", "item", start).alias("n_agreeing"))
-    strong = checked.filter(F.col("n_agreeing") >= F.lit(least) * F.col("n"))
-    best = strong.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_agreeing", -F.col("start"), "n")).alias("b"))
-    return best.select("doc_id", "item_id", F.col("b.n_agreeing").alias("n_agreeing"), (F.col("b.n_agreeing") / F.col("b.n")).alias("overlap"), (-F.col("b.col2")).alias("start"))
+    placed = hits.select("doc_id", "doc_key", "item_id", "item_key", start.alias("start"), F.size("item").alias("n"), agreeing("doc", "item", start).alias("places"))
+    placed = placed.filter(F.size("places") >= F.least(F.lit(NEAR), F.lit(least) * F.col("n")))
+    checked = placed.select("doc_id", "doc_key", "item_id", "item_key", "start", "n", F.size("places").alias("n_agreeing"), stretches("places").alias("part"))
+    checked = checked.filter((F.size("part") > 0) | (F.col("n_agreeing") >= F.lit(least) * F.col("n")))
+    summed = checked.groupBy("doc_id", "doc_key", "item_id", "item_key").agg(
+        F.max(F.struct("n_agreeing", -F.col("start"), "n")).alias("b"), F.size(F.array_distinct(F.flatten(F.collect_set("part")))).alias("n_parts")
+    )
+    strong = summed.filter((F.greatest("b.n_agreeing", "n_parts") >= F.lit(least) * F.col("b.n")) | (F.col("n_parts") >= ENOUGH))
+    rated = strong.select("doc_id", "item_id", F.struct(F.greatest("b.n_agreeing", "n_parts").alias("n_agreeing"), F.col("b.col2").alias("back"), F.col("b.n").alias("n")).alias("b"))
+    best = rated.groupBy("doc_id", "item_id").agg(F.max("b").alias("b"))
+    return best.select("doc_id", "item_id", F.col("b.n_agreeing").alias("n_agreeing"), (F.col("b.n_agreeing") / F.col("b.n")).alias("overlap"), (-F.col("b.back")).alias("start"))
 
 
 def clean(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFrame:

@@ -131,6 +131,32 @@ def test_decontamination(spark):
     assert {r["doc_id"] for r in decontaminate.clean(docs(spark, texts), tests).collect()} == {3, 4, 5}
 
 
+def test_decontamination_of_parts(spark):
+    """A quoted part, an insertion, a cut whose head and tail remain, and ids that are null, on both paths."""
+    item = prose(56, 70).split()
+    inserted = [*item[:27], "new", "words", *item[27:]]
+    cut_ = [*item[:8], *prose(20, 71).split(), *item[-8:]]
+    texts = [" ".join([prose(90, 72), *part, prose(40, 73)]) for part in (item[20:45], inserted, cut_, item[:5])]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(None, texts[0]), (None, prose(60, 74))]
+    few = spark.createDataFrame(rows, "doc_id long, text string")
+    tests = spark.createDataFrame([(None, " ".join(item)), (7, prose(40, 75))], "item_id long, text string")
+    for bound in (decontaminate.SEED_BOUND, 0):
+        got = {(r["doc_id"], r["item_id"]): r["n_agreeing"] for r in decontaminate.overlaps(few, tests, bound=bound).collect()}
+        assert got == {(0, None): 25, (1, None): 56, (2, None): 16, (None, None): 25}
+
+
+def test_decontamination_meets_every_quarter_of_substitutions(spark):
+    dice, rows = np.random.default_rng(76), []
+    items = {n: prose(n, 300 + n).split() for n in (8, 15, 17, 27, 38, 59)}
+    for n, w in items.items():
+        fourths = [set(range(p, n, 4)) for p in range(4)]
+        some = [set(dice.choice(n, n // 4, replace=False).tolist()) for _ in range(60)]
+        rows += [(n * 1000 + k, " ".join("zz%d" % i if i in gone else x for i, x in enumerate(w))) for k, gone in enumerate([*fourths, *some])]
+    tests = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.overlaps(spark.createDataFrame(rows, "doc_id long, text string"), tests).collect()}
+    assert got == {(i, i // 1000) for i, _ in rows}
+
+
 def shingles(t):
     w = "".join(c.lower() if c.isalnum() else " " for c in t or "").split()
     return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
