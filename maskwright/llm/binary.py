@@ -112,9 +112,9 @@ def token_ids(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2) ->
 
     def run(batches):
         for ids, texts in common.steps(batches, "doc_id", "text"):
-            found = [np.frombuffer(x, "<u4") for x in encode(path, texts, end_id)]
+            found = encode(path, texts, end_id)
             wide = [bool((x > 0xFFFF).any()) for x in found]
-            raw = [x.tobytes() if w else x.astype("<u2").tobytes() for x, w in zip(found, wide)]
+            raw = [x.astype("<u4" if w else "<u2").tobytes() for x, w in zip(found, wide)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(wide), pa.array(raw, pa.binary())], names=["doc_id", "wide", "ids"])
 
     return common.doc_columns(docs).mapInArrow(run, "doc_id long, wide boolean, ids binary")
@@ -174,8 +174,8 @@ def write_blocks(ids: DataFrame, lengths: np.ndarray, path: str) -> None:
     ordered.mapInArrow(run, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, ids (little-endian uint32 bytes) of each document, decoded from the file."""
+def read_documents(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
+    """doc_id, start and either ids (little-endian uint32 bytes) or n_tokens and their crc32, of each document, decoded from the file."""
     book = spark.read.schema("id long, length int").parquet(f"{path}/codebook").collect()  # at most the vocabulary
     lengths = np.zeros(max((r[0] for r in book), default=0) + 1, dtype=np.int64)
     for i, n in book:
@@ -188,17 +188,18 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     def run(batches):
         table = decoding_table(lengths)
         for b in batches:
-            for r in b.to_pylist():
-                ids = read_bits(r["bits"], np.asarray(r["checkpoints"]), r["n_ids"], table)
+            for r in (b.slice(k, 1).to_pylist()[0] for k in range(b.num_rows)):
+                raw = read_bits(r["bits"], np.asarray(r["checkpoints"]), r["n_ids"], table).astype("<u4").tobytes()
                 ends = np.cumsum(r["counts"])
                 starts = ends - r["counts"]
-                raw = ids.astype("<u4").tobytes()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(r["doc_ids"], pa.int64()), pa.array(starts + base[r["part"]] + r["first"], pa.int64()), pa.array([raw[4 * s : 4 * e] for s, e in zip(starts.tolist(), ends.tolist())], pa.binary())],
-                    names=["doc_id", "start", "ids"],
-                )
+                each = [raw[4 * s : 4 * e] for s, e in zip(starts.tolist(), ends.tolist())]
+                cols = [pa.array(r["doc_ids"], pa.int64()), pa.array(starts + base[r["part"]] + r["first"], pa.int64())]
+                cols += [pa.array(r["counts"], pa.int64()), pa.array(map(zlib.crc32, each), pa.int64())] if digest else [pa.array(each, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return blocks.mapInArrow(run, "doc_id long, start long, ids binary")
+    names = ["doc_id", "start", *(("n_tokens", "ids_crc32") if digest else ("ids",))]
+    kinds = "doc_id long, start long, " + ("n_tokens long, ids_crc32 long" if digest else "ids binary")
+    return blocks.mapInArrow(run, kinds)
 
 
 def write_documents(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 2) -> None:
@@ -213,12 +214,4 @@ def write_documents(docs: DataFrame, path: str, tokenizer: str | None = None, en
 def op9_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = common.scratch_path(spark, "huffman")
     write_documents(common.table(spark, sf_dir, "documents"), path)
-
-    def digest(batches):
-        for ids, starts, raws in common.steps(batches, "doc_id", "start", "ids"):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array([len(r) // 4 for r in raws], pa.int64()), pa.array([zlib.crc32(r) for r in raws], pa.int64())],
-                names=["doc_id", "start", "n_tokens", "ids_crc32"],
-            )
-
-    return read_documents(spark, path).mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return read_documents(spark, path, digest=True)

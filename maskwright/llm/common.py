@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import gc
 import uuid
 from collections.abc import Iterator
@@ -12,10 +14,30 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from .. import session
 
 #: Bytes of text that one vectorised step works on; keeps a Python worker's arrays small.
-STEP_BYTES = 2_000_000
+STEP_BYTES = 500_000
+#: Rows and bytes of an Arrow batch at most, where the session leaves Spark's own (larger) limits.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4194304b")}
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """The package on all executors, and Arrow batches of a bounded size."""
+    for key, (usual, bound) in BATCH.items():
+        try:
+            if spark.conf.get(key).lower().removesuffix("b") == usual.removesuffix("b"):
+                spark.conf.set(key, bound)
+        except Exception:  # noqa: BLE001  this Spark has no such limit
+            continue
+    return session.ship(spark)
+
+
+def trim() -> None:
+    """Give freed memory of this worker back to the machine: the next stage's workers may need it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -97,3 +119,4 @@ def steps(batches: Iterator[pa.RecordBatch], *columns: str, limit: int = STEP_BY
                 start, size = i, 0
             size += w
         yield [batch.column(batch.schema.get_field_index(c)).slice(start).to_pylist() for c in columns]
+    trim()

@@ -3,8 +3,9 @@
 The histogram (at most `capacity` lengths, so bounded whatever the corpus) goes to the driver. There a
 covering program over size classes - how many sequences of each configuration cover all pieces - is solved
 by multiplicative weights: each round a knapsack dynamic program prices the configuration of most weight.
-The fractional solution is rounded down and filled best-fit with exact lengths, each step using a pattern
-as often as the counts allow, so every step finishes a length or a configuration. Pieces then find their
+The fractional solution is rounded down and repaired with exact lengths - each class gives its longest piece that fits, best
+fit takes what room remains - and residual programs treat what is left. Each step uses a pattern
+as often as the counts allow, so it finishes a length or a configuration. Pieces then find their
 place by their rank among the pieces of their length: no document ever reaches the driver.
 
 Defined results: null and empty texts are one end id; longer documents are cut every `capacity` ids;
@@ -24,8 +25,10 @@ from pyspark.sql import functions as F
 from . import common
 from .tokens import default_tokenizer, encode
 
-#: Size classes of the linear program (capacity / CLASSES lengths share one) and its rounds.
-CLASSES, ROUNDS, RATE = 64, 3000, 0.25
+#: Size classes of the linear program (capacity / CLASSES lengths share the nearest one), its rounds and rate.
+CLASSES, ROUNDS, RATE = 512, 1500, 0.25
+#: Programs at most, each over what the one before has left.
+PROGRAMS = 4
 
 
 def token_pieces(docs: DataFrame, capacity: int = 4096, tokenizer: str | None = None, end_id: int = 1) -> DataFrame:
@@ -35,10 +38,10 @@ def token_pieces(docs: DataFrame, capacity: int = 4096, tokenizer: str | None =
     def run(batches):
         for ids, texts in common.steps(batches, "doc_id", "text"):
             rows = []
-            for doc, raw in zip(ids, encode(path, texts, end_id)):
-                for k, at in enumerate(range(0, len(raw), 4 * capacity)):
-                    part = raw[at : at + 4 * capacity]
-                    rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
+            for doc, found in zip(ids, encode(path, texts, end_id)):
+                for k, at in enumerate(range(0, len(found), capacity)):
+                    part = found[at : at + capacity]
+                    rows.append((doc, k, at, len(part), zlib.crc32(part.astype("<u4").tobytes())))
             cols = list(zip(*rows))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))],
@@ -68,10 +71,11 @@ def price(values: np.ndarray, capacity: int) -> np.ndarray:
     return take
 
 
-def solve(demand: np.ndarray, rounds: int = ROUNDS, rate: float = RATE) -> list[tuple[tuple[int, ...], float]]:
+def solve(demand: np.ndarray, rounds: int = ROUNDS, rate: float = RATE) -> list[tuple[tuple[tuple[int, int], ...], float]]:
     """Multiplicative weights for min sum(x) with sum(take * x) >= demand over all configurations: (take, x) pairs.
 
-    demand[s] pieces have size s (index 0 unused). A row's weight falls as its cover grows."""
+    demand[s] pieces have size s (index 0 unused); take has (size, number). A row's weight falls as its cover grows. x is
+    scaled so that no class is taken more often than it has pieces; what lacks is left to the next program."""
     capacity, rows = len(demand) - 1, np.flatnonzero(demand)
     if not len(rows):
         return []
@@ -84,41 +88,42 @@ def solve(demand: np.ndarray, rounds: int = ROUNDS, rate: float = RATE) -> list[
         used = np.flatnonzero(take)
         step = rate * (demand[used] / take[used]).min()
         cover += step * take
-        amount[tuple(take)] = amount.get(tuple(take), 0.0) + step
-    least = (cover[rows] / demand[rows]).min()
-    return sorted(((c, x / max(least, 1e-9)) for c, x in amount.items()), key=lambda p: -p[1])
+        key = tuple(zip(used.tolist(), take[used].tolist()))
+        amount[key] = amount.get(key, 0.0) + step
+    scale = float((cover[rows] / demand[rows]).max())
+    return sorted(((c, x / scale) for c, x in amount.items()), key=lambda p: -p[1])
 
 
-def plan(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
-    """Rounded packing: entries (length, first rank, copies, first sequence, offset), and the number of sequences.
+Entry = tuple[int, int, int, int, int]
+
 
-    The pieces of a length with ranks from an entry's first rank on go `copies` to a sequence."""
+def _fill(histogram: dict[int, int], capacity: int, programs: int) -> tuple[list[Entry], int]:
+    """Patterns of exact lengths, as `plan` returns them: those of so many programs, each over what the last one left, then best fit."""
     left = {k: v for k, v in histogram.items() if v}
     lengths = sorted(left)
     width = -(-capacity // CLASSES)
-    of = lambda n: -(-n // width)
-    demand = np.zeros(-(-capacity // width) + 1)
-    for n, c in left.items():
-        demand[of(n)] += c
     used: dict[int, int] = dict.fromkeys(left, 0)
-    entries, sequences = [], 0
+    entries: list[Entry] = []
+    sequences = 0
 
-    def below(room: int) -> int:
-        return lengths[k - 1] if (k := bisect_right(lengths, room)) else 0
+    def below(room: int, pattern: dict[int, int]) -> int:
+        """The longest piece that fits and isn't used up; 0 if none."""
+        k = bisect_right(lengths, room)
+        while k and left[lengths[k - 1]] <= pattern.get(lengths[k - 1], 0):
+            k -= 1
+        return lengths[k - 1] if k else 0
 
     def place(wanted: list[int], most: float) -> int:
-        """One pattern: the classes wanted, largest first, then best fit for what room remains; as often as counts allow."""
+        """One pattern: a piece of each wanted class, largest first, then best fit for what room remains; as often as counts allow."""
         nonlocal sequences
         pattern: dict[int, int] = {}
         room = capacity
-        for top in [*wanted, *[capacity] * capacity]:
-            n = below(min(room, top * width if top <= CLASSES and top != capacity else room))
-            while n and left[n] <= pattern.get(n, 0):
-                n = below(n - 1)
-            if not n:
-                if top == capacity:
-                    break
-                continue
+        for top in wanted[:-1]:  # best fit takes the last one, or what closes the sequence better
+            n = below(min(room, top * width + width // 2), pattern)
+            if n >= (top - 1) * width and n:
+                pattern[n] = pattern.get(n, 0) + 1
+                room -= n
+        while n := below(room, pattern):
             pattern[n] = pattern.get(n, 0) + 1
             room -= n
         times = int(min(most, min(left[n] // k for n, k in pattern.items())))
@@ -133,16 +138,31 @@ def plan(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, int,
         sequences += times
         return times
 
-    for take, x in solve(demand):
-        wanted = [int(s) for s in np.flatnonzero(take)[::-1] for _ in range(take[s])]
-        most = int(x)
-        while most and lengths and bisect_right(lengths, wanted[0] * width) > bisect_right(lengths, (wanted[0] - 1) * width):
-            most -= place(wanted, most)
+    for _ in range(programs):
+        demand = np.zeros(-(-capacity // width) + 1)
+        for n in lengths:
+            demand[max(1, min(len(demand) - 1, (n + width // 2) // width))] += left[n]
+        before = sequences
+        for take, x in solve(demand):
+            wanted = [s for s, k in reversed(take) for _ in range(k)]
+            most = int(x)
+            while most and lengths:
+                most -= place(wanted, most)
+        if sequences == before or not lengths:
+            break
     while lengths:
         place([], float("inf"))
     return entries, sequences
 
 
+def plan(histogram: dict[int, int], capacity: int) -> tuple[list[Entry], int]:
+    """Rounded packing: entries (length, first rank, copies, first sequence, offset), and the number of sequences.
+
+    The pieces of a length with ranks from an entry's first rank on go `copies` to a sequence. The rounded programs
+    count unless best fit alone needs fewer sequences."""
+    return min((_fill(histogram, capacity, programs) for programs in (PROGRAMS, 0)), key=lambda found: found[1])
+
+
 def ranked(pieces: DataFrame, n: int) -> DataFrame:
     """`rank`: each piece's number among those of its length. Lengths are dealt over buckets, so a common one is no single task's."""
     buckets = max(16, n // 50_000)
