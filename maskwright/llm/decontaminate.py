@@ -42,18 +42,38 @@ def words(text: Column) -> Column:
     return F.transform(F.array_remove(parts, ""), lambda w: F.xxhash64(w))
 
 
-def seed(h: str, at: Column, mask: str) -> Column:
-    """Hash of the words a mask picks from position `at`; null where the window doesn't fit."""
-    picked = [F.get(F.col(h), at + k) for k, c in enumerate(mask) if c == "1"]
-    return F.when(at + len(mask) <= F.size(h), F.xxhash64(F.lit(mask), *picked))
+def closing(mask: str) -> tuple[tuple[int, ...], ...]:
+    """Which places besides the mask's own would have to agree for another hit on the same diagonal: the word before a mask
+    without gaps (its run then starts earlier), or ignored words that make a run of the first mask's length."""
+    if "0" not in mask:
+        return ((-1,),)
+    run, gaps = len(MASKS[0]), [k for k, c in enumerate(mask) if c == "0"]
+    found = {tuple(k for k in gaps if at <= k < at + run) for at in range(len(mask) - run + 1)}
+    return tuple(sorted(f for f in found if not any(set(g) < set(f) for g in found)))
 
 
 def seeds(rows: DataFrame, h: str, masks: tuple[str, ...], *keep: str) -> DataFrame:
-    """keep, at, seed: one row for each window and mask. Filling positions before hashing keeps the hashes in generated code."""
-    shortest = min(map(len, masks))
-    fits = rows.filter(F.size(h) >= shortest)
-    placed = fits.select(*keep, h, F.explode(F.sequence(F.lit(0), F.greatest(F.size(h) - shortest, F.lit(0)))).alias("at"))
-    return placed.select(*keep, "at", h, F.explode(F.array(*[seed(h, F.col("at"), m) for m in masks])).alias("seed")).filter(F.col("seed").isNotNull())
+    """keep, at, h, seed, beside: a row for each window and mask, with the words of the places that `closing` names.
+
+    Each place's words become plain columns first, which keeps hashing and the join after it in one generated loop."""
+    shortest, span = min(map(len, masks)), max(map(len, masks))
+    placed = rows.filter(F.size(h) >= shortest).select(*keep, h, F.explode(F.sequence(F.lit(0), F.size(h) - shortest)).alias("at"))
+    spread = placed.select(*keep, h, "at", *[F.get(F.col(h), F.col("at") + k).alias(f"w{k}") for k in range(-1, span)])
+    kinds = []
+    for i, mask in enumerate(masks):
+        picked = [F.col(f"w{k}") for k, c in enumerate(mask) if c == "1"]
+        beside = sorted({k for some in closing(mask) for k in some})
+        # Of one place beside, the second is alike on both sides: the drop rule then asks for the first alone.
+        beside_ = [F.col(f"w{k}") for k in beside] if len(beside) == 3 else [F.col(f"w{beside[0]}"), F.lit(0).cast("long"), F.lit(None).cast("long")]
+        kinds.append(F.struct(F.when(picked[-1].isNotNull(), F.xxhash64(F.lit(i), *picked)).alias("seed"), *[b.alias(f"b{n}") for n, b in enumerate(beside_)]))
+    each = spread.select(*keep, "at", h, F.inline(F.array(*kinds)))
+    return each.filter(F.col("seed").isNotNull())
+
+
+def redundant() -> Column:
+    """Whether a hit is implied by another one on its diagonal: (b0 and b1) or (b1 and b2) agree."""
+    same = [F.coalesce(F.col(f"b{n}") == F.col(f"item_b{n}"), F.lit(False)) for n in range(3)]
+    return (same[0] & same[1]) | (same[1] & same[2])
 
 
 def agreeing(doc: str, item: str, diagonal: Column) -> Column:
@@ -73,7 +93,7 @@ def overlaps(docs: DataFrame, items: DataFrame, least: float = LEAST, bound: int
     """doc_id, item_id, n_agreeing, overlap, start (word position of the item's first word in the text where most agree, may be negative)."""
     common.shared_dir(docs.sparkSession)
     tests = items.select(F.col("item_id").cast("long").alias("item_id"), words(F.col("text")).alias("item")).filter(F.size("item") > 0)
-    tests = common.materialise(tests.distinct().withColumn("item_key", F.xxhash64("item_id", "item")), "items")
+    tests = common.hold(tests.distinct().withColumn("item_key", F.xxhash64("item_id", "item")))
     span = min(map(len, MASKS))
     short = [r[0] for r in tests.filter(F.size("item") < span).select(F.size("item")).distinct().collect()]  # at most span - 1 rows
     masks = (*MASKS, *("1" * n for n in sorted(short)))
@@ -81,12 +101,13 @@ def overlaps(docs: DataFrame, items: DataFrame, least: float = LEAST, bound: int
         DataFrame.unionByName,
         [seeds(tests.filter(F.size("item") >= span), "item", MASKS, "item_key"), *(seeds(tests.filter(F.size("item") == n), "item", ("1" * n,), "item_key") for n in short)],
     )
-    probes = common.materialise(probes.select("seed", "item_key", F.col("at").alias("item_at")), "seeds")
+    probes = common.hold(probes.select("seed", "item_key", F.col("at").alias("item_at"), *[F.col(f"b{n}").alias(f"item_b{n}") for n in range(3)]))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("doc"), F.xxhash64("doc_id", "text").alias("doc_key"))
     if probes.count() <= bound:
-        hits = seeds(texts, "doc", masks, "doc_id", "doc_key").join(F.broadcast(probes), "seed").join(F.broadcast(tests), "item_key")
+        found = seeds(texts, "doc", masks, "doc_id", "doc_key").join(F.broadcast(probes), "seed").filter(~redundant())
+        hits = found.join(F.broadcast(tests), "item_key")
     else:
-        found = seeds(texts, "doc", masks, "doc_key").drop("doc").join(probes, "seed")
+        found = seeds(texts, "doc", masks, "doc_key").drop("doc").join(probes, "seed").filter(~redundant())
         found = found.select("doc_key", "item_key", "at", "item_at").withColumn("at", F.col("at") - F.col("item_at")).withColumn("item_at", F.lit(0)).distinct()
         hits = found.join(tests, "item_key").join(texts, "doc_key")
     start = F.col("at") - F.col("item_at")
