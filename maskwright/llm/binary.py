@@ -15,6 +15,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -107,21 +108,22 @@ def read_bits(bits: bytes, checkpoints: np.ndarray, n: int, table: np.ndarray) -
 
 
 def token_ids(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2) -> DataFrame:
-    """doc_id, ids: each document's ids with end_id behind, as little-endian unsigned 16-bit (32-bit where an id needs it)."""
+    """doc_id, wide, ids: each document's ids with end_id behind, as compressed little-endian unsigned 16-bit (32-bit where an id needs it: wide)."""
     path = tokenizer or default_tokenizer()
 
     def run(batches):
+        packer = zstandard.ZstdCompressor(level=1)
         for ids, texts in common.steps(batches, "doc_id", "text"):
             found = encode(path, texts, end_id)
             wide = [bool((x > 0xFFFF).any()) for x in found]
-            raw = [x.astype("<u4" if w else "<u2").tobytes() for x, w in zip(found, wide)]
+            raw = [packer.compress(x.astype("<u4" if w else "<u2").tobytes()) for x, w in zip(found, wide)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(wide), pa.array(raw, pa.binary())], names=["doc_id", "wide", "ids"])
 
     return common.doc_columns(docs).mapInArrow(run, "doc_id long, wide boolean, ids binary")
 
 
 def _ids(raw: bytes, wide: bool) -> np.ndarray:
-    return np.frombuffer(raw, "<u4" if wide else "<u2")
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), "<u4" if wide else "<u2")
 
 
 def id_counts(ids: DataFrame) -> DataFrame:
@@ -203,7 +205,7 @@ def read_documents(spark: SparkSession, path: str, digest: bool = False) -> Data
 
 
 def write_documents(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 2) -> None:
-    ids = common.materialise(token_ids(docs, tokenizer, end_id), "ids")
+    ids = common.hold(token_ids(docs, tokenizer, end_id))
     counts = {r[0]: r[1] for r in id_counts(ids).collect()}  # at most the vocabulary
     full = np.zeros(max(counts, default=0) + 1, dtype=np.int64)
     for i, n in counts.items():

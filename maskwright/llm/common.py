@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,11 +20,18 @@ from .. import session
 #: Bytes of text that one vectorised step works on; keeps a Python worker's arrays small.
 STEP_BYTES = 500_000
 #: Rows and bytes of an Arrow batch at most, where the session leaves Spark's own (larger) limits.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4194304b")}
+BATCH = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4194304b"),
+    "spark.sql.inMemoryColumnarStorage.batchSize": ("10000", "1000"),
+}
+#: Bytes that an item of a list counts in a step.
+ITEM_BYTES = 200
+#: Rows of a partition that small results are coalesced to, so that many shuffle partitions don't become many tiny files.
+COMPACT = 5_000
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """The package on all executors, and Arrow batches of a bounded size."""
+    """The package on all executors, and batches of a bounded size."""
     for key, (usual, bound) in BATCH.items():
         try:
             if spark.conf.get(key).lower().removesuffix("b") == usual.removesuffix("b"):
@@ -81,24 +89,37 @@ def release_all() -> None:
         _remove(*_written.pop())
 
 
-def release(spark: SparkSession, since: int) -> None:
-    """Remove the tables written since `_written` had `since` entries but the last one, and have Spark drop shuffle files no longer referred to."""
-    done = _written[since:-1]
-    del _written[since:-1]
-    for w in done:
-        _remove(*w)
+def drop_shuffles(spark: SparkSession) -> None:
+    """Have Spark drop shuffle files that no table refers to any more: on a busy cluster that may otherwise wait for the driver's garbage collection."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts the lineage, and lost executors lose nothing."""
+def materialise(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: cuts the lineage, and lost executors lose nothing.
+
+    rows: about how many there are, where that is known; then few rows don't become many tiny files."""
     spark = df.sparkSession
+    df = df if rows is None else compact(df, rows)
     path = scratch_path(spark, label)
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hold(df: DataFrame) -> DataFrame:
+    """df computed once and kept on the executors' disks, for steps of one plan. Partitions that go with a lost executor are
+    computed again from their lineage, which is short and the same each time. For tables straight from a source: behind
+    shuffles, materialise() also lets Spark drop the shuffle files and keeps plans small."""
+    df = df.persist(StorageLevel.DISK_ONLY)
+    df.count()
+    return df
+
+
+def compact(df: DataFrame, rows: int) -> DataFrame:
+    """df, whose number of rows is known about, in no more partitions than its rows are worth."""
+    return df.coalesce(max(8, -(-rows // COMPACT)))
+
+
 def doc_columns(docs: DataFrame) -> DataFrame:
     """doc_id and text only, text null as empty; other columns, whatever their names, don't matter."""
     ship(docs.sparkSession)
@@ -111,7 +132,8 @@ def steps(batches: Iterator[pa.RecordBatch], *columns: str, limit: int = STEP_BY
         if not batch.num_rows:
             continue
         last = batch.column(batch.schema.get_field_index(columns[-1]))
-        width = pc.fill_null(pc.binary_length(last), 0).to_numpy(zero_copy_only=False)
+        sizes = pc.multiply(pc.list_value_length(last), ITEM_BYTES) if pa.types.is_list(last.type) else pc.binary_length(last)
+        width = pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False)
         start, size = 0, 0
         for i, w in enumerate(width.tolist()):
             if size and size + w > limit:

@@ -191,13 +191,12 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
             cols += [pa.array(e[:, 3] + at // e[:, 2]), pa.array(e[:, 4] + at % e[:, 2] * n)]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return ranked(pieces, sum(histogram.values())).mapInArrow(
-        run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    )
+    n = sum(histogram.values())
+    return common.compact(ranked(pieces, n), n).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, capacity: int = 4096, tokenizer: str | None = None, end_id: int = 1) -> DataFrame:
-    return pack(common.materialise(token_pieces(docs, capacity, tokenizer, end_id), "pieces"), capacity)
+    return pack(common.hold(token_pieces(docs, capacity, tokenizer, end_id)), capacity)
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -103,8 +103,8 @@ def minimax(index: RunningTotals, shards: int, largest: int) -> tuple[int, list[
 
 def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard."""
-    rows = common.materialise(keyed(docs), "sizes")
-    groups = common.materialise(rows.groupBy("group").agg(F.sum("size").alias("size")), "groups")
+    rows = common.hold(keyed(docs))
+    groups = common.hold(rows.groupBy("group").agg(F.sum("size").alias("size")))
     n, largest = groups.agg(F.count("*"), F.coalesce(F.max("size"), F.lit(0))).first()
     digits = 1
     while digits < 5 and n > 500 * 16**digits:

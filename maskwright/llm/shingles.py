@@ -18,14 +18,26 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(1, 1 << 63, 256, dtype=np.uint64), word
 
 
-@cache
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse, modulo 2 ** 64."""
+#: Longest stretch for which powers are kept between calls (4 MB).
+_KEPT = 1 << 18
+
+
+def _fresh(n: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.full(n, _ODD, dtype=np.uint64), np.full(n, pow(_ODD, -1, 1 << 64), dtype=np.uint64)
     up[0] = down[0] = 1
     return np.cumprod(up), np.cumprod(down)
 
 
+@cache
+def _usual() -> tuple[np.ndarray, np.ndarray]:
+    return _fresh(_KEPT)
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least n powers of an odd number and of its inverse, modulo 2 ** 64."""
+    return _usual() if n <= _KEPT else _fresh(n)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -42,8 +54,7 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     inside[1:-1] = word[data]
     change = np.diff(inside)
     starts, stops = np.flatnonzero(change == 1), np.flatnonzero(change == -1)
-    size = 1 << max(16, int(len(data)).bit_length())
-    up, down = _powers(size)
+    up, down = _powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(random[data] * up[: len(data)], out=sums[1:])
     hashes = mix((sums[stops] - sums[starts]) * down[starts] + (stops - starts).astype(np.uint64))

@@ -118,7 +118,7 @@ def common_prefixes(symbols: list[int], order: list[int]) -> list[int]:
 
 def _sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Prefix sums for hashes of any stretch, and the powers that shift them."""
-    up, down = _powers(1 << max(16, int(len(data)).bit_length()))
+    up, down = _powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(_RANDOM[data] * up[: len(data)], out=sums[1:])
     return sums, down
@@ -275,9 +275,9 @@ def _windows(batches):
 
 def repeated_runs(docs: DataFrame, most: int = MOST) -> DataFrame:
     """doc_id, version, runs (start, end of runs of windows that occur elsewhere too)."""
-    every = common.materialise(contexts(docs), "contexts")
+    every = common.hold(contexts(docs))
     kinds = every.groupBy("seed", "digest").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "version", "at", "n")).alias("one"))
-    kinds = common.materialise(kinds.select("seed", "digest", "times", "one.*"), "kinds")
+    kinds = common.hold(kinds.select("seed", "digest", "times", "one.*"))
     shared = kinds.groupBy("seed").agg(F.count("*").alias("kinds")).filter("kinds > 1")
     wanted = kinds.join(shared, "seed")
     per_doc = wanted.groupBy("doc_id", "version").agg(F.collect_list(F.struct("seed", "digest", "times", "at", "n", "kinds")).alias("wanted"))
@@ -292,7 +292,7 @@ def repeated_runs(docs: DataFrame, most: int = MOST) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds_)], names=["seed", "digest", "times", "kinds", "context"])
 
     fetched = docs.join(per_doc, ["doc_id", "version"]).select("wanted", "text")
-    fetched = common.materialise(fetched.mapInArrow(fetch, "seed long, digest binary, times long, kinds long, context binary"), "fetched")
+    fetched = common.hold(fetched.mapInArrow(fetch, "seed long, digest binary, times long, kinds long, context binary"))
     few = fetched.filter(F.col("kinds") <= most).select("seed", "digest", "times", "context").repartition("seed").sortWithinPartitions("seed", "digest")
     flagged = few.mapInArrow(_flag, "digest binary, start int, end int")
     many = fetched.filter(F.col("kinds") > most).dropDuplicates(["seed", "digest"]).select("digest", "times", "context")
@@ -300,7 +300,7 @@ def repeated_runs(docs: DataFrame, most: int = MOST) -> DataFrame:
     twice = single.groupBy("high", "low").agg(F.sum("times").alias("all")).filter("all > 1").select("high", "low")
     spread = single.join(twice, ["high", "low"]).filter("times = 1").select("digest", F.col("at").alias("start"), (F.col("at") + 1).alias("end"))
     whole = kinds.filter("times > 1").select("digest", F.lit(0).alias("start"), F.col("n").alias("end"))
-    known = common.materialise(whole.unionByName(flagged).unionByName(spread), "repeated")
+    known = common.hold(whole.unionByName(flagged).unionByName(spread))
     met = every.select("digest", "doc_id", "version", "at").join(known, "digest")
     return met.groupBy("doc_id", "version").agg(F.collect_list(F.struct((F.col("at") + F.col("start")).alias("start"), (F.col("at") + F.col("end")).alias("end"))).alias("runs"))
 
@@ -320,7 +320,7 @@ def dedup(docs: DataFrame, most: int = MOST) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans."""
     own = F.col("doc_id").alias("own_id")
     rows = common.doc_columns(docs).select(own, F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), F.xxhash64("text").alias("version"), "text")
-    found = common.materialise(repeated_runs(rows.drop("own_id"), most), "runs")
+    found = common.hold(repeated_runs(rows.drop("own_id"), most))
     met = rows.join(found, ["doc_id", "version"], "left").select(F.col("own_id").alias("doc_id"), "runs", "text")
 
     def run(batches):

@@ -227,7 +227,7 @@ def deduce(pages: DataFrame) -> DataFrame:
 def main_text(pages: DataFrame, bound: int = HOST_BOUND) -> DataFrame:
     """page_id, url, text, n_chars."""
     common.ship(pages.sparkSession)
-    templates = common.materialise(deduce(pages), "templates")
+    templates = common.hold(deduce(pages))
     small = templates.count() <= bound
     rows = pages.select("page_id", "url", host(F.col("url")).alias("host"), F.coalesce(F.col("html"), F.lit("")).alias("html"))
     whole = rows.join(F.broadcast(templates) if small else templates, "host", "left").select("page_id", "url", "slots", "html")
