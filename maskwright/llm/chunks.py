@@ -1,16 +1,18 @@
-"""Substring deduplication by winnowed seeds that are extended byte by byte.
-
-Every stretch of SEED + REACH - 1 bytes picks its least hashed SEED-byte string, so equal stretches of that many bytes share
-a seed wherever they stand. Seeds meet by hash; each is compared with the first occurrence of its hash, by (doc_id,
-position), and the first occurrence with the last one: from the seed on, equal bytes are counted left and right
-within CONTEXT bytes, more than the farthest next seed. What neighbouring seeds so cover joins to stretches; one of
-at least `least` bytes is repeated. The first occurrence stays and the others are cut out. Sums per hash are
-built map-side and occurrences meet them in joins that Spark splits where a hash is hot; a document's hits are
-gathered with CONTEXT bytes each, never a hash's documents or their texts.
-
-Defined results: null and empty texts have no seeds; cuts never split a character; rows with equal doc_id are
-one document's repeated rows: their seeds count as occurrences, and each such row loses the same spans; rows without a doc_id lose nothing
-and are nobody's first occurrence; an empty table gives no row; other columns are kept by `cut` and ignored by the rest.
+"""Substring deduplication by content-defined chunking with a gear rolling hash.
+
+A gear hash over the last WINDOW bytes marks cut points by content alone, so an insertion moves only the chunks that it
+touches. From every cut point a variable chunk runs to the first one at least SMALLEST bytes on; chunks overlap, and
+which ones a passage has depends on the passage alone, wherever it stands. Chunks meet by digest. Neighbouring repeated chunks
+are a run; at a run's ends the chunk's bytes and those beside it are compared with another occurrence, so that a
+passage goes whole. A stretch so found is repeated if it has `least` bytes or WORDS words. The first occurrence
+of each chunk, by (doc_id, position), stays and the others are cut out.
+
+Sums per digest are built map-side and chunks meet them in joins that Spark splits where a digest is hot; a
+document's chunks are gathered with the bytes beside its runs, never a digest's documents.
+
+Defined results: null and empty texts, and those of under SMALLEST bytes, lose nothing; cuts never split a character; rows are told apart by
+doc_id and text, so rows that share a doc_id lose their own repeats alone; of such rows, and of rows without a doc_id (which come last), several may
+hold a first occurrence and all keep it, and so do repeated rows; an empty table gives no row; other columns are kept by `cut` and ignored by the rest.
 """
 
 from __future__ import annotations
@@ -23,18 +25,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .shingles import mix
-
-#: Bytes: gear window, least and greatest chunk; one position in MEAN ends a chunk once it has the least size.
-WINDOW, SMALLEST, GREATEST, MEAN = 16, 24, 256, 32
-#: A repeated stretch has so many bytes at least: under half of a passage of 50 words.
-LEAST = 120
-#: Bytes: a seed, the places one of which is picked (together LEAST at most), and what is compared on each side of a seed (REACH at least).
-SEED, REACH, CONTEXT = 48, 72, 80
-_RANDOM = np.random.default_rng(3).integers(1, 1 << 63, 256, dtype=np.uint64)
-_ODD = 0x9E3779B97F4A7C15
-_NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+#: Bytes: gear window, least chunk, greatest gap between cut points; one position in MEAN is a cut point.
+WINDOW, SMALLEST, GREATEST, MEAN = 16, 40, 256, 40
+#: A repeated stretch has so many bytes or words at least.
+LEAST, WORDS = 250, 50
+#: Bytes beside a chunk that are compared.
+CONTEXT = 320
 _GEAR = np.random.default_rng(2).integers(0, 1 << 16, 256, dtype=np.uint16)
+#: A row without a doc_id comes after all others.
+LAST = (1 << 63) - 1
 
 
 def gear(data: np.ndarray) -> np.ndarray:
@@ -47,190 +47,206 @@ def gear(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def cut_points(raws: list[bytes]) -> list[list[int]]:
-    """Chunk ends of each text: where the hash's top bits are 0, between the least and the greatest size, at a character's start."""
+def cut_points(raws: list[bytes]) -> list[np.ndarray]:
+    """Each text's cut points, its start and end included: where the hash is in its lowest MEAN-th part, at a character's start; in longer gaps every GREATEST bytes."""
     gap = bytes(WINDOW)
     data = np.frombuffer(gap.join([b"", *raws, b""]), dtype=np.uint8)
-    ends = np.flatnonzero((gear(data) >> np.uint16(16 - MEAN.bit_length() + 1)) == 0) + 1
+    ends = np.flatnonzero(gear(data) < (1 << 16) // MEAN) + 1
     ends = ends[(data[np.minimum(ends, len(data) - 1)] & 0xC0) != 0x80]
     out, start = [], WINDOW
     for raw in raws:
-        stop, cuts, last = start + len(raw), [], 0
+        stop = start + len(raw)
         lo, hi = np.searchsorted(ends, (start + 1, stop))
-        for end in [*(ends[lo:hi] - start).tolist(), len(raw)]:
-            while end - last > GREATEST:
-                at = last + GREATEST
-                while at < end and raw[at] & 0xC0 == 0x80:
-                    at += 1
-                if at >= end:
-                    break
-                cuts.append(at)
-                last = at
-            if end - last >= SMALLEST or end == len(raw) and end > last:
-                cuts.append(end)
-                last = end
+        cuts = np.concatenate([[0], ends[lo:hi] - start, [len(raw)]])
+        wide = np.flatnonzero(np.diff(cuts) > GREATEST)
+        if len(wide):
+            more = []
+            for a, b in zip(cuts[wide].tolist(), cuts[wide + 1].tolist()):
+                for at in range(a + GREATEST, b, GREATEST):
+                    while at < b and raw[at] & 0xC0 == 0x80:
+                        at += 1
+                    more.append(at)
+            cuts = np.unique(np.concatenate([cuts, np.asarray(more, dtype=np.int64)]))
         out.append(cuts)
         start = stop + WINDOW
     return out
 
 
-def hashes(data: np.ndarray) -> np.ndarray:
-    """Hash of the SEED bytes that begin at each place; the places at the end that have fewer are left out."""
-    h, span, power = _RANDOM[data], 1, _ODD
-    while span < SEED:
-        step = min(span, SEED - span)
-        if step < span:
-            h = h[:-step] * np.uint64(pow(_ODD, step, 1 << 64)) + part[span:] if len(h) > step else h[:0]
-        else:
-            part = h
-            h = h[:-span] * np.uint64(power) + h[span:] if len(h) > span else h[:0]
-            power = power * power % (1 << 64)
-        span += step
-    return mix(h)
-
-
-def extreme(h: np.ndarray, least: bool) -> np.ndarray:
-    """The least (or greatest) of the REACH values that begin at each place."""
-    span, take = 1, np.minimum if least else np.maximum
-    while span < REACH:
-        step = min(span, REACH - span)
-        h = take(h[:-step], h[step:])
-        span += step
-    return h
+def chunk_spans(raws: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Each text's chunks: from every cut point to the first one at least SMALLEST bytes on."""
+    out = []
+    for cuts in cut_points(raws):
+        to = np.searchsorted(cuts, cuts + SMALLEST)
+        whole = to < len(cuts)
+        out.append((cuts[whole], cuts[to[whole]]))
+    return out
 
 
-def pick(raws: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Each text's picked seeds: places and hashes. Of equal hashes in a row only as many as neighbours need."""
-    gap = bytes(SEED + REACH)
-    data = np.frombuffer(gap.join([b"", *raws, b""]), dtype=np.uint8)
-    size = np.array([len(r) for r in raws])
-    first = np.cumsum(np.r_[0, size[:-1] + len(gap)]) + len(gap)
-    h = hashes(data)
-    edge = np.zeros(len(h) + 1, dtype=np.int8)
-    fits = size >= SEED
-    np.add.at(edge, first[fits], 1)
-    np.add.at(edge, (first + size - SEED + 1)[fits], -1)
-    h[np.cumsum(edge[:-1]) == 0] = _NONE
-    best = extreme(extreme(h, True), False)  # of the windows over each place, the greatest least value
-    at = np.flatnonzero((h[REACH - 1 : REACH - 1 + len(best)] == best) & (h[REACH - 1 : REACH - 1 + len(best)] != _NONE)) + REACH - 1
-    value = h[at]
-    twin = np.flatnonzero((value[1:] == value[:-1]) & (np.diff(at) < REACH // 2)) + 1
-    if len(twin):
-        keep, same = np.ones(len(at), dtype=bool), set(twin.tolist())
-        last = -1
-        for k in twin.tolist():
-            if k - 1 not in same:
-                last = at[k - 1]
-            if k + 1 in same and at[k + 1] - last < REACH // 2:
-                keep[k] = False
-            else:
-                last = at[k]
-        at, value = at[keep], value[keep]
-    lo, hi = np.searchsorted(at, first), np.searchsorted(at, first + size)
-    return [(at[a:b] - f, value[a:b].view(np.int64)) for a, b, f in zip(lo, hi, first)]
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc (doc_id, LAST for null), version (tells texts of one doc_id apart), text."""
+    return common.doc_columns(docs).select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.hash("text").alias("version"), "text")
 
 
-def seeds(docs: DataFrame) -> DataFrame:
-    """doc_id, at, seed: the picked seeds of every text."""
+def chunk(rows: DataFrame) -> DataFrame:
+    """digest, doc, version, place (first byte * 2048 + size, and 1024 more where the text ends with the chunk): every chunk of every text."""
 
     def run(batches):
-        for ids, texts in common.steps(batches, "doc_id", "text"):
-            found = pick([t.encode("utf-8", "replace") for t in texts])
-            doc = np.repeat(np.array(ids, dtype=np.int64), [len(at) for at, _ in found])
-            cols = [pa.array(doc), pa.array(np.concatenate([at for at, _ in found]).astype(np.int32)), pa.array(np.concatenate([v for _, v in found]))]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "at", "seed"])
-
-    return common.doc_columns(docs.filter("doc_id is not null")).mapInArrow(run, "doc_id long, at int, seed long")
-
-
-def contexts(docs: DataFrame, met: DataFrame, stays: bool) -> DataFrame:
-    """seed, side (0: of its first occurrence, 1: of its last one), other_doc, other_at, before (bytes before the seed), context."""
-    ends = met.groupBy("seed").agg(
-        F.min("first_doc").alias("first_doc"), F.min("last_doc").alias("last_doc"),
-        F.min(F.when(F.col("doc_id") == F.col("first_doc"), F.col("at"))).alias("first_at"), F.max(F.when(F.col("doc_id") == F.col("last_doc"), F.col("at"))).alias("last_at"),
-    )
-    sides = F.array(*[F.struct(F.lit(k).alias("side"), F.col(f"{n}_doc").alias("doc_id"), F.col(f"{n}_at").alias("at")) for k, n in enumerate(("first", "last") if stays else ("first",))])
-    places = ends.select("seed", F.explode(sides).alias("s")).groupBy("s.doc_id").agg(F.collect_list(F.struct("seed", "s.side", "s.at")).alias("places"))
-    rows = common.doc_columns(docs).join(places, "doc_id").select("doc_id", "places", "text")
-
-    def run(batches):
-        for ids, places_, texts in common.steps(batches, "doc_id", "places", "text"):
+        for docs, versions, texts in common.steps(batches, "doc", "version", "text"):
+            raws = [t.encode("utf-8", "replace") for t in texts]
+            spans = chunk_spans(raws)
+            digests = b"".join(hashlib.blake2b(raw[a:b], digest_size=8).digest() for raw, (s, e) in zip(raws, spans) for a, b in zip(s.tolist(), e.tolist()))
+            n = [len(s) for s, _ in spans]
+            place = np.concatenate([s * 2048 + (e - s) + 1024 * (e == len(raw)) for raw, (s, e) in zip(raws, spans)])
+            cols = [pa.array(np.frombuffer(digests, dtype="<i8")), pa.array(np.repeat(np.array(docs, dtype=np.int64), n)), pa.array(np.repeat(np.array(versions, dtype=np.int32), n)), pa.array(place)]
+            yield pa.RecordBatch.from_arrays(cols, names=["digest", "doc", "version", "place"])
+
+    return rows.mapInArrow(run, "digest long, doc long, version int, place long")
+
+
+class Parts:
+    """A document's repeated chunks in order: first bytes, ends, digests, and whether each one stays (it is its digest's first occurrence)."""
+
+    def __init__(self, place: np.ndarray, digest: np.ndarray, own: np.ndarray):
+        order = np.argsort(place, kind="stable")
+        self.place, self.digest = place[order], digest[order]
+        self.at, self.last = self.place >> 11, (self.place & 1024) > 0
+        self.end = self.at + (self.place & 1023)
+        first = np.zeros(len(order), dtype=bool)
+        first[np.unique(self.digest, return_index=True)[1]] = True
+        self.stays = own[order] & first
+
+    def runs(self, gone: bool) -> list[tuple[int, int]]:
+        """Runs of overlapping or touching chunks - only of those that go, or of all - by their first and last chunk."""
+        some = np.flatnonzero(~self.stays) if gone else np.arange(len(self.at))
+        if not len(some):
+            return []
+        new = np.flatnonzero(self.at[some][1:] > self.end[some][:-1]) + 1  # ends ascend with first bytes
+        return list(zip(some[np.r_[0, new]].tolist(), some[np.r_[new - 1, len(some) - 1]].tolist()))
+
+    def ends(self) -> set[tuple[int, int, bool]]:
+        """(digest, side, before) of chunks at the ends of runs where the text goes on, with what stands before or behind them: side 0 asks for the first occurrence, 1 for the last one."""
+        out = set()
+        for gone in (True, False):
+            for left, right in self.runs(gone):
+                out |= {(left, True)} if self.at[left] else set()
+                out |= set() if self.last[right] else {(right, False)}
+        return {(int(self.digest[k]), int(self.stays[k]), before) for k, before in out}
+
+
+def part_lists(column: pa.ListArray) -> list[Parts | None]:
+    """Each row's chunks; none for a null."""
+    values, offsets = column.values, column.offsets.to_pylist()
+    place, digest, own = (values.field(k).to_numpy(zero_copy_only=False) for k in ("place", "digest", "own"))
+    return [Parts(place[a:b], digest[a:b], own[a:b].astype(bool)) if ok else None for a, b, ok in zip(offsets, offsets[1:], column.is_valid().to_pylist())]
+
+
+def repeats(rows: DataFrame, n: int) -> DataFrame:
+    """doc, version, parts (place, digest, own: whether the document has the digest's first occurrence)."""
+    sums = chunk(rows).groupBy("digest").agg(F.count("*").alias("n"), F.min("doc").alias("first")).filter("n > 1").select("digest", "first")
+    sums = common.materialise(sums, "repeated-chunks", n)  # a plain table: Spark can then split a hot digest's side of the join
+    common.drop_shuffles(rows.sparkSession)
+    met = chunk(rows).join(sums, "digest").select("doc", "version", F.struct("place", "digest", (F.col("doc") == F.col("first")).alias("own")).alias("p"))
+    return common.materialise(met.groupBy("doc", "version").agg(F.collect_set("p").alias("parts")), "parts", n)
+
+
+def beside(rows: DataFrame, found: DataFrame, n: int) -> DataFrame:
+    """doc, version, others (digest, side, before, itself, at: where in `bytes` the chunk begins, size, bytes): what the ends of a document's runs are compared with."""
+
+    def ask(batches):
+        for batch in batches:
+            docs, versions = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc", "version"))
+            parts = part_lists(batch.column(batch.schema.get_field_index("parts")))
+            out = [(d, v, *a) for d, v, some in zip(docs, versions, parts) for a in some.ends()]
+            cols = list(zip(*out)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.bool_()))], names=["doc", "version", "digest", "side", "before"])
+        common.trim()
+
+    asks = common.materialise(found.mapInArrow(ask, "doc long, version int, digest long, side int, before boolean"), "asks", n)
+    places = found.select("doc", "version", F.explode("parts").alias("p")).select("doc", "version", "p.place", "p.digest")
+    # Sums before the join: a document gives its first and last place of each digest, a task its least and greatest document.
+    ends = places.groupBy("digest").agg(F.min(F.struct("doc", "version", "place")).alias("e0"), F.max(F.struct("doc", "version", "place")).alias("e1"))
+    wanted = asks.groupBy("digest", "side", "before").agg(F.count("*").alias("n"))
+    known = wanted.join(ends, "digest").select("digest", "side", "before", F.when(F.col("side") == 0, F.col("e0")).otherwise(F.col("e1")).alias("e"))
+    per_doc = known.groupBy("e.doc", "e.version").agg(F.collect_set(F.struct("digest", "side", "before", "e.place")).alias("places"))
+
+    def fetch(batches):
+        for docs, versions, places, texts in common.steps(batches, "doc", "version", "places", "text"):
             out = []
-            for i, places, text in zip(ids, places_, texts):
+            for d, v, some, text in zip(docs, versions, places, texts):
                 raw = text.encode("utf-8", "replace")
-                h = hashes(np.frombuffer(raw, dtype=np.uint8)).view(np.int64)
-                for p in places:
-                    if (at := p["at"]) < len(h) and h[at] == p["seed"]:  # rows with equal doc_id may have other texts
-                        begin = max(0, at - CONTEXT)
-                        out.append((p["seed"], p["side"], i, at, at - begin, raw[begin : at + SEED + CONTEXT]))
-            cols = list(zip(*out)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["seed", "side", "other_doc", "other_at", "before", "context"])
-
-    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-    return rows.mapInArrow(run, "seed long, side int, other_doc long, other_at int, before int, context binary")
-
-
-def hits(docs: DataFrame, stays: bool = True) -> DataFrame:
-    """doc_id, parts (at, side, before, context): the repeated seeds of each document that has some, with what to compare them with.
-
-    Without `stays`, first occurrences are left out. Each step's tables and shuffles go as soon as the next one is written."""
-    spark = docs.sparkSession
-    found = common.materialise(seeds(docs), "seeds")
-    mark = len(common._written) - 1
-    sums = found.groupBy("seed").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).filter("n > 1").drop("n")
-    sums = common.materialise(sums, "repeated-seeds")  # a plain table: Spark can then split a hot seed's side of the join
-    common.release(spark, mark + 1)
-    met = common.materialise(found.join(sums, "seed").select("doc_id", "at", "seed", "first_doc", "last_doc").distinct(), "met")
-    common.release(spark, mark)
-    known = common.materialise(contexts(docs, met, stays), "contexts")
-    common.release(spark, mark + 1)
-    own = F.col("doc_id") == F.col("first_doc")
-    asked = met.select("doc_id", "at", "seed", F.explode(F.when(own & F.lit(stays), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("side"))
-    both = asked.join(known, ["seed", "side"]).filter((F.col("side") == 1) | (F.col("doc_id") != F.col("other_doc")) | (F.col("at") > F.col("other_at")))
-    out = common.materialise(both.groupBy("doc_id").agg(F.collect_list(F.struct("at", "side", "before", "context")).alias("parts")), "hits")
-    common.release(spark, mark)
-    return out
-
-
-def extend(raw: bytes, at: int, before: int, context: bytes) -> tuple[int, int] | None:
-    """The stretch around a seed that agrees with the context of another occurrence; none if the seed itself doesn't."""
-    x, y = raw[at : at + len(context) - before], context[before:]
+                for p in some:
+                    at, n = p["place"] >> 11, p["place"] & 1023
+                    begin, stop = (max(0, at - CONTEXT), at + n) if p["before"] else (at, at + n + CONTEXT)
+                    out.append((p["digest"], p["side"], p["before"], d, v, p["place"], at - begin, n, raw[begin:stop]))
+            cols = list(zip(*out)) or [[]] * 9
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["digest", "side", "before", "other_doc", "other_version", "other_place", "at", "size", "bytes"])
+
+    kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    # Rows that are alike in doc_id and text each have the same bytes to give.
+    fetched = rows.join(per_doc, ["doc", "version"]).select("doc", "version", "places", "text").mapInArrow(fetch, "digest long, side int, before boolean, other_doc long, other_version int, other_place long, at long, size long, bytes binary")
+    contexts = common.materialise(fetched.dropDuplicates(["digest", "side", "before"]), "contexts", n)
+    common.drop_shuffles(rows.sparkSession)
+    itself = (F.col("doc") == F.col("other_doc")) & (F.col("version") == F.col("other_version"))
+    met = asks.join(contexts, ["digest", "side", "before"]).select("doc", "version", F.struct("digest", "side", "before", F.when(itself, F.col("other_place")).alias("itself"), "at", "size", "bytes").alias("o"))
+    return met.groupBy("doc", "version").agg(F.collect_set("o").alias("others"))
+
+
+def agreeing(x: bytes, y: bytes) -> int:
+    """Equal bytes at the beginning of both."""
     n = min(len(x), len(y))
-    right = n - ((int.from_bytes(x[:n], "big") ^ int.from_bytes(y[:n], "big")).bit_length() + 7) // 8
-    if right < SEED:
-        return None
-    n = min(at, before)
-    left = n - ((int.from_bytes(raw[at - n : at], "little") ^ int.from_bytes(context[before - n : before], "little")).bit_length() + 7) // 8
-    return at - left, at + right
+    return n - ((int.from_bytes(x[:n], "big") ^ int.from_bytes(y[:n], "big")).bit_length() + 7) // 8
 
 
-def joined(spans: list[tuple[int, int]], least: int) -> list[tuple[int, int]]:
-    """Spans that meet as one each; those of at least `least` bytes."""
+def stretches(raw: bytes, parts: Parts, others: list[dict], gone: bool) -> list[tuple[int, int]]:
+    """Runs with what agrees beside them; a run whose end another text doesn't bear out is none."""
+    known = {(o["digest"], o["side"], o["before"]): o for o in others}
     out: list[tuple[int, int]] = []
-    for s, e in sorted(spans):
-        if out and s <= out[-1][1]:
-            out[-1] = (out[-1][0], max(e, out[-1][1]))
+    for left, right in parts.runs(gone):
+        s, e = start, stop = int(parts.at[left]), int(parts.end[right])
+        for k, before in ((left, True), (right, False)):
+            at, to = int(parts.at[k]), int(parts.end[k])
+            if (at if before else len(raw) - to) == 0:
+                continue
+            o = known.get((int(parts.digest[k]), int(parts.stays[k]), before))
+            if o is None or o["itself"] == parts.place[k]:  # only a repeated row has no other occurrence
+                break
+            there = o["at"] + o["size"]
+            if o["bytes"][o["at"] : there] != raw[at:to]:
+                break
+            if before:
+                s = start - agreeing(raw[max(0, at - CONTEXT) : at][::-1], o["bytes"][: o["at"]][::-1])
+            else:
+                e = stop + agreeing(raw[to : to + CONTEXT], o["bytes"][there:])
         else:
-            out.append((s, e))
-    return [(s, e) for s, e in out if e - s >= least]
+            if out and s <= out[-1][1]:
+                out[-1] = (out[-1][0], max(e, out[-1][1]))
+            else:
+                out.append((s, e))
+    return out
 
 
-def repeated(raw: bytes, parts: list[dict] | None, least: int) -> tuple[int, list[tuple[int, int]]]:
+def repeated(raw: bytes, parts: Parts | None, others: list[dict] | None, least: int) -> tuple[int, list[tuple[int, int]]]:
     """Bytes in repeated stretches, whether they stay or go, and the spans to cut."""
-    spans, gone = [], []
-    for p in parts or ():
-        if span := extend(raw, p["at"], p["before"], p["context"]):
-            spans.append(span)
-            if p["side"] == 0:
-                gone.append(span)
+    if parts is None:
+        return 0, []
+    long = lambda spans: [(s, e) for s, e in spans if e - s >= least or len(raw[s:e].split()) >= WORDS]
     whole = []
-    for s, e in joined(gone, least):
+    for s, e in long(stretches(raw, parts, others or [], True)):
         while s < e and raw[s] & 0xC0 == 0x80:
             s += 1
         while s < e < len(raw) and raw[e] & 0xC0 == 0x80:
             e -= 1
         whole.append((s, e))
-    return sum(e - s for s, e in joined(spans, least)), whole
+    return sum(e - s for s, e in long(stretches(raw, parts, others or [], False))), whole
+
+
+def hits(docs: DataFrame) -> DataFrame:
+    """doc, version, parts, others of every row that has repeated chunks."""
+    rows = keyed(docs)
+    n = docs.count()
+    found = repeats(rows, n)
+    common.drop_shuffles(docs.sparkSession)
+    return found.join(beside(rows, found, n), ["doc", "version"], "left")
 
 
 def without(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -243,12 +259,15 @@ def without(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 def dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """doc_id, n_bytes, n_repeated, n_removed, n_spans, kept_sha256, text (what is kept)."""
-    met = common.doc_columns(docs).join(hits(docs), "doc_id", "left").select("doc_id", "parts", "text")
+    rows = common.doc_columns(docs).select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.hash("text").alias("version"), "text")
+    met = rows.join(hits(docs), ["doc", "version"], "left").select("doc_id", "parts", "others", "text")
 
     def run(batches):
-        for ids, parts, texts in common.steps(batches, "doc_id", "parts", "text"):
+        for batch in batches:
+            ids, others, texts = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "others", "text"))
+            parts = part_lists(batch.column(batch.schema.get_field_index("parts")))
             raws = [t.encode("utf-8", "replace") for t in texts]
-            found = [repeated(r, p, least) for r, p in zip(raws, parts)]
+            found = [repeated(r, p, o, least) for r, p, o in zip(raws, parts, others)]
             kept = [without(r, s) for r, (_, s) in zip(raws, found)]
             cols = [
                 pa.array(ids, pa.int64()), pa.array([len(r) for r in raws], pa.int64()), pa.array([n for n, _ in found], pa.int64()),
@@ -256,34 +275,38 @@ def dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
                 pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()), pa.array([k.decode("utf-8", "replace") for k in kept], pa.string()),
             ]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_bytes", "n_repeated", "n_removed", "n_spans", "kept_sha256", "text"])
+        common.trim()
 
     return met.mapInArrow(run, "doc_id long, n_bytes long, n_repeated long, n_removed long, n_spans long, kept_sha256 string, text string")
 
 
 def cut(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """docs, all columns, with repeated stretches cut from text and n_chars, if there, set anew."""
-    parts = hits(docs, stays=False).select(F.col("doc_id").alias("cut_doc_"), F.col("parts").alias("cut_parts_"))
-    met = docs.join(parts, F.col("doc_id") == F.col("cut_doc_"), "left").drop("cut_doc_")
+    found = hits(docs).select(F.col("doc").alias("cut_doc_"), F.col("version").alias("cut_version_"), F.col("parts").alias("cut_parts_"), F.col("others").alias("cut_others_"))
+    same = (F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)) == F.col("cut_doc_")) & (F.hash(F.coalesce(F.col("text"), F.lit(""))) == F.col("cut_version_"))
+    met = docs.join(found, same, "left").drop("cut_doc_", "cut_version_")
 
-    def shorter(text: str | None, parts: list[dict] | None) -> str | None:
-        if text is None or not parts:
+    def shorter(text: str | None, parts: Parts | None, others: list[dict] | None) -> str | None:
+        if text is None or parts is None:
             return text
         raw = text.encode("utf-8", "replace")
-        spans = repeated(raw, parts, least)[1]
+        spans = repeated(raw, parts, others, least)[1]
         return without(raw, spans).decode("utf-8", "replace") if spans else text
 
     def run(batches):
         for batch in batches:
             at = batch.schema.get_field_index("text")
-            texts, parts_ = batch.column(at), batch.column(batch.schema.get_field_index("cut_parts_"))
-            kept = [shorter(t.as_py(), p.as_py()) for t, p in zip(texts, parts_)]
+            texts, others = batch.column(at), batch.column(batch.schema.get_field_index("cut_others_"))
+            parts = part_lists(batch.column(batch.schema.get_field_index("cut_parts_")))
+            kept = [shorter(t.as_py(), p, o.as_py()) for t, p, o in zip(texts, parts, others)]
             changed = [k is not None and k != t.as_py() for k, t in zip(kept, texts)]
-            out = batch.drop_columns(["cut_parts_"])
+            out = batch.drop_columns(["cut_parts_", "cut_others_"])
             out = out.set_column(out.schema.get_field_index("text"), "text", pa.array(kept, out.schema.field("text").type))
             if (n := out.schema.get_field_index("n_chars")) >= 0:
                 fresh = [len(k) if c else old for k, c, old in zip(kept, changed, out.column(n).to_pylist())]
                 out = out.set_column(n, "n_chars", pa.array(fresh, out.schema.field(n).type))
             yield out
+        common.trim()
 
     return met.mapInArrow(run, docs.schema)
 

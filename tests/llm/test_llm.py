@@ -65,13 +65,14 @@ def test_sequences_keep_order_and_captions(spark):
 
 def test_cut_points_follow_content():
     a = prose(400, 1).encode()
-    cut = lambda raw: {hashlib.sha1(raw[s:e]).digest() for s, e in zip([0, *c[:-1]], c)} if (c := chunks.cut_points([raw])[0]) else set()
+    cut = lambda raw: {raw[s:e] for s, e in zip(*(x.tolist() for x in chunks.chunk_spans([raw])[0]))}
     before, after = cut(a), cut(a[:700] + b"inserted bytes " + a[700:])
     assert len(before & after) >= len(before) - 6
     for raw in (b"", b"a", "é".encode() * 500, bytes(1000)):
-        c = chunks.cut_points([raw])[0]
-        assert (c[-1] if c else 0) == len(raw) and all(e > s for s, e in zip([0, *c[:-1]], c))
-        b"".join(raw[s:e] for s, e in zip([0, *c[:-1]], c)).decode()
+        c = chunks.cut_points([raw])[0].tolist()
+        assert c[0] == 0 and c[-1] == len(raw) and max(np.diff(c)) <= chunks.GREATEST + 3
+        for s_, e in zip(*(x.tolist() for x in chunks.chunk_spans([raw])[0])):
+            assert e - s_ >= chunks.SMALLEST and raw[s_:e].decode()
 
 
 def test_chunk_dedup(spark):
@@ -101,19 +102,43 @@ def test_chunk_dedup_finds_short_passages_whole(spark):
         texts.append(" ".join([prose(int(dice.integers(1, 200)), 6001 + 2 * k), "c", passages[k], "d", prose(int(dice.integers(1, 200)), 9001 + 2 * k)]))
     got = {r["doc_id"]: r for r in chunks.dedup(docs(spark, texts)).collect()}
     for k, p in enumerate(passages):
-        assert got[k]["text"] == texts[k] and got[k]["n_repeated"] == len(p) + 2  # with the blanks around it
+        assert got[k]["text"] == texts[k] and got[k]["n_repeated"] == len(p) + 2
         assert got[200 + k]["text"] == texts[200 + k].replace(f" {p} ", "") and got[200 + k]["n_spans"] == 1
 
 
-def test_picked_seeds_meet_in_every_repeated_stretch():
-    data = np.random.default_rng(8)
-    for k in range(300):
-        shared, sides = data.bytes(chunks.LEAST), [data.bytes(int(n)) for n in data.integers(0, 300, 4)]
-        one, two = (set(v.tolist()) for _, v in chunks.pick([sides[0] + shared + sides[1], sides[2] + shared + sides[3]]))
-        assert one & two
-    assert [len(at) for at, _ in chunks.pick([b"", b"x" * 47, b"x" * 48])] == [0, 0, 1]
-    at = chunks.pick([b"ab" * 1500])[0][0]
-    assert len(at) < 200 and np.diff(at).max() < chunks.CONTEXT
+def brute_repeats(texts):
+    """Bytes of each text in stretches that occur elsewhere too, by every pair of places."""
+    raws = [plain(t) for t in texts]
+    at = {}
+    for k, r in enumerate(raws):
+        for p in range(len(r) - chunks.LEAST + 1):
+            at.setdefault(r[p : p + chunks.LEAST], []).append((k, p))
+    marks = [bytearray(len(r)) for r in raws]
+    for w in at.values():
+        for k, p in w if len(w) > 1 else ():
+            marks[k][p : p + chunks.LEAST] = b"\1" * chunks.LEAST
+    return [sum(m) for m in marks]
+
+
+def test_chunk_dedup_equals_brute_force(spark):
+    """Passages of 45 to 120 words in up to four documents each: as every stretch of LEAST bytes that occurs twice, and nothing else."""
+    dice, texts = np.random.default_rng(52), []
+    for k in range(60):
+        passage = prose(int(dice.integers(45, 120)), 700 + k)
+        for j in range(int(dice.integers(2, 5))):
+            texts.append(" ".join([prose(int(dice.integers(1, 90)), 20_000 + 10 * k + j), f"x{j}y{k}", passage, f"q{k}z{j}", prose(int(dice.integers(1, 90)), 40_000 + 10 * k + j)]))
+    want = brute_repeats(texts)
+    got = {r["doc_id"]: r for r in chunks.dedup(docs(spark, texts)).collect()}
+    assert sum(abs(got[k]["n_repeated"] - n) for k, n in enumerate(want)) <= 0.002 * sum(want)
+    assert sum(got[k]["n_removed"] for k in got) < sum(want)
+
+
+def test_chunk_dedup_tells_rows_of_one_id_apart(spark):
+    a, b = prose(90, 1) + PASSAGE + prose(40, 2), prose(300, 3)
+    frame = spark.createDataFrame([(1, PASSAGE), (2, a), (2, b), (None, PASSAGE), (2, a)], "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["n_removed"], r["text"]) for r in chunks.dedup(frame).collect())
+    assert got == sorted([(0, len(PASSAGE), ""), (1, 0, PASSAGE), (2, 0, b), *[(2, len(PASSAGE), prose(90, 1) + prose(40, 2))] * 2])
+    assert sorted(r["text"] for r in chunks.cut(frame).collect()) == sorted(x[2] for x in got)
 
 
 def test_decontamination(spark):
@@ -187,7 +212,7 @@ def test_jaccard_equals_brute_force(spark, monkeypatch):
                 links[j] += 1
                 a, b = sorted((top(i), top(j)))
                 up[b] = a
-    for block in (256, 7):
+    for block in (2048, 7):
         monkeypatch.setattr(jaccard, "BLOCK", block)
         got = {r["doc_id"]: r for r in jaccard.near_classes(docs(spark, texts)).collect()}
         assert {i: r["n_links"] for i, r in got.items()} == {i: links[i] for i in range(n)}
@@ -435,8 +460,19 @@ def test_keep_first_keeps_one_row_of_each_class(spark):
     a, b = prose(40, 800), prose(40, 801)
     rows = [(3, a), (3, a), (5, a + " more"), (6, b), (6, b), (6, b), (9, prose(40, 802)), (None, a), (None, b)]
     frame = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, first_rows int")
-    kept = jaccard.keep_first(frame, jaccard.near_classes(frame))
+    kept = jaccard.keep_first(frame)
     assert kept.columns == frame.columns
-    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == sorted([(0, a), (0, b), (3, a), (6, b), (9, prose(40, 802))])
-    once = frame.filter("doc_id in (5, 9)")
-    assert sorted(r["doc_id"] for r in jaccard.keep_first(once, jaccard.near_classes(once)).collect()) == [5, 9]
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == sorted([(3, a), (6, b), (9, prose(40, 802))])
+    assert sorted(r["doc_id"] for r in jaccard.keep_first(frame.filter("doc_id in (5, 9)")).collect()) == [5, 9]
+    assert [(r["doc_id"], r["text"]) for r in jaccard.keep_first(spark.createDataFrame([(None, a), (None, a + " more"), (None, a)], "doc_id long, text string")).collect()] in ([(None, a)], [(None, a + " more")])
+    assert jaccard.keep_first(empty(spark)).count() == 0
+
+
+def test_jaccard_links_rows_whatever_their_ids(spark):
+    """Two texts that share an id keep their own links, and so do rows without an id."""
+    a, c = prose(60, 810), prose(60, 811)
+    for rows in ([(1, a), (1, c), (2, a + " more"), (3, c + " more")], [(None, a), (None, c), (None, a + " more"), (None, c + " more")]):
+        frame = spark.createDataFrame(rows, "doc_id long, text string")
+        assert [r["n_links"] for r in jaccard.near_classes(frame).collect()] == [1] * 4
+    mixed = jaccard.near_classes(spark.createDataFrame([(None, a), (7, a + " more"), (9, c)], "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["class_id"], r["n_links"]) for r in mixed) == [(0, 7, 1), (7, 7, 1), (9, 9, 0)]
