@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import ctypes
 import gc
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -90,9 +91,13 @@ def release_all() -> None:
 
 
 def drop_shuffles(spark: SparkSession) -> None:
-    """Have Spark drop shuffle files that no table refers to any more: on a busy cluster that may otherwise wait for the driver's garbage collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Have Spark drop shuffle files that no table refers to any more: on a busy cluster that may otherwise wait for the driver's garbage collection.
+
+    Twice, as what Python lets go reaches the JVM only with the next call."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def materialise(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:

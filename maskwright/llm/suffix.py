@@ -31,7 +31,9 @@ WINDOW, SEED = 400, 32
 #: One position in 2 ** PHRASE ends a phrase; it is decided by the TAIL bytes before it.
 PHRASE, TAIL = 5, 16
 #: Bytes of contexts that one suffix array covers (a single seed's contexts stay together); most contexts of a seed in it.
-ARRAY_BYTES, MOST = 3_000_000, 20_000
+ARRAY_BYTES, MOST = 500_000, 3_000
+#: Windows that are looked at together.
+SLICE = 1 << 17
 _RANDOM = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
@@ -43,7 +45,7 @@ def suffix_array(symbols: list[int]) -> list[int]:
     group, those pointed at more often further. Then every group's suffixes share their Lyndon prefix, and going over
     the array from its least suffix on, each suffix found puts its left neighbour, and what that points to, into place."""
     n = len(symbols)
-    at = sorted(range(n), key=symbols.__getitem__)
+    at = np.argsort(symbols, kind="stable").tolist()
     place, group, end = [0] * n, [0] * n + [-1], [0] * (n + 1)
     start = 0
     for p, i in enumerate(at):
@@ -130,8 +132,7 @@ def repeated_windows(contexts: list[bytes], counts: list[int]) -> list[np.ndarra
     first = np.cumsum(np.r_[0, size[:-1]])
     data = np.frombuffer(b"".join(contexts), dtype=np.uint8)
     windows = size - WINDOW + 1
-    owner = np.repeat(np.arange(len(contexts)), windows)
-    start = np.arange(len(owner)) - np.repeat(np.cumsum(np.r_[0, windows[:-1]]), windows) + first[owner]
+    before = np.cumsum(windows) - windows
     ends = np.flatnonzero((gear(data) >> np.uint16(16 - PHRASE)) == 0) + 1
     home = np.searchsorted(first, ends - 1, side="right") - 1
     inside = ends - first[home] >= TAIL
@@ -152,24 +153,33 @@ def repeated_windows(contexts: list[bytes], counts: list[int]) -> list[np.ndarra
     order = suffix_array(symbols)
     shared, rank = np.asarray(common_prefixes(symbols, order)), np.empty(len(order), dtype=np.int64)
     rank[order] = np.arange(len(order))
-    lo = np.searchsorted(ends, start + TAIL)
-    hi = np.searchsorted(ends, start + WINDOW, side="right") - 1
-    cut = hi >= lo
-    left = np.where(cut, ends[np.minimum(lo, max(0, len(ends) - 1))] if len(ends) else 0, start + WINDOW)
-    right = np.where(cut, ends[np.maximum(hi, 0)] if len(ends) else 0, start + WINDOW)
-    depth = np.where(cut, hi - lo, 0)
-    interval = np.zeros(len(start), dtype=np.int64)
-    for d in np.unique(depth):
-        if d:
-            ids, some = np.cumsum(shared < d), np.flatnonzero(depth == d)
-            interval[some] = ids[rank[suffix[lo[some]]]]
     sums, down = _sums(data)
-    key = mix((sums[left] - sums[start]) * down[start])
-    key = mix(key + (sums[start + WINDOW] - sums[right]) * down[right])
-    for part in (left - start, start + WINDOW - right, depth, interval):
-        key = mix(key * np.uint64(31) + part.astype(np.uint64))
-    _, same = np.unique(key, return_inverse=True)
-    found = np.bincount(same, weights=np.asarray(counts)[owner])[same] >= 2
+    keys, times = np.empty(int(windows.sum()), dtype=np.uint64), np.asarray(counts)
+    ids: dict[int, np.ndarray] = {}
+    for at in range(0, len(keys), SLICE):
+        place = np.arange(at, min(at + SLICE, len(keys)))
+        own = np.searchsorted(before, place, side="right") - 1
+        start = place - before[own] + first[own]
+        lo = np.searchsorted(ends, start + TAIL)
+        hi = np.searchsorted(ends, start + WINDOW, side="right") - 1
+        cut = hi >= lo
+        left = np.where(cut, ends[np.minimum(lo, max(0, len(ends) - 1))] if len(ends) else 0, start + WINDOW)
+        right = np.where(cut, ends[np.maximum(hi, 0)] if len(ends) else 0, start + WINDOW)
+        depth = np.where(cut, hi - lo, 0)
+        interval = np.zeros(len(start), dtype=np.int64)
+        for d in np.unique(depth).tolist():
+            if d:
+                if d not in ids:
+                    ids[d] = np.cumsum(shared < d, dtype=np.int32)
+                some = np.flatnonzero(depth == d)
+                interval[some] = ids[d][rank[suffix[lo[some]]]]
+        key = mix((sums[left] - sums[start]) * down[start])
+        key = mix(key + (sums[start + WINDOW] - sums[right]) * down[right])
+        for part in (left - start, start + WINDOW - right, depth, interval):
+            key = mix(key * np.uint64(31) + part.astype(np.uint64))
+        keys[at : at + len(key)] = key
+    _, same = np.unique(keys, return_inverse=True)
+    found = np.bincount(same, weights=np.repeat(times, windows))[same] >= 2
     return np.split(found, np.cumsum(windows)[:-1])
 
 
@@ -275,9 +285,11 @@ def _windows(batches):
 
 def repeated_runs(docs: DataFrame, most: int = MOST) -> DataFrame:
     """doc_id, version, runs (start, end of runs of windows that occur elsewhere too)."""
+    n = docs.count()
     every = common.hold(contexts(docs))
     kinds = every.groupBy("seed", "digest").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "version", "at", "n")).alias("one"))
-    kinds = common.hold(kinds.select("seed", "digest", "times", "one.*"))
+    kinds = common.materialise(kinds.select("seed", "digest", "times", "one.*"), "kinds")
+    common.drop_shuffles(docs.sparkSession)
     shared = kinds.groupBy("seed").agg(F.count("*").alias("kinds")).filter("kinds > 1")
     wanted = kinds.join(shared, "seed")
     per_doc = wanted.groupBy("doc_id", "version").agg(F.collect_list(F.struct("seed", "digest", "times", "at", "n", "kinds")).alias("wanted"))
@@ -292,7 +304,8 @@ def repeated_runs(docs: DataFrame, most: int = MOST) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds_)], names=["seed", "digest", "times", "kinds", "context"])
 
     fetched = docs.join(per_doc, ["doc_id", "version"]).select("wanted", "text")
-    fetched = common.hold(fetched.mapInArrow(fetch, "seed long, digest binary, times long, kinds long, context binary"))
+    fetched = common.materialise(fetched.mapInArrow(fetch, "seed long, digest binary, times long, kinds long, context binary"), "fetched", n)
+    common.drop_shuffles(docs.sparkSession)
     few = fetched.filter(F.col("kinds") <= most).select("seed", "digest", "times", "context").repartition("seed").sortWithinPartitions("seed", "digest")
     flagged = few.mapInArrow(_flag, "digest binary, start int, end int")
     many = fetched.filter(F.col("kinds") > most).dropDuplicates(["seed", "digest"]).select("digest", "times", "context")
@@ -300,7 +313,8 @@ def repeated_runs(docs: DataFrame, most: int = MOST) -> DataFrame:
     twice = single.groupBy("high", "low").agg(F.sum("times").alias("all")).filter("all > 1").select("high", "low")
     spread = single.join(twice, ["high", "low"]).filter("times = 1").select("digest", F.col("at").alias("start"), (F.col("at") + 1).alias("end"))
     whole = kinds.filter("times > 1").select("digest", F.lit(0).alias("start"), F.col("n").alias("end"))
-    known = common.hold(whole.unionByName(flagged).unionByName(spread))
+    known = common.materialise(whole.unionByName(flagged).unionByName(spread), "repeated", n)
+    common.drop_shuffles(docs.sparkSession)
     met = every.select("digest", "doc_id", "version", "at").join(known, "digest")
     return met.groupBy("doc_id", "version").agg(F.collect_list(F.struct((F.col("at") + F.col("start")).alias("start"), (F.col("at") + F.col("end")).alias("end"))).alias("runs"))
 
@@ -320,7 +334,8 @@ def dedup(docs: DataFrame, most: int = MOST) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans."""
     own = F.col("doc_id").alias("own_id")
     rows = common.doc_columns(docs).select(own, F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), F.xxhash64("text").alias("version"), "text")
-    found = common.hold(repeated_runs(rows.drop("own_id"), most))
+    found = common.materialise(repeated_runs(rows.drop("own_id"), most), "runs", rows.count())
+    common.drop_shuffles(docs.sparkSession)
     met = rows.join(found, ["doc_id", "version"], "left").select(F.col("own_id").alias("doc_id"), "runs", "text")
 
     def run(batches):
