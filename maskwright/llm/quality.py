@@ -52,6 +52,12 @@ class _Words(dict):
 _words = _Words()
 
 
+def forget() -> None:
+    """At a task's end: the worker may serve other stages next."""
+    _words.clear()
+    common.trim()
+
+
 def features(text: str, n_chars: int | None) -> tuple[np.ndarray, np.ndarray]:
     """Indices and values: words and shapes (each half of length 1), then the statistics, not yet scaled."""
     if len(_words) > MEMORY:
@@ -174,6 +180,7 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
         for ids, n_chars, texts in common.steps(batches, "doc_id", "n_chars", "text"):
             found = [machine.score(*features(t, n)) for n, t in zip(n_chars, texts)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.float64())], names=["doc_id", "score"])
+        forget()
 
     common.ship(docs.sparkSession)
     scored = _inputs(docs).mapInArrow(run, "doc_id long, score double")
@@ -190,6 +197,7 @@ def keep_good(docs: DataFrame, machine: Machine) -> DataFrame:
             n_chars = batch.column(batch.schema.get_field_index("n_chars")).to_pylist() if "n_chars" in names else [None] * batch.num_rows
             good = [machine.score(*features(t.as_py() or "", n)) >= 0.5 for n, t in zip(n_chars, texts)]
             yield batch.filter(pa.array(good, pa.bool_()))
+        forget()
 
     common.ship(docs.sparkSession)
     return docs.mapInArrow(run, schema)
