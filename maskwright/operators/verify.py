@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import HANDLE, bounded, entropy, fnv1a, strip_handles
+from ..sources.tables import SCHEMA_TAG
 from ..session import cut
 from .patterns import CANDIDATE, scan_udf
 from .redact import serialise
@@ -49,7 +50,7 @@ def secret_like(payloads: DataFrame) -> DataFrame:
     """V4: scope, token of quoted tokens of twenty characters or more with entropy of 4.2 or more."""
     found = F.regexp_extract_all("payload", F.lit(r'"([A-Za-z0-9_\-+/=.]{20,})"'), F.lit(1))
     rows = payloads.select("scope", F.explode(found).alias("token"))
-    return rows.filter(~F.col("token").rlike(f"^{HANDLE}$") & ~F.col("token").rlike("^sanitized/|^el_")).filter(entropy(F.col("token")) >= 4.2)
+    return rows.filter(~F.col("token").rlike(f"^{HANDLE}$") & ~F.col("token").rlike(f"^({SCHEMA_TAG}|(el|g)_[0-9]+)$")).filter(entropy(F.col("token")) >= 4.2)
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -114,6 +115,8 @@ def escalate(safe: DataFrame, vault: DataFrame, masks: DataFrame | None = None,
         last = k == retries
         ended = verdict if last else verdict.filter("passed")
         done = ended if done is None else done.unionByName(ended)
+        if not last and not verdict.filter("not passed").limit(1).count():
+            break
         if not last:
             safe = harden(safe.join(verdict.filter("not passed").select("scope"), "scope", "left_semi"))
     return done.select("scope", F.when(F.col("passed"), F.col("payload")).alias("payload"), "passed", "retries")

@@ -46,17 +46,17 @@ SELECT user_id AS run, event_id AS step, event_type AS fp, CASE WHEN event_id %
 FROM {events}
 """
 
-#: Tasks for the forms and controls to route them to: part names as controls, ten a scope.
+#: Tasks, one a scope made of all its parts, and controls to route them to: part names, ten a scope.
 CONTROLS = """
 SELECT CAST(floor((p_partkey - 1) / 10) AS BIGINT) AS scope, CAST((p_partkey - 1) % 10 AS INT) AS ord, 'el_' || CAST(p_partkey AS STRING) AS id, CASE WHEN p_partkey % 4 = 0 THEN 'link' ELSE 'button' END AS role,
   p_name AS name, p_partkey % 17 <> 0 AS enabled, p_partkey % 7 <> 0 AS visible, p_partkey % 14 = 0 AS offscreen
 FROM {part}
 """
 TASKS = """
-SELECT CAST(floor((p_partkey - 1) / 10) AS BIGINT) AS scope,
-  CASE CAST(floor((p_partkey - 1) / 10) AS BIGINT) % 8 WHEN 0 THEN 'click "' || p_name || '"' WHEN 1 THEN lower(p_name) WHEN 2 THEN 'scroll down' WHEN 3 THEN 'clear everything' WHEN 4 THEN 'fill this form' WHEN 5 THEN ' ' WHEN 6 THEN 'press ' || p_name ELSE 'what is here' END AS task,
-  CAST(CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END AS INT) AS step
-FROM {part} WHERE p_partkey % 10 = 5
+SELECT scope,
+  CASE scope % 8 WHEN 0 THEN 'click "' || name || '"' WHEN 1 THEN lower(name) WHEN 2 THEN 'scroll down' WHEN 3 THEN 'clear everything' WHEN 4 THEN 'fill this form' WHEN 5 THEN ' ' WHEN 6 THEN 'press ' || name ELSE 'what is here' END AS task,
+  CAST(CASE WHEN part % 3 = 0 THEN 1 ELSE 0 END AS INT) AS step
+FROM (SELECT CAST(floor((p_partkey - 1) / 10) AS BIGINT) AS scope, min(p_name) AS name, max(p_partkey) AS part FROM {part} GROUP BY 1)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

@@ -304,7 +304,7 @@ def _(spark, d):
     return verify.vault_leaks(rows, vault)
 
 
-QUOTED = "SELECT c_custkey AS scope, '{{\"a\":\"' || md5(c_name) || upper(md5(c_mktsegment)) || '\",\"b\":\"EMAIL_1\",\"c\":\"' || md5(c_name) || '\"}}' AS payload FROM {customer}"
+QUOTED = "SELECT c_custkey AS scope, '{{\"a\":\"' || md5(c_name) || upper(md5(c_mktsegment)) || '\",\"b\":\"EMAIL_1\",\"c\":\"' || md5(c_name) || '\",\"d\":\"el_' || md5(c_mktsegment) || upper(md5(c_name)) || '\",\"e\":\"el_12345678901234567890\"}}' AS payload FROM {customer}"
 
 
 @query("v04_secret_like", f"SELECT scope, token FROM (SELECT scope, unnest(regexp_extract_all(payload, '\"([A-Za-z0-9_\\-+/=.]{{20,}})\"', 1)) AS token FROM {plain(QUOTED)}) WHERE {_ENT.replace('hit', 'token')} >= 4.2")

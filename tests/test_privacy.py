@@ -197,3 +197,12 @@ def test_mask_keeps_repeated_pixels(spark):
     pixels = spark.createDataFrame([(1, 5, 5, 9), (1, 5, 5, 9), (1, 90, 90, 9), (2, 5, 5, 9)], "scope long, x int, y int, luma int")
     boxes = spark.createDataFrame([(1, 5, 5, 2, 2), (1, 4, 4, 9, 9)], "scope long, x int, y int, w int, h int")
     assert sorted(tuple(r) for r in spatial.mask(pixels, boxes).collect()) == [(1, 5, 5, 0), (1, 5, 5, 0), (1, 90, 90, 9), (2, 5, 5, 9)]
+
+
+def test_secrets_behind_an_id_prefix_are_found(spark):
+    """V4 skips element ids and the schema tag as they are, not what merely begins like them."""
+    from maskwright.operators import verify
+
+    secret = "9fKq2LmZ7xTbW4cR8vYp3hJd"
+    payloads = spark.createDataFrame([(1, f'{{"a":"el_{secret}"}}'), (2, f'{{"a":"sanitized/{secret}"}}'), (3, '{"schema":"sanitized/1","id":"el_12345678901234567890","g":"g_1"}'), (4, None)], "scope long, payload string")
+    assert {(r["scope"], r["token"]) for r in verify.secret_like(payloads).collect()} == {(1, f"el_{secret}"), (2, f"sanitized/{secret}")}
