@@ -1,20 +1,26 @@
 """HTML extraction by deduction of page templates from equivalence classes.
 
-A page's structural tokens are its elements, told apart by their path of names from the root. Tokens of a host
-that occur equally often on the same pages share an occurrence vector and form an equivalence class; vectors are
-compared by fingerprint - the xor over pages of hash(page, occurrences) - so a host with a third of all pages is
-only ever summed, not gathered. A class is valid if all its tokens occur equally often on each of its pages and their mean
-places agree with their nesting; valid classes are nested by path into the host's template. Its slots are
-the stretches between template tokens; the main slot is that of an article-like token, else the deepest token
-outside menus, notices and the like that holds most of the host's text. Extraction reads the main slot's blocks.
-
-Defined results: null and empty pages give an empty text; a page that doesn't follow its host's template is read by
-the same rule from itself alone; unclosed elements end as HTML says (a paragraph at the next block, others with
-their parent); a url without a host is a host of its own; repeated rows are read alike; other columns are ignored.
+A page's tokens are its elements, told apart by their path of tags and classes from the root, and the texts between two tags,
+told apart by the path they stand in. Tokens of a host that occur equally often on the same pages share an occurrence
+vector and form an equivalence class; vectors are compared by fingerprint - the xor over pages of hash(page, occurrences) -
+so a host with a third of all pages is only ever summed, not gathered. A class is valid if its tokens occur equally
+often on every page they are on and stand within tokens that are valid themselves; so classes are nested, from the root on, into the
+host's template. What the template holds is constant text; what stands between its tokens are slots.
+
+Extraction leaves out constant text and reads the remaining slots; within an article or main element, constant text goes only where
+a box of its own holds nothing else. Hidden elements and those whose tag says
+so (nav, footer, form, ...) are no slot; neither are elements with a boilerplate name, unless an article or nearly
+all of the text stands in them. If article or main elements hold most of what remains, it is read from the largest of them alone.
+
+Defined results: null and empty pages give an empty text; hosts with under LEAST_PAGES pages have no template; where nothing
+but the template remains (copies of one page), the page is read without it; headings stay, as they are part of an article even where all
+articles have them; unclosed elements end as HTML says (a paragraph at the next block, others with their parent), an
+unclosed script or comment with the page; a url without a host is a host of its own; repeated rows are read alike; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as html_
 import re
 
@@ -25,11 +31,13 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Rows of the template table that are broadcast at most; beyond, it is joined by host.
-HOST_BOUND = 100_000
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe)\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
+#: Template tokens that are broadcast at most; beyond, templates are joined by host.
+TOKEN_BOUND = 500_000
+#: Pages of a host from which a template is deduced at least, and of which a token is on half at least.
+LEAST_PAGES = 3
+_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe)\b(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*>", re.S | re.I)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-_WORDS = re.compile(r"[a-z]+")
+_PARTS = re.compile(r"[a-z]+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark picture q s samp small source span strike strong sub sup time tt u var wbr".split())
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head", "title"}}
@@ -37,20 +45,40 @@ _SCOPES = frozenset("table ul ol dl div section article main body html select td
 _DROPPED_TAGS = frozenset("nav footer aside form head button select dialog menu object audio video canvas fieldset title".split())
 #: Names, as words of class, id or role, of what is not the article.
 _DROPPED_NAMES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo banner cookie cookies consent gdpr notice notices alert popup modal overlay sidebar aside menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar comment comments reply replies respond disqus share sharing social related recommended recommendations newsletter subscribe signup login search widget pagination pager hidden complementary contentinfo".split())
-_ARTICLE_NAMES = frozenset("article articlebody entry post story main".split())
+#: Words that tell a layout from a part: "has-sidebar" has one beside it.
+_ABOUT = frozenset("has with without no not is js enabled disabled ready open layout page body content wrapper container main article post entry".split())
+#: A named element with such a share of the text around it is kept.
+NEARLY_ALL = 0.9
+_BOXES = frozenset("div section aside details table".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_ARTICLE_ROLES = frozenset("main article articlebody".split())
 
 
 class Node:
-    __slots__ = ("tag", "path", "dropped", "article", "parent", "text")
+    __slots__ = ("tag", "key", "dropped", "named", "article", "up", "depth", "text")
 
-    def __init__(self, tag, path, dropped, article, parent):
-        self.tag, self.path, self.dropped, self.article, self.parent, self.text = tag, path, dropped, article, parent, 0
+    def __init__(self, tag, key, dropped, named, article, up):
+        self.tag, self.key, self.dropped, self.named, self.article, self.up = tag, key, dropped, named, article, up
+        self.depth, self.text = up.depth + 1 if up else 0, 0
+
+
+def number(*parts) -> int:
+    return int.from_bytes(hashlib.blake2b("\0".join(map(str, parts)).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
+
+def boilerplate(names: list[str]) -> bool:
+    """Whether one of the class, id or role names is that of a part that is not the article."""
+    for name in names:
+        words = _PARTS.findall(name)
+        if words and not _ABOUT.intersection(words) and (words[0] in _DROPPED_NAMES or words[-1] in _DROPPED_NAMES):
+            return True
+    return False
 
 
 def read(page: str) -> tuple[list[Node], list[tuple[Node, str | None]]]:
     """Elements in page order, and the page's texts with their element; a text of None ends a block."""
-    root = Node("", "", False, False, None)
-    nodes, flow, stack = [], [], [root]
+    root = Node("", 0, False, False, False, None)
+    nodes, flow, stack = [root], [], [root]
     at = 0
 
     def say(text: str) -> None:
@@ -83,22 +111,21 @@ def read(page: str) -> tuple[list[Node], list[tuple[Node, str | None]]]:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k].tag in ended:
                         close(k)
-                        if "p" in ended or k and stack[k - 1].tag not in ended:
-                            break
-                    elif stack[k].tag in _SCOPES and stack[k].tag not in ended:
                         break
-        names: set[str] = set()
-        hidden = False
+                    if stack[k].tag in _SCOPES:
+                        break
+        names: list[str] = []
+        hidden = article = False
         for a in _ATTRIBUTE.finditer(m[4]) if m[4] else ():
             key, value = a[1].lower(), (a[2] or a[3] or a[4] or "").lower()
             hidden |= key == "hidden" or key == "aria-hidden" and value == "true"
-            if key not in ("hidden", "aria-hidden"):
-                names.update(_WORDS.findall(value))
+            if key in ("class", "id", "role"):
+                names += value.split()
+            article |= key in ("role", "itemprop") and value in _ARTICLE_ROLES
         up = stack[-1]
-        article = tag in ("article", "main") or bool(names & _ARTICLE_NAMES)
-        dropped = up.dropped or hidden or tag in _DROPPED_TAGS or bool(names & _DROPPED_NAMES) and tag not in ("html", "body", "article", "main") or tag == "header" and not _within_article(up)
-        label = ".".join([tag, *sorted(names)])
-        node = Node(tag, f"{up.path}/{label}" if len(up.path) < 400 else up.path, dropped, article, up)
+        article |= tag in ("article", "main")
+        dropped = up.dropped or hidden or tag in _DROPPED_TAGS or tag == "header" and not up.article
+        node = Node(tag, number(up.key, tag, *sorted(names)), dropped, tag not in ("html", "body", "article", "main") and boilerplate(names), article or up.article, up)
         nodes.append(node)
         if tag not in _VOID and not m[4].endswith("/"):
             stack.append(node)
@@ -106,136 +133,156 @@ def read(page: str) -> tuple[list[Node], list[tuple[Node, str | None]]]:
     return nodes, flow
 
 
-def _within_article(node: Node | None) -> bool:
-    while node is not None:
-        if node.article:
-            return True
-        node = node.parent
-    return False
+def block_of(node: Node) -> Node:
+    """The nearest element that is not within a line."""
+    while node.tag in _INLINE:
+        node = node.up
+    return node
+
 
+def box_of(node: Node) -> Node | None:
+    """The box within an article that an element stands in, if any."""
+    while node.up and node.up.article:
+        if node.tag in _BOXES:
+            return node
+        node = node.up
+    return None
 
-def weigh(nodes: list[Node], flow: list[tuple[Node, str | None]]) -> None:
-    """Each element's share of text outside what is dropped."""
-    for node, text in flow:
-        if text is not None and not node.dropped and (n := len(text.strip())):
-            while node is not None:
-                node.text += n
-                node = node.parent
-
-
-def choose(tokens: list[tuple[str, int, bool, bool]]) -> list[str]:
-    """Main slots, best first, from (path, text, article, dropped) of a template's tokens."""
-    free = [t for t in tokens if not t[3] and t[1] > 0]
-    named = [t for t in free if t[2]]
-    if named:
-        outer = [t for t in named if not any(t[0] != o[0] and t[0].startswith(o[0] + "/") for o in named)]
-        most = max(t[1] for t in outer)
-        inner = [t for t in named if t[1] >= 0.9 * most]
-        first = max(inner, key=lambda t: (t[0].count("/"), t[1]))
-        return [first[0], *(t[0] for t in sorted(outer, key=lambda t: -t[1]) if t[0] != first[0])]
-    if not free:
-        return []
-    most = max(t[1] for t in free)
-    return [max((t for t in free if t[1] >= 0.8 * most), key=lambda t: (t[0].count("/"), t[1]))[0]]
-
-
-def extract(page: str, slots: list[str]) -> str:
-    """The blocks of the page's main slot, joined by newlines."""
+
+def text_token(node: Node, text: str) -> int:
+    return number(block_of(node).key, "#text", text)
+
+
+def extract(page: str, template: frozenset[int] | set[int]) -> str:
+    """The blocks of the page's slots, joined by newlines."""
     nodes, flow = read(page)
-    weigh(nodes, flow)
-    inside: dict[int, bool] = {}
-    for slot in slots:
-        if any(n.path == slot and n.text for n in nodes):
-            break
-    else:
-        own: dict[str, list] = {}
-        for n in nodes:
-            t = own.setdefault(n.path, [n.path, 0, n.article, n.dropped])
-            t[1] += n.text
-        slot = (choose([tuple(t) for t in own.values()]) or [None])[0]
-
-    def within(node: Node | None) -> bool:
-        if node is None:
-            return False
-        if (known := inside.get(id(node))) is None:
-            known = inside[id(node)] = node.path == slot or slot is None and node.parent is None or within(node.parent)
-        return known
-
-    blocks, held = [], []
-    for node, text in [*flow, (None, None)]:
-        if text is None:
-            if block := " ".join("".join(held).split()):
-                blocks.append(block)
-            held = []
-        elif not node.dropped and within(node):
-            held.append(text)
-    return "\n".join(blocks)
+    found: list[tuple[Node, str, bool]] = []
+    held: list[tuple[Node, str]] = []
+    for node, text in [*flow, (nodes[0], None)]:
+        if text is not None:
+            held.append((node, text))
+            continue
+        if held and (block := " ".join("".join(t for _, t in held).split())) and not (home := block_of(held[0][0])).dropped:
+            constant = bool(template) and home.tag not in _HEADINGS and all(text_token(n, clean) in template for n, t in held if (clean := " ".join(t.split())))
+            found.append((home, block, constant))
+        held = []
+    varied: set[int] = set()
+    for node, _, constant in found:
+        while not constant and node and id(node) not in varied:
+            varied.add(id(node))
+            node = node.up
+    blocks = [(n, t) for n, t, constant in found if not constant or n.article and (box := box_of(n)) is None or n.article and id(box) in varied]
+    for node, text in blocks:
+        node.text += len(text)
+    for node in reversed(nodes):  # an element stands behind those it is in
+        if node.up:
+            node.up.text += node.text
+    holds = {id(n.up) for n in nodes if n.article and n.up and not n.up.article}
+    outer: set[int] = set()
+    for n in reversed(nodes):
+        if id(n) in holds and n.up:
+            holds.add(id(n.up))
+        if n.article and not n.up.article:
+            outer.add(id(n))
+    most, away = nodes[0].text, set()
+    told = any(n.text for n in nodes if id(n) in outer)
+    for n in nodes[1:]:
+        # Names alone don't take what would leave next to nothing.
+        beside = told if not n.up.article else n.text < NEARLY_ALL * n.up.text
+        if id(n.up) in away or n.named and id(n) not in holds and (beside or n.text < NEARLY_ALL * most):
+            away.add(id(n))
+    blocks = [(n, t) for n, t in blocks if id(n) not in away]
+    inside: dict[int, int] = {}
+    for n in nodes:
+        inside[id(n)] = id(n) if id(n) in outer else inside.get(id(n.up), 0)
+    sizes: dict[int, int] = {}
+    for n, t in blocks:
+        sizes[inside[id(n)]] = sizes.get(inside[id(n)], 0) + len(t)
+    slot = max((k for k in sizes if k), key=sizes.get, default=0)
+    if slot and 2 * sizes[slot] >= sum(sizes.values()):
+        blocks = [(n, t) for n, t in blocks if inside[id(n)] == slot]
+    return "\n".join(t for _, t in blocks)
+
+
+def main_part(page: str, template) -> str:
+    """What remains beside the template; where that is nothing, what the page's own elements say."""
+    return extract(page, template) or (extract(page, frozenset()) if template else "")
 
 
 def host(url):
     return F.coalesce(F.regexp_extract(F.lower(F.coalesce(url, F.lit(""))), r"^[a-z]+://([^/:?#]*)", 1), F.lit(""))
 
 
+def tokens(page: str) -> dict[int, list]:
+    """token -> [occurrences, parent's token, depth, is it a text]; the root, once a page, included."""
+    nodes, flow = read(page)
+    seen: dict[int, list] = {}
+    for n in nodes:
+        if n.tag not in _INLINE and n.tag not in _VOID:
+            seen.setdefault(n.key, [0, block_of(n.up).key if n.up else 0, n.depth, False])[0] += 1
+    for n, text in flow:
+        if text is not None and (text := " ".join(text.split())):
+            home = block_of(n)
+            seen.setdefault(text_token(n, text), [0, home.key, home.depth + 1, True])[0] += 1
+    return seen
+
+
 def occurrences(pages: DataFrame) -> DataFrame:
-    """host, token, page_hash, n, place, text, article, dropped: each page's structural tokens."""
+    """host, token, key (the page), n, parent, depth, is_text."""
 
     def run(batches):
         for hosts, keys, texts in common.steps(batches, "host", "key", "html"):
-            rows = []
-            for h, key, t in zip(hosts, keys, texts):
-                nodes, flow = read(t)
-                weigh(nodes, flow)
-                seen: dict[str, list] = {}
-                for place, n in enumerate(nodes):
-                    if n.tag in _INLINE or n.tag in _VOID:
-                        continue
-                    x = seen.setdefault(n.path, [0, place, 0, n.article, n.dropped])
-                    x[0] += 1
-                    x[2] += n.text
-                rows += [(h, token, key, *x) for token, x in seen.items()]
-            cols = list(zip(*rows)) or [[]] * 8
-            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["host", "token", "key", "n", "place", "text", "article", "dropped"])
+            rows = [(h, token, key, *x) for h, key, t in zip(hosts, keys, texts) for token, x in tokens(t).items()]
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["host", "token", "key", "n", "parent", "depth", "is_text"])
 
     rows = pages.select(host(F.col("url")).alias("host"), F.xxhash64("page_id", "url").alias("key"), F.coalesce(F.col("html"), F.lit("")).alias("html"))
-    return rows.mapInArrow(run, "host string, token string, key long, n long, place long, text long, article boolean, dropped boolean")
+    return rows.mapInArrow(run, "host string, token long, key long, n long, parent long, depth int, is_text boolean")
+
+
+def nested(group: pd.DataFrame) -> pd.DataFrame:
+    """The tokens of valid classes, with the number of their class and of the class around it (-1: none)."""
+    group = group.sort_values(["depth", "token"])
+    classes: dict[tuple, list] = {}
+    for row in group.itertuples():
+        classes.setdefault((row.vector, row.pages), []).append(row)
+    even = {k for k, rows in classes.items() if len({(r.least, r.most) for r in rows}) == 1 and rows[0].least == rows[0].most}
+    home = {r.token: k for k, rows in classes.items() for r in rows}
+    valid: dict[int, tuple[int, int]] = {}
+    order: dict[tuple, int] = {}
+    for row in group.itertuples():  # from the root on
+        own = home[row.token]
+        if own in even and (row.depth == 0 or row.parent in valid):
+            around = -1 if row.depth == 0 or home[row.parent] == own else order[home[row.parent]]
+            valid[row.token] = (order.setdefault(own, len(order)), around)
+    some = group[group["token"].isin(valid.keys())]
+    return pd.DataFrame({"host": some["host"], "token": some["token"], "is_text": some["is_text"], "class": [valid[t][0] for t in some["token"]], "around": [valid[t][1] for t in some["token"]]})
 
 
 def deduce(pages: DataFrame) -> DataFrame:
-    """host, slots: the main slots of each host's template. Tokens on fewer than half of a host's pages are no template."""
-    seen = occurrences(pages)
-    sums = seen.groupBy("host", "token").agg(
+    """host, token, is_text, class, around: each host's template. Tokens on fewer than half of a host's pages are no part of it."""
+    sums = occurrences(pages).groupBy("host", "token").agg(
         F.bit_xor(F.xxhash64("key", "n")).alias("vector"), F.count("*").alias("pages"), F.min("n").alias("least"), F.max("n").alias("most"),
-        F.avg("place").alias("place"), F.sum("text").alias("text"), F.bool_or("article").alias("article"), F.bool_or("dropped").alias("dropped"),
+        F.min("parent").alias("parent"), F.min("depth").alias("depth"), F.bool_and("is_text").alias("is_text"),
     )
-    common_ = sums.join(pages.groupBy(host(F.col("url")).alias("host")).agg(F.count("*").alias("all")), "host").filter(F.col("pages") * 2 >= F.col("all"))
-
-    def template(group: pd.DataFrame) -> pd.DataFrame:
-        place = dict(zip(group["token"], group["place"]))
-        valid: list[tuple] = []
-        for _, cls in group.groupby(["vector", "pages"], sort=False):
-            even = (cls["least"] == cls["most"]).all() and cls["least"].nunique() == 1
-            nested = all(place.get(t.rpartition("/")[0], -1.0) <= p for t, p in zip(cls["token"], cls["place"]))
-            if even and nested or cls["article"].any() and nested:
-                valid += list(zip(cls["token"], cls["text"], cls["article"], cls["dropped"]))
-        slots = choose([(t, int(x), bool(a), bool(d)) for t, x, a, d in valid])
-        return pd.DataFrame({"host": [group["host"].iloc[0]], "slots": [slots]})
-
-    return common_.groupBy("host").applyInPandas(template, "host string, slots array<string>")
+    every = pages.groupBy(host(F.col("url")).alias("host")).agg(F.count("*").alias("all")).filter(F.col("all") >= LEAST_PAGES)
+    frequent = sums.join(every, "host").filter((F.col("pages") * 2 >= F.col("all")) & (F.col("pages") >= LEAST_PAGES)).drop("all")
+    return frequent.groupBy("host").applyInPandas(nested, "host string, token long, is_text boolean, class int, around int")
 
 
-def main_text(pages: DataFrame, bound: int = HOST_BOUND) -> DataFrame:
+def main_text(pages: DataFrame, bound: int = TOKEN_BOUND) -> DataFrame:
     """page_id, url, text, n_chars."""
     common.ship(pages.sparkSession)
-    templates = common.hold(deduce(pages))
-    small = templates.count() <= bound
+    texts_of = deduce(pages).filter("is_text").groupBy("host").agg(F.collect_set("token").alias("template"))
+    texts_of = common.hold(texts_of)
+    small = (texts_of.agg(F.sum(F.size("template"))).first()[0] or 0) <= bound
     rows = pages.select("page_id", "url", host(F.col("url")).alias("host"), F.coalesce(F.col("html"), F.lit("")).alias("html"))
-    whole = rows.join(F.broadcast(templates) if small else templates, "host", "left").select("page_id", "url", "slots", "html")
+    whole = rows.join(F.broadcast(texts_of) if small else texts_of, "host", "left").select("page_id", "url", "template", "html")
     kinds = whole.schema
 
     def run(batches):
-        for keys, urls, slots, texts in common.steps(batches, "page_id", "url", "slots", "html"):
-            found = [extract(t, s or []) for s, t in zip(slots, texts)]
+        for keys, urls, templates, texts in common.steps(batches, "page_id", "url", "template", "html"):
+            found = [main_part(t, frozenset(s or ())) for s, t in zip(templates, texts)]
             yield pa.RecordBatch.from_arrays([pa.array(keys, key), pa.array(urls, pa.string()), pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     from pyspark.sql.pandas.types import to_arrow_type

@@ -426,7 +426,7 @@ def test_template_extraction(spark):
     want = "Head & more\nBold one\nSecond para spaced\na\nb\n"
     rows = [(i, f"http://h{i % 2}.example.org/{i}", PAGE % f"own text {i}", "x") for i in range(9)] + [(20, None, None, "x"), (21, "http://h1.example.org/e", "", "x"), (22, "notaurl", "<p>alone</p>", "x"), (0, "http://h0.example.org/0", PAGE % "own text 0", "x")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, slots string")
-    for bound in (template.HOST_BOUND, 0):
+    for bound in (template.TOKEN_BOUND, 0):
         got = template.main_text(pages, bound).collect()
         assert len(got) == len(rows)
         by = {r["page_id"]: r for r in got}
@@ -442,6 +442,62 @@ def test_template_without_article_tags(spark):
     assert {r["page_id"]: r["text"] for r in template.main_text(pages).collect()} == {i: f"{i} first paragraph of some length\nsecond {i}" for i in range(4)}
 
 
+OPAQUE = '<html><body><div class="c1"><a href=/>Home</a> <a href=/n>News desk</a></div><div class="c2">{offer}</div><div class="k9"><h2>Story</h2><p>{a}</p><p>{b}</p></div><div class="c3">All rights reserved</div></body></html>'
+
+
+def opaque(spark, n=30):
+    rows = [(i, f"http://o.example.org/{i}", OPAQUE.format(offer="Buy two, pay one", a=prose(20, 900 + i), b=prose(9, 950 + i))) for i in range(n)]
+    return spark.createDataFrame(rows, "page_id long, url string, html string")
+
+
+def test_template_decides_where_names_say_nothing(spark):
+    """Menu, offer line and footer of a host with opaque names go, by the template alone."""
+    pages = opaque(spark)
+    for r in template.main_text(pages).collect():
+        i = r["page_id"]
+        assert r["text"] == f"Story\n{prose(20, 900 + i)}\n{prose(9, 950 + i)}"
+        assert template.extract(OPAQUE.format(offer="Buy two, pay one", a="x", b="y"), frozenset()) == "Home News desk\nBuy two, pay one\nStory\nx\ny\nAll rights reserved"
+    boxed = "<article><p>Same in all</p><p>{}</p><div class=z1><p>Subscribe now</p></div></article>"
+    inside = spark.createDataFrame([(i, "http://i.example.org", boxed.format(prose(9, i))) for i in range(5)], "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in template.main_text(inside).collect()} == {i: f"Same in all\n{prose(9, i)}" for i in range(5)}
+    few = template.main_text(opaque(spark, 2)).collect()
+    assert all(r["text"].startswith("Home News desk") for r in few)  # under LEAST_PAGES
+    copies = spark.createDataFrame([(i, "http://c.example.org/", "<p>Menu</p><p>alike</p>") for i in range(5)], "page_id long, url string, html string")
+    assert {r["text"] for r in template.main_text(copies).collect()} == {"Menu\nalike"}
+
+
+def test_template_classes_equal_brute_force(spark):
+    html = [OPAQUE.format(offer="Only sometimes" if i % 3 else "", a=prose(5, i), b="and again" if i % 2 else "x") + "<hr>" * (i % 2) for i in range(12)]
+    pages = spark.createDataFrame([(i, "http://b.example.org", h) for i, h in enumerate(html)], "page_id long, url string, html string")
+    seen = [template.tokens(h) for h in html]
+    vectors = {t: tuple(s.get(t, [0])[0] for s in seen) for t in set().union(*seen)}
+    parent = {t: x[1] for s in seen for t, x in s.items()}
+    even = {t for t, v in vectors.items() if sum(n > 0 for n in v) * 2 >= 12 and len({n for n in v if n}) == 1}
+    # A class is even if all its tokens are, as they share a vector; a token is valid if those around it are.
+    ok = lambda t: t in even and (t == 0 or ok(parent[t]))
+    want = {}
+    for t in filter(ok, vectors):
+        want.setdefault(vectors[t], set()).add(t)
+    got = {}
+    for r in template.deduce(pages).collect():
+        got.setdefault(r["class"], set()).add(r["token"])
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
+def test_extraction_of_odd_pages():
+    read = lambda h: template.main_part(h, frozenset())
+    assert read('<div class="content has-sidebar"><p>Hello text</p></div>') == "Hello text"
+    assert read('<div class="search-enabled"><article><p>Hello</p></article></div>') == "Hello"
+    assert read('<article><div class="content with-sidebar"><p>Hello</p></div></article>') == "Hello"
+    assert read("<main><h1>T</h1><article><p>long text here</p></article></main>") == "T\nlong text here"
+    assert read('<div><h1>T</h1><p>long</p><ul><li>a<li>b</ul></div><div class="site-footer">foot</div>') == "T\nlong\na\nb"
+    assert read('<article><p>Text</p><div class="comments"><p>' + "nice " * 5 + "</p></div></article>") == "Text"
+    assert read('<div class="ad">' + "buy " * 50 + "</div><article><p>short</p></article>") == "short"
+    assert read("<article>" + "<div>" * 100_000 + "deep") == "deep"
+    assert read("<p>a</p>" + "<script>" * 50_000) == "a" and read("<!-- never closed <p>x</p>") == ""
+    assert len(media.parse("<p>a</p>" + "<script>" * 50_000)) == 1
+
+
 def test_all_queries_are_registered():
     assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)]
 
