@@ -25,9 +25,19 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset and nothing is on another machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not (spark.conf.get("spark.master", None) or "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = "/tmp/checkpoints/maskwright"
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(root)
+    return root
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df checkpointed in the folder that executors share: later uses read it instead of computing it again."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/maskwright")
+    shared_dir(df.sparkSession)
     return df.checkpoint()
