@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; between stages docs are written
 as Parquet in the shared folder and read again. All stages but the last return the columns of docs.
+
+Defined results: null and empty texts are scored like others, count as copies of each other (one stays, if they pass) and pack as one end id;
+of repeated rows one stays; rows without a doc_id are treated like others, but a passage's first occurrence is theirs only where no other row has it;
+texts that share a doc_id are told apart; an empty table gives no row; other columns are kept.
 """
 
 from __future__ import annotations
@@ -50,6 +54,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
+    common.shared_dir(spark)
     for name, stage in STAGES[:-1]:
         docs = common.materialise(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -14,7 +14,7 @@ checked; beyond SEED_BOUND rows, hits come from a shuffled join and are verified
 
 Defined results: null and empty texts and items have no words and match nothing; items shorter than a mask use
 one mask of their own length without gaps; equal items are all reported; repeated rows of a document report
-the larger overlap once; rows without a doc_id are reported together under null, and `clean` keeps them; items without an
+the larger overlap once; rows without a doc_id are reported together under null, and `clean` judges every row by its own text; items without an
 item_id are reported together under null; empty tables give no row; other columns are ignored.
 """
 
@@ -89,8 +89,13 @@ def stretches(places: str) -> Column:
     return F.filter(F.col(places), lambda k, j: F.exists(F.sequence(F.greatest(j - NEAR + 1, F.lit(0)), j), dense))
 
 
-def overlaps(docs: DataFrame, items: DataFrame, least: float = LEAST, bound: int = SEED_BOUND) -> DataFrame:
-    """doc_id, item_id, n_agreeing, overlap, start (word position of the item's first word in the text where most agree, may be negative)."""
+def _key(doc_id: Column, text: Column) -> Column:
+    """Tells rows apart whose doc_id is shared or null."""
+    return F.xxhash64(doc_id.cast("long"), text)
+
+
+def rated(docs: DataFrame, items: DataFrame, least: float = LEAST, bound: int = SEED_BOUND) -> DataFrame:
+    """doc_id, doc_key, item_id, b (n_agreeing, back: words before the text's start, n: the item's words) of every row that overlaps."""
     common.shared_dir(docs.sparkSession)
     tests = items.select(F.col("item_id").cast("long").alias("item_id"), words(F.col("text")).alias("item")).filter(F.size("item") > 0)
     tests = common.hold(tests.distinct().withColumn("item_key", F.xxhash64("item_id", "item")))
@@ -102,7 +107,7 @@ def overlaps(docs: DataFrame, items: DataFrame, least: float = LEAST, bound: int
         [seeds(tests.filter(F.size("item") >= span), "item", MASKS, "item_key"), *(seeds(tests.filter(F.size("item") == n), "item", ("1" * n,), "item_key") for n in short)],
     )
     probes = common.hold(probes.select("seed", "item_key", F.col("at").alias("item_at"), *[F.col(f"b{n}").alias(f"item_b{n}") for n in range(3)]))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("doc"), F.xxhash64("doc_id", "text").alias("doc_key"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("doc"), _key(F.col("doc_id"), F.col("text")).alias("doc_key"))
     if probes.count() <= bound:
         found = seeds(texts, "doc", masks, "doc_id", "doc_key").join(F.broadcast(probes), "seed").filter(~redundant())
         hits = found.join(F.broadcast(tests), "item_key")
@@ -119,15 +124,19 @@ def overlaps(docs: DataFrame, items: DataFrame, least: float = LEAST, bound: int
         F.max(F.struct("n_agreeing", -F.col("start"), "n")).alias("b"), F.size(F.array_distinct(F.flatten(F.collect_set("part")))).alias("n_parts")
     )
     strong = summed.filter((F.greatest("b.n_agreeing", "n_parts") >= F.lit(least) * F.col("b.n")) | (F.col("n_parts") >= ENOUGH))
-    rated = strong.select("doc_id", "item_id", F.struct(F.greatest("b.n_agreeing", "n_parts").alias("n_agreeing"), F.col("b.col2").alias("back"), F.col("b.n").alias("n")).alias("b"))
-    best = rated.groupBy("doc_id", "item_id").agg(F.max("b").alias("b"))
+    return strong.select("doc_id", "doc_key", "item_id", F.struct(F.greatest("b.n_agreeing", "n_parts").alias("n_agreeing"), F.col("b.col2").alias("back"), F.col("b.n").alias("n")).alias("b"))
+
+
+def overlaps(docs: DataFrame, items: DataFrame, least: float = LEAST, bound: int = SEED_BOUND) -> DataFrame:
+    """doc_id, item_id, n_agreeing, overlap, start (word position of the item's first word in the text where most agree, may be negative)."""
+    best = rated(docs, items, least, bound).groupBy("doc_id", "item_id").agg(F.max("b").alias("b"))
     return best.select("doc_id", "item_id", F.col("b.n_agreeing").alias("n_agreeing"), (F.col("b.n_agreeing") / F.col("b.n")).alias("overlap"), (-F.col("b.back")).alias("start"))
 
 
 def clean(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFrame:
     """The rows of docs, all columns, that overlap with no item."""
-    hit = overlaps(docs, items, least).select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(docs.columns)
+    hit = rated(docs, items, least).select(F.col("doc_key").alias("hit_key_")).distinct()
+    return docs.join(hit, _key(F.col("doc_id"), F.col("text")) == F.col("hit_key_"), "left_anti")
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,6 +51,24 @@ def test_media_round_trip(spark):
         media.from_png(media.to_png(b"abc")[:-9] + b"x" * 9)
 
 
+def test_media_query_on_every_column(spark, tmp_path):
+    """All contract columns from plain Python; null and empty texts, repeated rows, ties, a very long text, clashing columns."""
+    texts = [None, "", "a", "x" * 64, "é" * 40, "x" * 64, prose(40_000, 3)]
+    frame = docs(spark, texts).withColumnRenamed("rep", "media")
+    frame.unionByName(frame.limit(1)).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = media.op1_media_columns(spark, str(tmp_path)).collect()
+    assert len(rows) == len(texts) + 1
+    for r in rows:
+        raw = plain(texts[r["doc_id"]])
+        payload = raw + bytes(max(1, -(-len(raw) // 64)) * 64 - len(raw))
+        png = media.to_png(raw)
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert (r["media_bytes"], r["media_sha256"], r["feature"]) == (len(png), hashlib.sha256(png).hexdigest(), media.feature(payload))
+        assert r["position"] == 1 and r["caption"] == f"Text of document {r['doc_id']}"
+    frame.limit(0).write.parquet(f"{tmp_path}/e/documents.parquet")
+    assert media.op1_media_columns(spark, f"{tmp_path}/e").count() == 0
+
+
 def test_sequences_keep_order_and_captions(spark):
     page = '<p>a &amp; b<br>c</p><figure><img src="media:d1" alt="no"><figcaption>first</figcaption></figure><img src=d2 alt="second">tail<script>var x="<img src=q>"</script>'
     items = media.parse(page)
@@ -168,6 +186,9 @@ def test_decontamination_of_parts(spark):
     for bound in (decontaminate.SEED_BOUND, 0):
         got = {(r["doc_id"], r["item_id"]): r["n_agreeing"] for r in decontaminate.overlaps(few, tests, bound=bound).collect()}
         assert got == {(0, None): 25, (1, None): 56, (2, None): 16, (None, None): 25}
+    assert sorted(r["text"] for r in decontaminate.clean(few, tests).collect()) == sorted([texts[3], prose(60, 74)])
+    shared = spark.createDataFrame([(1, texts[0]), (1, prose(60, 74))], "doc_id long, text string")
+    assert [r["text"] for r in decontaminate.clean(shared, tests).collect()] == [prose(60, 74)]
 
 
 def test_decontamination_meets_every_quarter_of_substitutions(spark):
@@ -532,3 +553,37 @@ def test_jaccard_links_rows_whatever_their_ids(spark):
         assert [r["n_links"] for r in jaccard.near_classes(frame).collect()] == [1] * 4
     mixed = jaccard.near_classes(spark.createDataFrame([(None, a), (7, a + " more"), (9, c)], "doc_id long, text string")).collect()
     assert sorted((r["doc_id"] or 0, r["class_id"], r["n_links"]) for r in mixed) == [(0, 7, 1), (7, 7, 1), (9, 9, 0)]
+
+
+def test_pipeline_runs(spark, tmp_path):
+    """All stages over a small corpus, each decision by hand; then over empty tables."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    good = [prose(90, 1200 + i) for i in range(60)]
+    bad = [" ".join(w + "###" for w in prose(40, 1300 + i).split()) for i in range(60)]
+    item = prose(30, 1400)
+    near = " ".join([*good[0].split()[:-1], "changed"])
+    leak = prose(40, 1401) + " " + item + " " + prose(40, 1402)
+    share = [prose(60, 1403) + " " + PASSAGE + " " + prose(60, 1404), prose(60, 1405) + " " + PASSAGE + " " + prose(60, 1406)]
+    texts = [*good, *bad, near, leak, *share, good[5], None]
+    d = str(tmp_path)
+    frame = docs(spark, texts)
+    frame.write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(i, int(i < 60), 0) for i in range(120)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    kept = pipeline.good_quality(spark, frame, d)
+    assert kept.columns == frame.columns and {r["doc_id"] for r in kept.collect()} >= {*range(60), 120, 121, 122, 123}
+    assert not {r["doc_id"] for r in kept.collect()} & set(range(60, 120))
+    clean = pipeline.without_benchmark(spark, frame, d)
+    assert clean.columns == frame.columns and {r["doc_id"] for r in clean.collect()} == set(range(len(texts))) - {121}
+    rows = pipeline.run(spark, d).collect()
+    ids = {r["doc_id"] for r in rows}
+    assert ids - {125} == {*range(60), 122, 123}  # 120 and 124 are copies, 121 leaks; the empty text may stay
+    ends = {}
+    for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == ends.get(r["sequence_id"], 0)
+        ends[r["sequence_id"]] = r["offset"] + r["length"]
+    whole = packing.pack_documents(frame.filter("doc_id = 123")).collect()[0]["length"]
+    assert next(r["length"] for r in rows if r["doc_id"] == 123) < whole - 80  # the passage was cut
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{d}/{name}.parquet").limit(0).write.parquet(f"{d}/none/{name}.parquet")
+    assert pipeline.run(spark, f"{d}/none").count() == 0
