@@ -10,7 +10,7 @@ from ..schema import opaque
 from ..sources import html as pages_
 from ..sources import tables as sources
 from ..streaming import guards
-from .base import BOXES, CONTROLS, FORMS, STEPS, TASKS, derived, plain, query, six
+from .base import ORACLE_SQL, BOXES, CONTROLS, FORMS, STEPS, TASKS, derived, plain, query, six
 from .scalars import sql_cover, sql_tokens
 
 _B, _F, _S, _C, _T = plain(BOXES), plain(FORMS), plain(STEPS), plain(CONTROLS), plain(TASKS)
@@ -75,19 +75,34 @@ def _(spark, d):
     return spatial.anchor(derived(spark, d, VISION), derived(spark, d, ELEMENT_BOXES)).select("scope", "box_id", six(F.col("score")).alias("score"))
 
 
-@query("j06_add_unless_overlapping")
+def _greedy(source: str, keys: str, order: str, drop: str, out: str) -> str:
+    """Box by box in order: one that `drop` says nothing against, given a box e kept before, is kept."""
+    on = " AND ".join(f"r.{k} = w.{k}" for k in keys.split(", "))
+    own = "struct_pack(x := {0}x, y := {0}y, w := {0}w, h := {0}h)"
+    return f"""WITH RECURSIVE s AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY {order}) AS k FROM {source}),
+    walk AS (SELECT *, [{own.format("")}] AS kept, true AS stays FROM s WHERE k = 1
+      UNION ALL SELECT r.*, CASE WHEN ok THEN list_append(old, {own.format("r.")}) ELSE old END, ok FROM (
+        SELECT r, w.kept AS old, len([e FOR e IN w.kept IF {drop}]) = 0 AS ok FROM walk w JOIN s r ON {on} AND r.k = w.k + 1))
+    SELECT {out} FROM walk WHERE stays"""
+
+
+_X = "(greatest(least(r.x + r.w, e.x + e.w) - greatest(r.x, e.x), 0) * greatest(least(r.y + r.h, e.y + e.h) - greatest(r.y, e.y), 0))"
+_KEPT = "scope, box_id, x, y, w, h, cls, round(score, 6) AS score"
+
+
+@query("j06_add_unless_overlapping", _greedy(f"(SELECT scope, CASE WHEN ord = 1 THEN -1 ELSE ord END AS ord, x, y, w, h FROM {_B} WHERE ord >= 1)", "scope", "ord, x, y, w, h", f"r.ord >= 0 AND {_X} > 0", "scope, ord, x, y, w, h"))
 def _(spark, d):
-    return spatial.add_unless_overlapping(derived(spark, d, BOXES).filter("ord = 1"), derived(spark, d, BOXES).filter("ord > 1"))
+    return spatial.add_unless_overlapping(derived(spark, d, BOXES).filter("ord = 1"), derived(spark, d, BOXES).filter("ord > 1")).select("scope", "ord", *"xywh")
 
 
-@query("g04_nms")
+@query("g04_nms", _greedy(f"(SELECT * FROM {_V} WHERE score >= CAST(0.7 AS DOUBLE))", "scope", "score DESC, box_id, x, y, w, h, cls", f"CAST({_X} AS DOUBLE) / (r.w * r.h + e.w * e.h - {_X}) > CAST(0.4 AS DOUBLE)", _KEPT))
 def _(spark, d):
-    return spatial.nms(derived(spark, d, VISION))
+    return spatial.nms(derived(spark, d, VISION)).select("scope", "box_id", *"xywh", "cls", six(F.col("score")).alias("score"))
 
 
-@query("g05_dedupe_regions")
+@query("g05_dedupe_regions", _greedy(_V, "scope, cls", "score DESC, box_id, x, y, w, h, cls", f"{_X} > CAST(0.35 AS DOUBLE) * least(r.w * r.h, e.w * e.h)", _KEPT))
 def _(spark, d):
-    return spatial.dedupe_regions(derived(spark, d, VISION))
+    return spatial.dedupe_regions(derived(spark, d, VISION)).select("scope", "box_id", *"xywh", "cls", six(F.col("score")).alias("score"))
 
 
 @query("g06_rescale", f"SELECT scope, ord, round(x * 1280.0 / 768, 6) AS css FROM {_B}")
@@ -175,10 +190,13 @@ def _(spark, d):
     return agent.route(_tasks(spark, d), derived(spark, d, CONTROLS)).select("scope", "route", "target")
 
 
-@query("a18_scorecard")
+_EXPECTED = "CASE WHEN scope % 8 IN (0, 2, 3) THEN 'local' WHEN scope % 8 = 5 THEN 'done' ELSE 'server' END"
+
+
+@query("a18_scorecard", f"SELECT count(*) FILTER (route = {_EXPECTED}) AS passed, count(*) FILTER (route = 'local') AS local, count(*) AS total FROM ({ORACLE_SQL['l01_router']})")
 def _(spark, d):
     routed = agent.route(_tasks(spark, d), derived(spark, d, CONTROLS))
-    return metrics.scorecard(routed.withColumn("expected", F.lit("local")))
+    return metrics.scorecard(routed.withColumn("expected", F.expr(_EXPECTED)))
 
 
 SAFE = """SELECT scope, ord, id, CASE WHEN role = 'heading' THEN 'button' ELSE role END AS role, name, enabled, visible, offscreen, CASE WHEN c % 10 = 1 THEN 'EMAIL_' || CAST(ord AS STRING) END AS holds, CASE WHEN c % 40 = 0 THEN 'PERSON_1' END AS wants, role = 'password' AS sensitive, ord = 6 AS empty
@@ -347,7 +365,15 @@ def _(spark, d):
     return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@query("t01_guarded_steps")
+@query(
+    "t01_guarded_steps",
+    f"""WITH s AS (SELECT *, row_number() OVER w AS n, CASE WHEN fp <> lag(fp) OVER w THEN 1 ELSE 0 END AS new FROM {_S} WINDOW w AS (PARTITION BY run ORDER BY step)),
+    i AS (SELECT *, sum(new) OVER (PARTITION BY run ORDER BY step) AS island FROM s),
+    g AS (SELECT *, row_number() OVER (PARTITION BY run, island ORDER BY step) - 1 AS stalled,
+      coalesce(max(CASE WHEN result = 'ok' THEN 1 ELSE 0 END) OVER (PARTITION BY run, kind, target ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS repeated,
+      kind = 'ask_user' AND row_number() OVER (PARTITION BY run, kind, target ORDER BY step) = 1 AS first_ask FROM i)
+    SELECT run, step, fp, CAST(stalled AS INT) AS stalled, repeated, first_ask, CASE WHEN n >= 25 THEN 'step cap' WHEN stalled >= 2 THEN 'no progress' END AS stop FROM g""",
+)
 def _(spark, d):
     return guards.guarded(derived(spark, d, STEPS).select("run", "step", F.lit("t").alias("task"), "fp", "kind", "target", "result"))
 

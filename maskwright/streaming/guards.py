@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 STEP_CAP, STALL_CAP = 25, 2
@@ -35,14 +36,27 @@ def advance(state: tuple, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
     return (task, fp, stalled, sorted(done), sorted(asked), steps), frame
 
 
+def _whole(steps: DataFrame) -> DataFrame:
+    """A table's runs by windows: part numbers a run's tasks, island the stretches of equal fingerprints in one."""
+    run = Window.partitionBy("run").orderBy("step")
+    changed = lambda c, w: F.coalesce((~F.col(c).eqNullSafe(F.lag(c).over(w))).cast("int"), F.lit(0))
+    parts = steps.withColumn("part", changed("task", run)).withColumn("part", F.sum("part").over(run))
+    part = Window.partitionBy("run", "part").orderBy("step")
+    islands = parts.withColumn("n", F.row_number().over(part)).withColumn("island", changed("fp", part)).withColumn("island", F.sum("island").over(part))
+    same = Window.partitionBy("run", "part", "kind", "target").orderBy("step")
+    done = F.max((F.col("result") == "ok").cast("int")).over(same.rowsBetween(Window.unboundedPreceding, -1))
+    told = islands.select(
+        F.col("run").cast("long").alias("run"), F.col("step").cast("long").alias("step"), "fp", (F.row_number().over(Window.partitionBy("run", "part", "island").orderBy("step")) - 1).alias("stalled"),
+        (F.coalesce(done, F.lit(0)) == 1).alias("repeated"), ((F.col("kind") == "ask_user") & (F.row_number().over(same) == 1)).alias("first_ask"), "n",
+    )
+    stop = F.when(F.col("n") >= STEP_CAP, "step cap").when(F.col("stalled") >= STALL_CAP, "no progress")
+    return told.select("run", "step", "fp", "stalled", "repeated", "first_ask", stop.alias("stop"))
+
+
 def guarded(steps: DataFrame) -> DataFrame:
     """steps: run, step, task, fp, kind, target, result; a stream or a table."""
     if not steps.isStreaming:
-
-        def whole(group: pd.DataFrame) -> pd.DataFrame:
-            return advance((None, None, 0, [], [], 0), group)[1]
-
-        return steps.groupBy("run").applyInPandas(whole, OUT)
+        return _whole(steps)
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         # A batch's frames may split a run's steps anywhere: they are ordered by step before the state moves on.
