@@ -91,7 +91,7 @@ def drop_shuffles(spark: SparkSession) -> None:
     for _ in range(2):
         gc.collect()
         spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
+        time.sleep(0.1)
 
 
 def materialise(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:

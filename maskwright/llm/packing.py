@@ -26,7 +26,7 @@ from . import common
 from .tokens import default_tokenizer, encode
 
 #: Size classes of the linear program (capacity / CLASSES lengths share the nearest one), its rounds and rate.
-CLASSES, ROUNDS, RATE = 512, 1500, 0.25
+CLASSES, ROUNDS, RATE = 512, 600, 0.25
 #: Programs at most, each over what the one before has left.
 PROGRAMS = 4
 
