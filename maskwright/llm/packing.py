@@ -3,9 +3,10 @@
 The histogram (at most `capacity` lengths, so bounded whatever the corpus) goes to the driver. There a
 covering program over size classes - how many sequences of each configuration cover all pieces - is solved
 by multiplicative weights: each round a knapsack dynamic program prices the configuration of most weight.
-The fractional solution is rounded down and repaired with exact lengths - each class gives its longest piece that fits, best
-fit takes what room remains - and residual programs treat what is left. Each step uses a pattern
-as often as the counts allow, so it finishes a length or a configuration. Pieces then find their
+The fractional solution is rounded down and repaired with exact lengths - each class gives its longest piece that fits, the
+last two are chosen to close the sequence - and a pattern is taken only if it fills its sequence as well as its configuration
+does; residual programs treat what is left, and best fit the few pieces that no program places. Each step uses a
+pattern as often as the counts allow, so it finishes a length or a configuration. Pieces then find their
 place by their rank among the pieces of their length: no document ever reaches the driver.
 
 Defined results: null and empty texts are one end id; longer documents are cut every `capacity` ids;
@@ -14,6 +15,7 @@ repeated rows are packed as often as they occur; an empty table packs into nothi
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from bisect import bisect_right
 
@@ -75,7 +77,7 @@ def solve(demand: np.ndarray, rounds: int = ROUNDS, rate: float = RATE) -> list[
     """Multiplicative weights for min sum(x) with sum(take * x) >= demand over all configurations: (take, x) pairs.
 
     demand[s] pieces have size s (index 0 unused); take has (size, number). A row's weight falls as its cover grows. x is
-    scaled so that no class is taken more often than it has pieces; what lacks is left to the next program."""
+    scaled so that configurations hold the volume of all pieces."""
     capacity, rows = len(demand) - 1, np.flatnonzero(demand)
     if not len(rows):
         return []
@@ -90,15 +92,18 @@ def solve(demand: np.ndarray, rounds: int = ROUNDS, rate: float = RATE) -> list[
         cover += step * take
         key = tuple(zip(used.tolist(), take[used].tolist()))
         amount[key] = amount.get(key, 0.0) + step
-    scale = float((cover[rows] / demand[rows]).max())
+    scale = float((cover @ np.arange(len(cover))) / (demand @ np.arange(len(demand))))
     return sorted(((c, x / scale) for c, x in amount.items()), key=lambda p: -p[1])
 
 
 Entry = tuple[int, int, int, int, int]
 
 
-def _fill(histogram: dict[int, int], capacity: int, programs: int) -> tuple[list[Entry], int]:
-    """Patterns of exact lengths, as `plan` returns them: those of so many programs, each over what the last one left, then best fit."""
+def plan(histogram: dict[int, int], capacity: int, programs: int = PROGRAMS) -> tuple[list[Entry], int]:
+    """Rounded packing: entries (length, first rank, copies, first sequence, offset), and the number of sequences.
+
+    The pieces of a length with ranks from an entry's first rank on go `copies` to a sequence. Entries are those of so many
+    programs, each over what the last one left, then those of best fit."""
     left = {k: v for k, v in histogram.items() if v}
     lengths = sorted(left)
     width = -(-capacity // CLASSES)
@@ -113,19 +118,36 @@ def _fill(histogram: dict[int, int], capacity: int, programs: int) -> tuple[list
             k -= 1
         return lengths[k - 1] if k else 0
 
+    def closing(room: int, size: int, pattern: dict[int, int]) -> tuple[int, ...]:
+        """Two pieces that fill the room to the last id, one of them as near to `size` as can be; none if no two do."""
+        middle = bisect_right(lengths, size)
+        for n in heapq.merge(lengths[middle:], reversed(lengths[:middle]), key=lambda n: abs(n - size)):
+            other = room - n
+            if left.get(other, 0) > pattern.get(other, 0) + (other == n) and left[n] > pattern.get(n, 0):
+                return n, other
+        return ()
+
     def place(wanted: list[int], most: float) -> int:
-        """One pattern: a piece of each wanted class, largest first, then best fit for what room remains; as often as counts allow."""
+        """One pattern: a piece of each wanted class, largest first, then best fit for what room remains; as often as counts allow. 0 if that leaves more room than the classes would."""
         nonlocal sequences
         pattern: dict[int, int] = {}
         room = capacity
-        for top in wanted[:-1]:  # best fit takes the last one, or what closes the sequence better
+
+        def take(n: int) -> None:
+            nonlocal room
+            pattern[n] = pattern.get(n, 0) + 1
+            room -= n
+
+        for top in wanted[:-2]:
             n = below(min(room, top * width + width // 2), pattern)
             if n >= (top - 1) * width and n:
-                pattern[n] = pattern.get(n, 0) + 1
-                room -= n
+                take(n)
+        for n in closing(room, wanted[-2] * width, pattern) if wanted[1:] else ():
+            take(n)
         while n := below(room, pattern):
-            pattern[n] = pattern.get(n, 0) + 1
-            room -= n
+            take(n)
+        if wanted and room > capacity - min(capacity, sum(wanted) * width):
+            return 0
         times = int(min(most, min(left[n] // k for n, k in pattern.items())))
         offset = 0
         for n in sorted(pattern, reverse=True):
@@ -142,12 +164,14 @@ def _fill(histogram: dict[int, int], capacity: int, programs: int) -> tuple[list
         demand = np.zeros(-(-capacity // width) + 1)
         for n in lengths:
             demand[max(1, min(len(demand) - 1, (n + width // 2) // width))] += left[n]
-        before = sequences
+        before, share = sequences, 0.0
         for take, x in solve(demand):
             wanted = [s for s, k in reversed(take) for _ in range(k)]
-            most = int(x)
-            while most and lengths:
-                most -= place(wanted, most)
+            share += x
+            most = int(share)
+            share -= most
+            while most and lengths and (times := place(wanted, most)):
+                most -= times
         if sequences == before or not lengths:
             break
     while lengths:
@@ -155,14 +179,6 @@ def _fill(histogram: dict[int, int], capacity: int, programs: int) -> tuple[list
     return entries, sequences
 
 
-def plan(histogram: dict[int, int], capacity: int) -> tuple[list[Entry], int]:
-    """Rounded packing: entries (length, first rank, copies, first sequence, offset), and the number of sequences.
-
-    The pieces of a length with ranks from an entry's first rank on go `copies` to a sequence. The rounded programs
-    count unless best fit alone needs fewer sequences."""
-    return min((_fill(histogram, capacity, programs) for programs in (PROGRAMS, 0)), key=lambda found: found[1])
-
-
 def ranked(pieces: DataFrame, n: int) -> DataFrame:
     """`rank`: each piece's number among those of its length. Lengths are dealt over buckets, so a common one is no single task's."""
     buckets = max(16, n // 50_000)
