@@ -9,7 +9,7 @@ from ..operators import fusion, labels, metrics, patterns, redact, verify
 from ..sources import profile as profiles
 from ..session import cut
 from ..sources import tables as sources
-from .base import BOXES, FORMS, derived, plain, query, six
+from .base import BOXES, FORMS, ORACLE_SQL, derived, plain, query, six
 from .scalars import ACCOUNTS, CODES, sql_luhn, sql_verhoeff
 
 _EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
@@ -65,7 +65,10 @@ def _(spark, d):
     return derived(spark, d, "SELECT doc_id, text FROM {documents}").select("doc_id", patterns.candidate(F.col("text")).alias("candidate"))
 
 
-@query("d13_overlap_resolution")
+_HITS = " UNION ALL ".join(f"SELECT k, start, CAST(start + length(hit) AS INT) AS \"end\", CAST(p AS DOUBLE) AS p, '{cls}' AS cls FROM ({ORACLE_SQL[name]})" for name, cls in (("d02_upi_hits", "upi"), ("d09_prefixed_secret_hits", "apikey"), ("d10_jwt_hits", "apikey"), ("d12_entropy_hits", "apikey")))
+
+
+@query("d13_overlap_resolution", f'WITH h AS ({_HITS}) SELECT * FROM h WHERE NOT EXISTS (SELECT 1 FROM h o WHERE o.k = h.k AND o.start < h."end" AND h.start < o."end" AND o.p > h.p)')
 def _(spark, d):
     """Native hits of three rules folded per document, beside the joint Arrow scan."""
     rows = derived(spark, d, SECRETS)
@@ -77,17 +80,23 @@ def _(spark, d):
     return lists.select("k", F.explode(patterns.resolve_overlaps(F.col("h"))).alias("h")).select("k", "h.*")
 
 
-@query("d14_detect_elements")
-def _(spark, d):
-    return patterns.detect(derived(spark, d, FORMS), ["scope", "id"])
-
-
 _FORM = plain(FORMS)
 _DOM = f"""SELECT scope, id, CASE WHEN tag = 'img' THEN 'element' WHEN tag IN ('input', 'textarea') THEN 'value' ELSE 'text' END AS field,
   CASE WHEN tag = 'img' THEN 'id_document' WHEN role = 'password' THEN 'password' WHEN autocomplete = 'name' THEN 'person' WHEN autocomplete IS NOT NULL THEN 'card' WHEN type = 'email' THEN 'email' WHEN type = 'tel' THEN 'phone'
     WHEN name = 'Email address' THEN 'email' WHEN name IN ('Mobile number', 'Contact phone') THEN 'phone' WHEN name = 'Full name' THEN 'person' WHEN name = 'Street address' THEN 'address' WHEN name = 'Card number' THEN 'card' WHEN name = 'Aadhaar number' THEN 'aadhaar' END AS cls,
   CASE WHEN tag = 'img' THEN 0.86 WHEN role = 'password' THEN 1.0 WHEN autocomplete IS NOT NULL THEN 0.95 WHEN type IN ('email', 'tel') THEN 0.93
     WHEN name = 'Email address' THEN 0.9 WHEN name = 'Mobile number' THEN 0.88 WHEN name = 'Contact phone' THEN 0.63 WHEN name = 'Full name' THEN 0.85 WHEN name = 'Street address' THEN 0.8 WHEN name = 'Card number' THEN 0.93 WHEN name = 'Aadhaar number' THEN 0.94 END AS p FROM {_FORM}"""
+_REGEX = f"""SELECT scope, id, field, CAST(start AS INT) AS start, CAST(start + length(hit) AS INT) AS "end", cls, CAST(p AS DOUBLE) AS p, 'regex' AS source FROM (
+  SELECT scope, id, 'value' AS field, 0 AS start, value AS hit, CASE name WHEN 'Email address' THEN 'email' WHEN 'Mobile number' THEN 'phone' WHEN 'Card number' THEN 'card' ELSE 'aadhaar' END AS cls,
+    CASE name WHEN 'Email address' THEN 0.97 WHEN 'Mobile number' THEN 0.72 WHEN 'Card number' THEN 0.94 ELSE 0.96 END AS p
+  FROM {_FORM} WHERE name IN ('Email address', 'Mobile number') OR name = 'Card number' AND {sql_luhn("value")} OR name = 'Aadhaar number' AND {sql_verhoeff("value")}
+  UNION ALL SELECT scope, id, 'text', strpos(text, ': ') + 1, substr(text, strpos(text, ': ') + 2, 10), 'phone', 0.72 FROM {_FORM} WHERE text LIKE '%: %'
+  UNION ALL SELECT scope, id, 'text', strpos(text, 'mail ') + 4, substr(text, strpos(text, 'mail ') + 5), 'email', 0.97 FROM {_FORM} WHERE text LIKE '%@%')"""
+
+
+@query("d14_detect_elements", _REGEX)
+def _(spark, d):
+    return patterns.detect(derived(spark, d, FORMS), ["scope", "id"])
 
 
 @query("d15_label_detector", f"SELECT scope, id, field, cls, round(CAST(p AS DOUBLE), 6) AS p FROM ({_DOM}) WHERE cls IS NOT NULL")
@@ -145,7 +154,10 @@ def _detections(elements):
     return dom.unionByName(patterns.detect(elements, ["scope", "id"]).select(*dom.columns))
 
 
-@query("u01_all_detections")
+@query(
+    "u01_all_detections",
+    f"""SELECT scope, id, field, CAST(NULL AS INT) AS start, CAST(NULL AS INT) AS "end", cls, CAST(p AS DOUBLE) AS p, 'dom' AS source FROM ({_DOM}) WHERE cls IS NOT NULL UNION ALL {_REGEX}""",
+)
 def _(spark, d):
     return _detections(derived(spark, d, FORMS))
 
@@ -225,7 +237,15 @@ def _(spark, d):
     return done.select(F.col("scope").alias("doc_id"), F.col("n_spans").cast("long").alias("n_spans"), F.length("text").cast("long").alias("n_chars"), F.coalesce("n_handles", F.lit(0)).alias("n_handles"))
 
 
-@query("r01_redacted_documents")
+_REDACTED = f"""WITH e AS ({_hits(plain(DOCS), _EMAIL)}), c AS (SELECT * FROM ({_hits(plain(DOCS), _CARD)}) WHERE length({_D}) BETWEEN 13 AND 19 AND {sql_luhn(_D)}),
+  h AS (SELECT *, 'EMAIL_' AS prefix FROM e UNION ALL SELECT *, 'CARD_' FROM c),
+  named AS (SELECT k, start, start + length(hit) AS stop, prefix || dense_rank() OVER (PARTITION BY k, prefix ORDER BY f DESC) AS rep FROM (SELECT *, max(start) OVER (PARTITION BY k, prefix, hit) AS f FROM h)),
+  gaps AS (SELECT *, coalesce(lag(stop) OVER (PARTITION BY k ORDER BY start), 0) AS behind FROM named),
+  parts AS (SELECT k, string_agg(substr(text, CAST(behind + 1 AS BIGINT), CAST(start - behind AS BIGINT)) || rep, '' ORDER BY start) AS done, max(stop) AS stop, count(*) AS n FROM gaps JOIN {plain(DOCS)} USING (k) GROUP BY k)
+  SELECT d.k AS scope, CAST(0 AS INT) AS ord, coalesce(done, '') || substr(d.text, CAST(coalesce(stop, 0) + 1 AS BIGINT)) AS text, CAST(coalesce(n, 0) AS INT) AS n_spans FROM {plain(DOCS)} d LEFT JOIN parts ON d.k = parts.k"""
+
+
+@query("r01_redacted_documents", _REDACTED)
 def _(spark, d):
     docs = sources.document_texts(derived(spark, d, "SELECT doc_id, text FROM {documents}"))
     return redact.redact_texts(docs, _spans(docs))[0]
