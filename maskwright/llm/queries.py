@@ -17,4 +17,19 @@ QUERIES = {
     "op10_html_extraction": template.op10_html_extraction,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Every 400-byte window of the texts (as hex digits, in blocks of 1000 windows), the windows that occur twice, and what they leave.
+_REPEATED_BYTES = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+b AS (SELECT r, k, substr(x, 2000 * k + 1, 2798) AS y FROM (SELECT r, x, unnest(range(0, length(x) // 2000 + 1)) AS k FROM d)),
+w AS (SELECT r, 1000 * k + j AS i, hash(substr(y, 2 * j + 1, 800)) AS h FROM (SELECT r, k, y, unnest(range(0, length(y) // 2 - 399)) AS j FROM b)),
+m AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY h) AS n FROM w) WHERE n > 1),
+f AS (SELECT r, i, coalesce(i > lag(i) OVER (PARTITION BY r ORDER BY i) + 400, true) AS first FROM m),
+s AS (SELECT r, min(i) AS a, max(i) + 400 AS b FROM (SELECT r, i, count_if(first) OVER (PARTITION BY r ORDER BY i) AS run FROM f) GROUP BY r, run),
+g AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS behind FROM s),
+k AS (SELECT r, string_agg(substr(x, 2 * behind + 1, 2 * (a - behind)), '' ORDER BY a) AS before, max(b) AS stop, sum(b - a) AS n_removed, count(*) AS n_spans FROM g JOIN d USING (r) GROUP BY r)
+SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(before, '') || substr(x, 2 * coalesce(stop, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN k USING (r)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op5_suffix_array_dedup": _REPEATED_BYTES}

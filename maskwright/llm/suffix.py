@@ -357,4 +357,4 @@ def dedup(docs: DataFrame, most: int = MOST) -> DataFrame:
 
 
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup(common.table(spark, sf_dir, "documents"))
+    return dedup(common.table(spark, sf_dir, "documents")).drop("spans")
