@@ -32,4 +32,17 @@ SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_remove
 FROM d LEFT JOIN k USING (r)
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_suffix_array_dedup": _REPEATED_BYTES}
+#: Sets of five words, classes of equal sets, all pairs of classes that share a shingle, and what is linked over others.
+_NEAR_COPIES = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '(?:[a-z0-9]|[^\x00-\x7F])+') AS w FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)] END)) AS g FROM d),
+c AS (SELECT row_number() OVER () AS c, g, copies, doc FROM (SELECT g, count(*) AS copies, min(doc_id) AS doc FROM s GROUP BY g)),
+e AS (SELECT c, len(g) AS n, unnest(g) AS t FROM c),
+p AS (SELECT a.c AS a, b.c AS b FROM e a JOIN e b ON a.t = b.t AND a.c <> b.c GROUP BY a.c, b.c, a.n, b.n HAVING 5 * count(*) >= 4 * (a.n + b.n - count(*))),
+l AS (SELECT a AS c, sum(copies) AS links FROM p JOIN c ON c.c = p.b GROUP BY a),
+t(a, b) AS (SELECT c, c FROM c UNION SELECT t.a, p.b FROM t JOIN p ON t.b = p.a),
+m AS (SELECT a AS c, min(doc) AS class_id FROM t JOIN c ON c.c = t.b GROUP BY a)
+SELECT doc_id, class_id, CAST(copies - 1 + coalesce(links, 0) AS BIGINT) AS n_links, CAST(copies AS BIGINT) AS n_copies FROM s JOIN c ON s.g = c.g JOIN m ON c.c = m.c LEFT JOIN l ON c.c = l.c
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_ngram_jaccard_join": _NEAR_COPIES, "op5_suffix_array_dedup": _REPEATED_BYTES}

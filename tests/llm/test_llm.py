@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from maskwright.llm import binary, chunks, decontaminate, jaccard, media, packing, quality, sharding, suffix, template
+from maskwright.llm import binary, chunks, decontaminate, jaccard, media, packing, quality, queries, sharding, suffix, template
 from maskwright.llm.graph import components
 from maskwright.llm.queries import QUERIES
 
@@ -519,6 +519,18 @@ def test_extraction_of_odd_pages():
     assert len(media.parse("<p>a</p>" + "<script>" * 50_000)) == 1
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_queries_equal_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("create view documents as select * from '/root/testdata/sf0.001/documents.parquet'")
+    ours, theirs = queries.QUERIES[name](spark, "/root/testdata/sf0.001"), con.execute(queries.ORACLE_SQL[name])
+    names = [c[0] for c in theirs.description]
+    assert set(names) == set(ours.columns)
+    assert sorted(map(tuple, ours.select(*names).collect()), key=repr) == sorted(theirs.fetchall(), key=repr)
+
+
 def test_all_queries_are_registered():
     assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)]
 
