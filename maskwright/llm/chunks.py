@@ -5,14 +5,14 @@ touches. From every cut point a variable chunk runs to the first one at least SM
 which ones a passage has depends on the passage alone, wherever it stands. Chunks meet by digest. Neighbouring repeated chunks
 are a run; at a run's ends the chunk's bytes and those beside it are compared with another occurrence, so that a
 passage goes whole. A stretch so found is repeated if it has `least` bytes or WORDS words. The first occurrence
-of each chunk, by (doc_id, position), stays and the others are cut out.
+of each chunk, by (doc_id, hash of the text, position), stays and the others are cut out.
 
 Sums per digest are built map-side and chunks meet them in joins that Spark splits where a digest is hot; a
 document's chunks are gathered with the bytes beside its runs, never a digest's documents.
 
 Defined results: null and empty texts, and those of under SMALLEST bytes, lose nothing; cuts never split a character; rows are told apart by
-doc_id and text, so rows that share a doc_id lose their own repeats alone; of such rows, and of rows without a doc_id (which come last), several may
-hold a first occurrence and all keep it, and so do repeated rows; an empty table gives no row; other columns are kept by `cut` and ignored by the rest.
+doc_id and text, so texts that share a doc_id, or have none (they come last), lose what texts with ids of their own would; of rows alike in both
+one keeps its text and the others lose it whole, if it is long enough to be a repeat; an empty table gives no row; other columns are kept by `cut` and ignored by the rest.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -35,6 +35,8 @@ CONTEXT = 320
 _GEAR = np.random.default_rng(2).integers(0, 1 << 16, 256, dtype=np.uint16)
 #: A row without a doc_id comes after all others.
 LAST = (1 << 63) - 1
+#: Shares that a group of rows alike is dealt over.
+SALTS = 4096
 
 
 def gear(data: np.ndarray) -> np.ndarray:
@@ -84,7 +86,7 @@ def chunk_spans(raws: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
 
 def keyed(docs: DataFrame) -> DataFrame:
     """doc (doc_id, LAST for null), version (tells texts of one doc_id apart), text."""
-    return common.doc_columns(docs).select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.hash("text").alias("version"), "text")
+    return common.doc_columns(docs).select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.xxhash64("text").alias("version"), "text")
 
 
 def chunk(rows: DataFrame) -> DataFrame:
@@ -97,10 +99,10 @@ def chunk(rows: DataFrame) -> DataFrame:
             digests = b"".join(hashlib.blake2b(raw[a:b], digest_size=8).digest() for raw, (s, e) in zip(raws, spans) for a, b in zip(s.tolist(), e.tolist()))
             n = [len(s) for s, _ in spans]
             place = np.concatenate([s * 2048 + (e - s) + 1024 * (e == len(raw)) for raw, (s, e) in zip(raws, spans)])
-            cols = [pa.array(np.frombuffer(digests, dtype="<i8")), pa.array(np.repeat(np.array(docs, dtype=np.int64), n)), pa.array(np.repeat(np.array(versions, dtype=np.int32), n)), pa.array(place)]
+            cols = [pa.array(np.frombuffer(digests, dtype="<i8")), pa.array(np.repeat(np.array(docs, dtype=np.int64), n)), pa.array(np.repeat(np.array(versions, dtype=np.int64), n)), pa.array(place)]
             yield pa.RecordBatch.from_arrays(cols, names=["digest", "doc", "version", "place"])
 
-    return rows.mapInArrow(run, "digest long, doc long, version int, place long")
+    return rows.mapInArrow(run, "digest long, doc long, version long, place long")
 
 
 class Parts:
@@ -142,10 +144,10 @@ def part_lists(column: pa.ListArray) -> list[Parts | None]:
 
 def repeats(rows: DataFrame, n: int) -> DataFrame:
     """doc, version, parts (place, digest, own: whether the document has the digest's first occurrence)."""
-    sums = chunk(rows).groupBy("digest").agg(F.count("*").alias("n"), F.min("doc").alias("first")).filter("n > 1").select("digest", "first")
+    sums = chunk(rows).groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("doc", "version")).alias("first")).filter("n > 1").select("digest", "first")
     sums = common.materialise(sums, "repeated-chunks", n)  # a plain table: Spark can then split a hot digest's side of the join
     common.drop_shuffles(rows.sparkSession)
-    met = chunk(rows).join(sums, "digest").select("doc", "version", F.struct("place", "digest", (F.col("doc") == F.col("first")).alias("own")).alias("p"))
+    met = chunk(rows).join(sums, "digest").select("doc", "version", F.struct("place", "digest", (F.struct("doc", "version") == F.col("first")).alias("own")).alias("p"))
     return common.materialise(met.groupBy("doc", "version").agg(F.collect_set("p").alias("parts")), "parts", n)
 
 
@@ -158,10 +160,10 @@ def beside(rows: DataFrame, found: DataFrame, n: int) -> DataFrame:
             parts = part_lists(batch.column(batch.schema.get_field_index("parts")))
             out = [(d, v, *a) for d, v, some in zip(docs, versions, parts) for a in some.ends()]
             cols = list(zip(*out)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.bool_()))], names=["doc", "version", "digest", "side", "before"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_()))], names=["doc", "version", "digest", "side", "before"])
         common.trim()
 
-    asks = common.materialise(found.mapInArrow(ask, "doc long, version int, digest long, side int, before boolean"), "asks", n)
+    asks = common.materialise(found.mapInArrow(ask, "doc long, version long, digest long, side int, before boolean"), "asks", n)
     places = found.select("doc", "version", F.explode("parts").alias("p")).select("doc", "version", "p.place", "p.digest")
     # Sums before the join: a document gives its first and last place of each digest, a task its least and greatest document.
     ends = places.groupBy("digest").agg(F.min(F.struct("doc", "version", "place")).alias("e0"), F.max(F.struct("doc", "version", "place")).alias("e1"))
@@ -181,9 +183,9 @@ def beside(rows: DataFrame, found: DataFrame, n: int) -> DataFrame:
             cols = list(zip(*out)) or [[]] * 9
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["digest", "side", "before", "other_doc", "other_version", "other_place", "at", "size", "bytes"])
 
-    kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
     # Rows that are alike in doc_id and text each have the same bytes to give.
-    fetched = rows.join(per_doc, ["doc", "version"]).select("doc", "version", "places", "text").mapInArrow(fetch, "digest long, side int, before boolean, other_doc long, other_version int, other_place long, at long, size long, bytes binary")
+    fetched = rows.join(per_doc, ["doc", "version"]).select("doc", "version", "places", "text").mapInArrow(fetch, "digest long, side int, before boolean, other_doc long, other_version long, other_place long, at long, size long, bytes binary")
     contexts = common.materialise(fetched.dropDuplicates(["digest", "side", "before"]), "contexts", n)
     common.drop_shuffles(rows.sparkSession)
     itself = (F.col("doc") == F.col("other_doc")) & (F.col("version") == F.col("other_version"))
@@ -240,6 +242,29 @@ def repeated(raw: bytes, parts: Parts | None, others: list[dict] | None, least:
     return sum(e - s for s, e in long(stretches(raw, parts, others or [], False))), whole
 
 
+def numbered(rows: DataFrame, doc: str = "doc", version: str = "version", again: str = "again") -> DataFrame:
+    """rows with `again`: whether another row that is alike in doc and version was chosen to stay.
+
+    Only rows that have such a twin are dealt out anew, in two steps, so that no group of them is ever one task's: one of each
+    of SALTS shares of a group first, then one of these."""
+    twins = common.materialise(rows.groupBy(doc, version).agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "twins", 0)
+    if twins.isEmpty():
+        return rows.withColumn(again, F.lit(False))
+    some = rows.join(twins, [doc, version], "left_semi").withColumn("cut_salt_", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+    some = some.withColumn("cut_at_", F.row_number().over(Window.partitionBy(doc, version, "cut_salt_").orderBy(F.lit(0))))
+    # The first of each share meets the others' firsts; all other rows stay alone.
+    first = F.col("cut_at_") == 1
+    some = some.withColumn("cut_share_", F.when(~first, F.struct("cut_salt_", "cut_at_")))
+    chosen = F.row_number().over(Window.partitionBy(doc, version, "cut_share_").orderBy("cut_salt_")) == 1
+    some = some.withColumn(again, ~(first & chosen)).drop("cut_salt_", "cut_at_", "cut_share_")
+    return rows.join(twins, [doc, version], "left_anti").withColumn(again, F.lit(False)).unionByName(some)
+
+
+def all_of(raw: bytes, least: int) -> tuple[int, list[tuple[int, int]]]:
+    """A row whose twin stays: all of it is repeated."""
+    return (len(raw), [(0, len(raw))]) if len(raw) >= least or len(raw.split()) >= WORDS else (0, [])
+
+
 def hits(docs: DataFrame) -> DataFrame:
     """doc, version, parts, others of every row that has repeated chunks."""
     rows = keyed(docs)
@@ -259,15 +284,15 @@ def without(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 def dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """doc_id, n_bytes, n_repeated, n_removed, n_spans, kept_sha256, text (what is kept)."""
-    rows = common.doc_columns(docs).select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.hash("text").alias("version"), "text")
-    met = rows.join(hits(docs), ["doc", "version"], "left").select("doc_id", "parts", "others", "text")
+    rows = common.doc_columns(docs).select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.xxhash64("text").alias("version"), "text")
+    met = numbered(rows).join(hits(docs), ["doc", "version"], "left").select("doc_id", "again", "parts", "others", "text")
 
     def run(batches):
         for batch in batches:
-            ids, others, texts = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "others", "text"))
+            ids, again, others, texts = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "again", "others", "text"))
             parts = part_lists(batch.column(batch.schema.get_field_index("parts")))
             raws = [t.encode("utf-8", "replace") for t in texts]
-            found = [repeated(r, p, o, least) for r, p, o in zip(raws, parts, others)]
+            found = [all_of(r, least) if a else repeated(r, p, o, least) for r, a, p, o in zip(raws, again, parts, others)]
             kept = [without(r, s) for r, (_, s) in zip(raws, found)]
             cols = [
                 pa.array(ids, pa.int64()), pa.array([len(r) for r in raws], pa.int64()), pa.array([n for n, _ in found], pa.int64()),
@@ -282,15 +307,16 @@ def dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
 def cut(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """docs, all columns, with repeated stretches cut from text and n_chars, if there, set anew."""
-    found = hits(docs).select(F.col("doc").alias("cut_doc_"), F.col("version").alias("cut_version_"), F.col("parts").alias("cut_parts_"), F.col("others").alias("cut_others_"))
-    same = (F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)) == F.col("cut_doc_")) & (F.hash(F.coalesce(F.col("text"), F.lit(""))) == F.col("cut_version_"))
-    met = docs.join(found, same, "left").drop("cut_doc_", "cut_version_")
+    found = hits(docs).withColumnsRenamed({c: f"cut_{c}_" for c in ("doc", "version", "parts", "others")})
+    keyed_ = docs.withColumns({"cut_doc_": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "cut_version_": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
+    rows = numbered(keyed_, "cut_doc_", "cut_version_", "cut_again_")
+    met = rows.join(found, ["cut_doc_", "cut_version_"], "left").select(*[F.col(f"`{c}`") for c in docs.columns], "cut_again_", "cut_parts_", "cut_others_")
 
-    def shorter(text: str | None, parts: Parts | None, others: list[dict] | None) -> str | None:
-        if text is None or parts is None:
+    def shorter(text: str | None, again: bool, parts: Parts | None, others: list[dict] | None) -> str | None:
+        if text is None or parts is None and not again:
             return text
         raw = text.encode("utf-8", "replace")
-        spans = repeated(raw, parts, others, least)[1]
+        spans = (all_of(raw, least) if again else repeated(raw, parts, others, least))[1]
         return without(raw, spans).decode("utf-8", "replace") if spans else text
 
     def run(batches):
@@ -298,9 +324,10 @@ def cut(docs: DataFrame, least: int = LEAST) -> DataFrame:
             at = batch.schema.get_field_index("text")
             texts, others = batch.column(at), batch.column(batch.schema.get_field_index("cut_others_"))
             parts = part_lists(batch.column(batch.schema.get_field_index("cut_parts_")))
-            kept = [shorter(t.as_py(), p, o.as_py()) for t, p, o in zip(texts, parts, others)]
+            again = batch.column(batch.schema.get_field_index("cut_again_")).to_pylist()
+            kept = [shorter(t.as_py(), a, p, o.as_py()) for t, a, p, o in zip(texts, again, parts, others)]
             changed = [k is not None and k != t.as_py() for k, t in zip(kept, texts)]
-            out = batch.drop_columns(["cut_parts_", "cut_others_"])
+            out = batch.drop_columns(["cut_again_", "cut_parts_", "cut_others_"])
             out = out.set_column(out.schema.get_field_index("text"), "text", pa.array(kept, out.schema.field("text").type))
             if (n := out.schema.get_field_index("n_chars")) >= 0:
                 fresh = [len(k) if c else old for k, c, old in zip(kept, changed, out.column(n).to_pylist())]
