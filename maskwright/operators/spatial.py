@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import box, containment, intersection, iou, overlaps
-from ..schema import opaque
+from ..schema import opaque, visibility
 
 CELL = 32
 TILE = 256
@@ -91,6 +91,27 @@ def tiled(boxes: DataFrame, prefix: str) -> DataFrame:
     return boxes.withColumn("tile_x", F.explode(span(x, w))).withColumn("tile_y", F.explode(span(y, h)))
 
 
+def sighted(elements: DataFrame, width: int, height: int) -> DataFrame:
+    """elements with `visible`, `offscreen` and `hit`: the element painted on top at its centre (held within the viewport), null where there is none.
+
+    elements: scope, id, x, y, w, h, node and leave (nested sets: their place in the tree), and z where paint order is not that of the tree. An
+    element is visible if what is on top is itself, stands in it or holds it. Centres meet boxes over tiles, and the topmost box is a
+    maximum by paint order, so a large scope is no pair of all its elements."""
+    z = F.col("z") if "z" in elements.columns else F.lit(0)
+    off = visibility(F.col("x"), F.col("y"), F.col("w"), F.col("h"), F.lit(width), F.lit(height))
+    placed = elements.select("scope", "id", "node", "leave", z.alias("z"), *"xywh", off.alias("off_"))
+    at = lambda low, size, most: F.least(F.greatest(F.col(low) + F.col(size) / 2, F.lit(1.0)), F.lit(float(most - 1)))
+    points = placed.filter("not off_").select("scope", "id", at("x", "w", width).alias("px"), at("y", "h", height).alias("py"))
+    points = points.withColumn("tile_x", F.floor(F.col("px") / TILE)).withColumn("tile_y", F.floor(F.col("py") / TILE))
+    boxes = tiled(placed.filter("not off_").select("scope", "node", "leave", "z", F.col("id").alias("top"), *[F.col(c).alias(f"b_{c}") for c in "xywh"]), "b_")
+    covers = (F.col("px") >= F.col("b_x")) & (F.col("px") < F.col("b_x") + F.col("b_w")) & (F.col("py") >= F.col("b_y")) & (F.col("py") < F.col("b_y") + F.col("b_h"))
+    met = points.join(boxes, ["scope", "tile_x", "tile_y"]).filter(covers)
+    top = met.groupBy("scope", "id").agg(F.max(F.struct("z", "node", "leave", "top")).alias("t"))
+    out = elements.drop("visible", "offscreen").join(placed.select("scope", "id", "off_"), ["scope", "id"]).join(top, ["scope", "id"], "left")
+    within = (F.col("t.node") <= F.col("node")) & (F.col("node") <= F.col("t.leave")) | (F.col("node") <= F.col("t.node")) & (F.col("t.node") <= F.col("leave"))
+    return out.withColumns({"visible": F.coalesce(within, F.lit(False)) & ~F.col("off_"), "offscreen": F.col("off_"), "hit": F.col("t.top")}).drop("off_", "t")
+
+
 def anchor(vision: DataFrame, elements: DataFrame, least_iou: float = 0.5, least_inside: float = 0.8) -> DataFrame:
     """scope, box_id, id, score: for each vision box the element of best max(IoU, containment), first of equals; over tiles, not all pairs."""
     v = tiled(vision.select("scope", "box_id", *[F.col(c).alias(f"v_{c}") for c in "xywh"]), "v_")

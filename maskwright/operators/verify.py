@@ -6,9 +6,11 @@ import json
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import HANDLE, bounded, entropy, fnv1a, strip_handles
 from ..sources.tables import SCHEMA_TAG
@@ -39,11 +41,50 @@ def leaks(payloads: DataFrame) -> DataFrame:
     return hits.filter((F.col("h.p") >= 0.85) | ((F.col("h.cls") == "phone") & (F.col("h.p") >= 0.70) & cue)).select("scope", "h.cls", "h.start", "h.p")
 
 
+#: Values and payloads of a scope that are searched at once; larger scopes go in several blocks of each.
+VALUE_BLOCK, PAYLOAD_BLOCK = 20_000, 200
+
+
+def _blocks(rows: DataFrame, key: str, most: int, item: Column, name: str) -> DataFrame:
+    """scope, name: the scope's items as arrays of about `most` at most. Only scopes with more rows are dealt over blocks, by a hash of `key`."""
+    large = rows.groupBy("scope").agg(F.count("*").alias("n_")).filter(F.col("n_") > most)
+    block = F.coalesce(F.pmod(F.xxhash64(key), F.ceil(F.col("n_") / most)), F.lit(0))
+    return rows.join(large, "scope", "left").groupBy("scope", block.alias("block_")).agg(F.collect_list(item).alias(name)).drop("block_")
+
+
 def vault_leaks(payloads: DataFrame, vault: DataFrame) -> DataFrame:
-    """V2: scope, handle of values (four characters or more) that a payload holds, as they are or escaped as JSON."""
-    v = vault.filter(F.length("value") >= 4)
+    """V2: scope, handle of values (four characters or more) that a payload holds, as they are or escaped as JSON.
+
+    All values of a block are searched in one pass over each payload, by an Aho-Corasick automaton: the time is that of the
+    payloads and of the values, not of their pairs."""
+    v = vault.filter(F.length("value") >= 4).select("scope", "handle", "value").distinct()
     escaped = F.regexp_extract(F.to_json(F.struct(F.col("value"))), r'^\{"value":"(.*)"\}$', 1)
-    return payloads.join(v, "scope").filter(F.contains("payload", F.col("value")) | F.contains(F.col("payload"), escaped)).select("scope", "handle").distinct()
+    needles = _blocks(v, "value", VALUE_BLOCK, F.struct("handle", F.array_distinct(F.array(F.col("value"), escaped)).alias("forms")), "needles")
+    texts = _blocks(payloads.select("scope", "payload").filter("payload is not null").distinct(), "payload", PAYLOAD_BLOCK, F.col("payload"), "payloads")
+    met = texts.join(needles, "scope").select("scope", "payloads", "needles")
+    kind = met.schema["scope"].dataType
+
+    def run(batches):
+        import ahocorasick
+
+        for batch in batches:
+            rows = batch.to_pylist()
+            out = []
+            for r in rows:
+                automaton, known = ahocorasick.Automaton(), {}
+                for n in r["needles"]:
+                    for form in n["forms"]:
+                        if form:
+                            known.setdefault(form, []).append(n["handle"])
+                for form, handles in known.items():
+                    automaton.add_word(form, handles)
+                if known:
+                    automaton.make_automaton()
+                    found = {h for text in r["payloads"] for _, handles in automaton.iter(text) for h in handles}
+                    out += [(r["scope"], h) for h in sorted(found)]
+            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in out], to_arrow_type(kind)), pa.array([h for _, h in out], pa.string())], names=["scope", "handle"])
+
+    return met.mapInArrow(run, T.StructType([T.StructField("scope", kind), T.StructField("handle", T.StringType())])).distinct()
 
 
 def secret_like(payloads: DataFrame) -> DataFrame:

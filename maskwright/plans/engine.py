@@ -9,7 +9,7 @@ from ..operators import agent, metrics, spatial
 from ..schema import opaque
 from ..sources import html as pages_
 from ..sources import tables as sources
-from ..streaming import guards
+from ..streaming import guards, vault
 from .base import ORACLE_SQL, BOXES, CONTROLS, FORMS, STEPS, TASKS, derived, plain, query, six
 from .scalars import sql_cover, sql_tokens
 
@@ -384,6 +384,38 @@ def _(spark, d):
     return kept.select("scope", "ord", "id", "role", "tag", "name", "text")
 
 
+#: Each form of ten elements as a page: fields with labels before them, an image, a notice and a heading, in a form in a navigation bar.
+FORM_PAGES = """
+SELECT scope AS page_id, '<!DOCTYPE html><html><body><div role=navigation title="Bar ' || CAST(scope AS STRING) || '"><form aria-label=" Form  ' || CAST(scope AS STRING) || '">' ||
+  array_join(transform(array_sort(collect_list(struct(ord, CASE tag WHEN 'input' THEN '<label for=f' || CAST(ord AS STRING) || '>' || name || ' <b>*</b></label><input id=f' || CAST(ord AS STRING) || ' type="' || type || '" value="' || coalesce(value, '') || '">'
+    WHEN 'img' THEN '<img src=x alt="' || name || '">' WHEN 'p' THEN '<p>  ' || text || ' <i>now</i></p>' WHEN 'h2' THEN '<h2>' || name || '</h2>' ELSE '<textarea placeholder="' || name || '"></textarea>' END AS part))), x -> x.part), '') || '</form></div></body></html>' AS html
+FROM ({forms}) GROUP BY scope
+"""
+
+
+def _form_pages(spark, d):
+    return pages_.nodes(derived(spark, d, FORM_PAGES.replace("{forms}", FORMS)))
+
+
+#: Where the elements stand in such a page: html, body, bar and form are 0 to 3, a field has a label and a <b> before it and a notice an <i> inside.
+PLACED = f"""
+SELECT *, CAST(3 + sum(CASE tag WHEN 'input' THEN 3 WHEN 'p' THEN 2 ELSE 1 END) OVER (PARTITION BY scope ORDER BY ord) - CASE WHEN tag = 'p' THEN 1 ELSE 0 END AS BIGINT) AS node FROM ({FORMS})
+"""
+#: Of these, what is kept, with its place in the order: fields and the text area, images, texts that may hold personal data; the bar itself is first.
+_KEPT = f"""SELECT *, 1 + row_number() OVER (PARTITION BY scope ORDER BY CASE WHEN tag IN ('input', 'textarea') THEN 1 WHEN tag = 'img' THEN 2 ELSE 3 END, node) AS place FROM {plain(PLACED)} WHERE tag <> 'h2' AND (tag <> 'p' OR regexp_matches(text, '[0-9]{{4}}|@'))"""
+
+
+@query(
+    "s01_form_elements",
+    f"""SELECT scope, place AS ord, 'el_' || node AS id, CASE WHEN tag = 'img' THEN 'image' WHEN tag = 'p' THEN 'text' WHEN tag = 'input' AND type = 'password' THEN 'password' ELSE 'textbox' END AS role, tag,
+      CASE tag WHEN 'input' THEN name || ' *' WHEN 'p' THEN text ELSE name END AS name, CASE WHEN tag = 'input' THEN value END AS value, CASE WHEN tag = 'p' THEN text END AS text, CASE WHEN tag = 'p' THEN node + 1 ELSE node END AS leave FROM ({_KEPT})""",
+)
+def _(spark, d):
+    """Fields, images and texts that may hold personal data, of pages that are made of the forms."""
+    kept = pages_.elements(_form_pages(spark, d), suspicious=True).filter("role <> 'navigation'")
+    return kept.select("scope", F.col("ord").cast("long").alias("ord"), "id", "role", "tag", "name", "value", "text", F.col("leave").cast("long").alias("leave"))
+
+
 @query("j04_nearest_kept", "SELECT page_id AS scope, CAST(len(regexp_extract_all(html, '<li>')) AS BIGINT) AS links FROM pages")
 def _(spark, d):
     """Links whose nearest kept ancestor is a list item."""
@@ -393,10 +425,61 @@ def _(spark, d):
     return a.groupBy("scope").agg(F.count("*").alias("links"))
 
 
-@query("j11_groups")
+@query(
+    "j11_groups",
+    r"""SELECT page_id AS scope, 'g_1' AS id, 'nav' AS kind, CAST(NULL AS VARCHAR) AS name, array_to_string(['el_' || (10 + 2 * i) FOR i IN range(n)], ',') AS children, n FROM (SELECT page_id, CAST(len(regexp_extract_all(html, '<li><a ')) AS BIGINT) AS n FROM pages) WHERE n >= 2""",
+)
 def _(spark, d):
+    """Navigation bars with two links or more; a page's list items have no text of their own."""
     found = pages_.nodes(derived(spark, d, "SELECT page_id, html FROM {pages}"))
-    return pages_.groups(found, pages_.elements(found))
+    return pages_.groups(found, pages_.elements(found, suspicious=True)).select("scope", "id", "kind", "name", F.array_join("children", ",").alias("children"), "n")
+
+
+@query(
+    "j11_form_groups",
+    f"""SELECT scope, g.id AS id, g.kind AS kind, g.name || ' ' || scope AS name, children, n, x, y, w, h FROM (SELECT scope, string_agg('el_' || node, ',' ORDER BY place) AS children, count(*) AS n, min(x) AS x, min(y) AS y, max(x + w) - min(x) AS w, max(y + h) - min(y) AS h FROM ({_KEPT}) GROUP BY scope HAVING count(*) >= 2),
+      (VALUES ('g_1', 'form', 'Form'), ('g_2', 'nav', 'Bar')) g(id, kind, name)""",
+)
+def _(spark, d):
+    """A form in a navigation bar, with names, children and union boxes."""
+    found = _form_pages(spark, d)
+    boxes = derived(spark, d, PLACED).select("scope", F.concat(F.lit("el_"), F.col("node").cast("string")).alias("id"), *"xywh")
+    out = pages_.groups(found, pages_.elements(found, suspicious=True), boxes)
+    return out.withColumn("children", F.array_join("children", ","))
+
+
+#: Boxes of an order's lines as a tree of up to seven elements - 1 holds 2 and 3, these 4 and 5, and 6 and 7 - painted in an order of their own.
+TREES = "SELECT scope, ord, 'el_' || CAST(ord AS STRING) AS id, x, y, w * 3 AS w, h * 2 AS h, CASE ord WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 5 WHEN 4 THEN 3 WHEN 5 THEN 4 ELSE ord END AS node, CASE ord WHEN 1 THEN 7 WHEN 2 THEN 4 WHEN 3 THEN 7 WHEN 4 THEN 3 WHEN 5 THEN 4 ELSE ord END AS leave, CAST((x + y) % 3 AS INT) AS z FROM (SELECT scope, ord, min(x) AS x, min(y) AS y, max(w) AS w, max(h) AS h FROM (" + BOXES + ") GROUP BY scope, ord)"
+
+
+@query(
+    "s07_visibility",
+    f"""WITH t AS (SELECT *, x + w < 0 OR y + h < 0 OR x > 500 OR y > 300 AS off FROM {plain(TREES)}), p AS (SELECT *, least(greatest(x + w / 2, 1), 499) AS px, least(greatest(y + h / 2, 1), 299) AS py FROM t WHERE NOT off),
+    m AS (SELECT p.scope, p.id, max({{'z': b.z, 'node': b.node, 'leave': b.leave, 'top': b.id}}) AS t FROM p JOIN t b ON p.scope = b.scope AND NOT b.off AND px >= b.x AND px < b.x + b.w AND py >= b.y AND py < b.y + b.h GROUP BY p.scope, p.id)
+    SELECT t.scope AS scope, t.id AS id, NOT off AND coalesce(m.t.node <= node AND node <= m.t.leave OR node <= m.t.node AND m.t.node <= leave, false) AS visible, off AS offscreen, m.t.top AS hit FROM t LEFT JOIN m ON t.scope = m.scope AND t.id = m.id""",
+)
+def _(spark, d):
+    """Elements whose centre is covered by one that is neither theirs nor around them are not visible."""
+    return spatial.sighted(derived(spark, d, TREES), 500, 300).select("scope", "id", "visible", "offscreen", "hit")
+
+
+#: Values found by each user's steps: two a step, tasks of some ten steps each.
+FOUND = """
+SELECT user_id AS run, ts, event_id AS step, CAST(o AS INT) AS ord, 'task ' || CAST(CAST(floor(event_id / 500) AS BIGINT) AS STRING) AS task, CASE WHEN (event_id + o) % 2 = 0 THEN 'email' ELSE 'phone' END AS cls,
+  CASE WHEN event_id % 9 = 0 THEN NULL WHEN (event_id + o) % 2 = 0 THEN 'u' || CAST(event_id % 5 AS STRING) || '@example.com' ELSE CAST(9000000000 + event_id % 7 AS STRING) END AS value
+FROM {events} CROSS JOIN (SELECT 0 AS o UNION ALL SELECT 1) two
+"""
+
+
+@query(
+    "t06_task_vaults",
+    f"""WITH p AS (SELECT *, sum(CASE WHEN task IS DISTINCT FROM before THEN 1 ELSE 0 END) OVER (PARTITION BY run ORDER BY ts, step, ord) AS part FROM (SELECT *, lag(task) OVER (PARTITION BY run ORDER BY ts, step, ord) AS before FROM {plain(FOUND)})),
+    f AS (SELECT *, min((ts, step, ord)) OVER (PARTITION BY run, part, cls, value) AS first FROM p)
+    SELECT run, step, ord, task, cls, value, CASE WHEN value IS NOT NULL THEN upper(cls) || '_' || dense_rank() OVER (PARTITION BY run, part, cls, value IS NULL ORDER BY first) END AS handle FROM f""",
+)
+def _(spark, d):
+    """Handles of each run's tasks: the same value has one within a task, and numbers begin anew with the next."""
+    return vault.task_vaults(derived(spark, d, FOUND))
 
 
 BODIES = "SELECT n_nationkey AS id, CASE n_nationkey % 4 WHEN 0 THEN '{{\"schema\":\"sanitized/1\",\"task\":\"x\",\"elements\":[{{\"id\":\"a\"}},{{\"id\":\"b\"}}]}}' WHEN 1 THEN '{{\"schema\":\"other\"}}' WHEN 2 THEN 'oops' ELSE '{{\"task\":\"x\"}}' END AS body FROM {nation}"

@@ -216,7 +216,7 @@ def _(spark, d):
     return derived(spark, d, ROLES).select("k", accessible_name(aria, none, label, none, none, F.col("name"), none, none).alias("n"))
 
 
-@query("s07_offscreen", f"SELECT scope, ord, x + w <= 100 OR y + h <= 60 OR x >= 500 OR y >= 300 OR x + w <= 0 OR y + h <= 0 AS off FROM {plain(BOXES)}")
+@query("s07_offscreen", f"SELECT scope, ord, x + w < 100 OR y + h < 60 OR x > 500 OR y > 300 AS off FROM {plain(BOXES)}")
 def _(spark, d):
     inside = visibility(F.col("x") - 100, F.col("y") - 60, F.col("w"), F.col("h"), F.lit(400), F.lit(240))
     return derived(spark, d, BOXES).select("scope", "ord", inside.alias("off"))

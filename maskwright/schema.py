@@ -71,8 +71,8 @@ def accessible_name(aria: Column, labelled: Column, label: Column, alt: Column,
 
 
 def visibility(x: Column, y: Column, w: Column, h: Column, width: Column, height: Column) -> Column:
-    """True where a box lies outside the viewport."""
-    return (x + w <= 0) | (y + h <= 0) | (x >= width) | (y >= height)
+    """True where a box lies outside the viewport; one that touches its edge does not."""
+    return (x + w < 0) | (y + h < 0) | (x > width) | (y > height)
 
 
 def described(boxes: DataFrame) -> DataFrame:
@@ -81,17 +81,5 @@ def described(boxes: DataFrame) -> DataFrame:
     return boxes.filter(shown & F.col("w").between(2, 4000) & F.col("h").between(2, 4000))
 
 
-def occluded(elements: DataFrame) -> DataFrame:
-    """scope, id of elements whose centre a later element without kinship covers; a range condition within the scope."""
-    a, b = elements.alias("a"), elements.alias("b")
-    cx, cy = F.col("a.x") + F.col("a.w") / 2, F.col("a.y") + F.col("a.h") / 2
-    on = (
-        (F.col("a.scope") == F.col("b.scope")) & (F.col("b.ord") > F.col("a.ord")) & F.col("b.visible")
-        & ~F.coalesce(F.col("b.parent") == F.col("a.id"), F.lit(False))
-        & (cx >= F.col("b.x")) & (cx < F.col("b.x") + F.col("b.w")) & (cy >= F.col("b.y")) & (cy < F.col("b.y") + F.col("b.h"))
-    )
-    return a.join(b, on, "left_semi").select("scope", "id")
-
-
 def opaque(tag: Column, role_: Column) -> Column:
     return tag.isin(*OPAQUE_TAGS) | (role_ == "image")
