@@ -34,12 +34,14 @@ def conversation_texts(conversations: DataFrame) -> DataFrame:
 
 
 def requests(bodies: DataFrame) -> DataFrame:
-    """(id, body): id, task, n_elements, error. Oversized, malformed and untagged bodies are errors, not failures."""
+    """(id, body), and error where a body is known to be bad: id, task, n_elements, error. Oversized, malformed and untagged bodies are errors, not failures; a stream or a table."""
     kind = "schema string, task string, elements array<struct<id:string>>"
     parsed = bodies.withColumn("r", F.from_json("body", kind))
     error = (
         F.when(F.octet_length("body") > BODY_CAP, "too large").when(F.col("r.schema").isNull(), "not a request").when(F.col("r.schema") != SCHEMA_TAG, "unknown schema")
     )
+    if "error" in bodies.columns:
+        error = F.coalesce(F.col("error"), error)
     return parsed.select("id", F.when(error.isNull(), F.col("r.task")).alias("task"), F.when(error.isNull(), F.coalesce(F.size("r.elements"), F.lit(0))).alias("n_elements"), error.alias("error"))
 
 
