@@ -172,7 +172,8 @@ def write_blocks(ids: DataFrame, lengths: np.ndarray, path: str) -> None:
             yield flush()
 
     schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("checkpoints", pa.list_(pa.int64())), ("bits", pa.binary())])
-    ordered = ids.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # Rows that share a doc_id, or have none, are dealt over tasks by their number.
+    ordered = ids.withColumn("row", F.monotonically_increasing_id()).repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row").drop("row")
     ordered.mapInArrow(run, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
 
 

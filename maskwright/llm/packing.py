@@ -5,8 +5,9 @@ covering program over size classes - how many sequences of each configuration co
 by multiplicative weights: each round a knapsack dynamic program prices the configuration of most weight.
 The fractional solution is rounded down and repaired with exact lengths - each class gives its longest piece that fits, the
 last two are chosen to close the sequence - and a pattern is taken only if it fills its sequence as well as its configuration
-does; residual programs treat what is left, and best fit the few pieces that no program places. Each step uses a
-pattern as often as the counts allow, so it finishes a length or a configuration. Pieces then find their
+does; residual programs treat what is left. Each step uses a pattern as often as the counts allow, so it finishes a length or a
+configuration. Rounding ends with best fit over the pieces that no program places, and with those of the last patterns, of which as many are
+taken back as leaves the fewest sequences; of equals the one that keeps most. So the packing never needs more than best fit alone. Pieces then find their
 place by their rank among the pieces of their length: no document ever reaches the driver.
 
 Defined results: null and empty texts are one end id; longer documents are cut every `capacity` ids;
@@ -17,7 +18,7 @@ from __future__ import annotations
 
 import heapq
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right, insort
 
 import numpy as np
 import pyarrow as pa
@@ -97,18 +98,55 @@ def solve(demand: np.ndarray, rounds: int = ROUNDS, rate: float = RATE) -> list[
 
 
 Entry = tuple[int, int, int, int, int]
+#: Shares of the programs' sequences that rounding may keep.
+SHARES = (1.0, 0.98, 0.95, 0.9, 0.85, 0.8, 0.7, 0.6, 0.5, 0.3, 0.1, 0.0)
+
+
+def best_fit(left: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """(pieces of a sequence, times): each piece, longest first, in the sequence with the least room that it fits; alike sequences go together."""
+    rooms: dict[int, list[list]] = {}
+    keys: list[int] = []
+
+    def add(room: int, times: int, pattern: tuple[int, ...]) -> None:
+        if times:
+            if room not in rooms:
+                rooms[room] = []
+                insort(keys, room)
+            rooms[room].append([times, pattern])
+
+    for n in sorted(left, reverse=True):
+        count = left[n]
+        while count:
+            i = bisect_left(keys, n)
+            if i == len(keys):
+                most = capacity // n
+                add(capacity - most * n, count // most, (n,) * most)
+                add(capacity - count % most * n, 1 if count % most else 0, (n,) * (count % most))
+                break
+            room = keys[i]
+            times, pattern = rooms[room][-1]
+            some = min(count, times)
+            if some == times:
+                rooms[room].pop()
+                if not rooms[room]:
+                    del rooms[room]
+                    keys.pop(i)
+            else:
+                rooms[room][-1][0] -= some
+            add(room - n, some, (*pattern, n))
+            count -= some
+    return [(pattern, times) for groups in rooms.values() for times, pattern in groups]
 
 
 def plan(histogram: dict[int, int], capacity: int, programs: int = PROGRAMS) -> tuple[list[Entry], int]:
     """Rounded packing: entries (length, first rank, copies, first sequence, offset), and the number of sequences.
 
     The pieces of a length with ranks from an entry's first rank on go `copies` to a sequence. Entries are those of so many
-    programs, each over what the last one left, then those of best fit."""
+    programs, each over what the last one left, as far as they are kept, then those of best fit."""
     left = {k: v for k, v in histogram.items() if v}
     lengths = sorted(left)
     width = -(-capacity // CLASSES)
-    used: dict[int, int] = dict.fromkeys(left, 0)
-    entries: list[Entry] = []
+    placed: list[tuple[dict[int, int], int]] = []
     sequences = 0
 
     def below(room: int, pattern: dict[int, int]) -> int:
@@ -128,7 +166,7 @@ def plan(histogram: dict[int, int], capacity: int, programs: int = PROGRAMS) ->
         return ()
 
     def place(wanted: list[int], most: float) -> int:
-        """One pattern: a piece of each wanted class, largest first, then best fit for what room remains; as often as counts allow. 0 if that leaves more room than the classes would."""
+        """One pattern: a piece of each wanted class, largest first, then the longest that fit what room remains; as often as counts allow. 0 if that leaves more room than the classes would."""
         nonlocal sequences
         pattern: dict[int, int] = {}
         room = capacity
@@ -146,17 +184,14 @@ def plan(histogram: dict[int, int], capacity: int, programs: int = PROGRAMS) ->
             take(n)
         while n := below(room, pattern):
             take(n)
-        if wanted and room > capacity - min(capacity, sum(wanted) * width):
+        if room > capacity - min(capacity, sum(wanted) * width):
             return 0
         times = int(min(most, min(left[n] // k for n, k in pattern.items())))
-        offset = 0
-        for n in sorted(pattern, reverse=True):
-            entries.append((n, used[n], pattern[n], sequences, offset))
-            offset += n * pattern[n]
-            used[n] += times * pattern[n]
-            left[n] -= times * pattern[n]
+        for n, k in pattern.items():
+            left[n] -= times * k
             if not left[n]:
                 lengths.remove(n)
+        placed.append((pattern, times))
         sequences += times
         return times
 
@@ -174,20 +209,45 @@ def plan(histogram: dict[int, int], capacity: int, programs: int = PROGRAMS) ->
                 most -= times
         if sequences == before or not lengths:
             break
-    while lengths:
-        place([], float("inf"))
-    return entries, sequences
+
+    best: tuple[int, list] = (0, [])
+    for share in SHARES:
+        rest, kept, total = dict(left), list(placed), sequences
+        while kept and total > share * sequences:
+            pattern, times = kept.pop()
+            total -= times
+            for n, k in pattern.items():
+                rest[n] += times * k
+        filled = best_fit({n: c for n, c in rest.items() if c}, capacity)
+        total += sum(times for _, times in filled)
+        if not best[1] or total < best[0]:
+            best = (total, [*((tuple(n for n in sorted(p, reverse=True) for _ in range(p[n])), t) for p, t in kept), *filled])
+        if not placed:
+            break
+    used: dict[int, int] = dict.fromkeys(left, 0)
+    entries: list[Entry] = []
+    at = 0
+    for pattern, times in best[1]:
+        offset = 0
+        for n in dict.fromkeys(pattern):
+            copies = pattern.count(n)
+            entries.append((n, used[n], copies, at, offset))
+            offset += n * copies
+            used[n] += times * copies
+        at += times
+    return entries, at
 
 
 def ranked(pieces: DataFrame, n: int) -> DataFrame:
     """`rank`: each piece's number among those of its length. Lengths are dealt over buckets, so a common one is no single task's."""
     buckets = max(16, n // 50_000)
-    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
+    # By the row's number too: rows that share a doc_id, or have none, are no single task's either.
+    dealt = pieces.withColumn("row", F.monotonically_increasing_id()).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "row"), F.lit(buckets)))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     counts = counts.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    within = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece"))
-    return dealt.join(counts, ["length", "bucket"]).withColumn("rank", F.col("base") + within - 1).drop("base", "bucket")
+    within = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "row"))
+    return dealt.join(counts, ["length", "bucket"]).withColumn("rank", F.col("base") + within - 1).drop("base", "bucket", "row")
 
 
 def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:

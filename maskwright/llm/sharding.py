@@ -103,7 +103,7 @@ def minimax(index: RunningTotals, shards: int, largest: int) -> tuple[int, list[
 
 def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard."""
-    rows = common.hold(keyed(docs))
+    rows = common.hold(keyed(docs).withColumn("row", F.monotonically_increasing_id()))
     groups = common.hold(rows.groupBy("group").agg(F.sum("size").alias("size")))
     n, largest = groups.agg(F.count("*"), F.coalesce(F.max("size"), F.lit(0))).first()
     digits = 1
@@ -129,11 +129,11 @@ def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
         at = at + F.when(F.col("group") > F.lit(group), 1).otherwise(0)
     placed = rows.withColumn("shard", at.cast("int"))
     buckets = max(16, n // 50_000)
-    dealt = placed.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
+    dealt = placed.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "row"), F.lit(buckets)))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = dealt.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     counts = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    within = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("doc_id"))
+    within = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("doc_id", "row"))
     return dealt.join(counts, ["shard", "bucket"]).select(
         "doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), "shard",
         (F.col("base") + within - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
