@@ -71,9 +71,10 @@ def delta(cls: Column, context: Column, span: Column, tag: Column, role: Column,
 
 
 def unsubsumed(findings: DataFrame) -> DataFrame:
-    """Where an element's value is dropped, its other value findings go."""
-    dropped = findings.filter("field = 'value' and fate = 'drop'").select("scope", "id").distinct().withColumn("gone", F.lit(True))
-    return findings.join(dropped, ["scope", "id"], "left").filter("gone is null or field <> 'value' or fate = 'drop'").drop("gone")
+    """Where an element's value is dropped, its other value findings go; one pass over an element's findings."""
+    drop = F.coalesce((F.col("field") == "value") & (F.col("fate") == "drop"), F.lit(False))
+    gone = F.max(drop).over(Window.partitionBy("scope", "id"))
+    return findings.withColumn("gone_", gone).filter("not gone_ or field <> 'value' or fate = 'drop'").drop("gone_")
 
 
 def fuse(elements: DataFrame, detections: DataFrame) -> DataFrame:

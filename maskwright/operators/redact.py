@@ -55,53 +55,66 @@ def worth_asking(role: Column, kind: Column, label: Column, name: Column, placeh
     return (role != "password") & ~F.coalesce(kind, F.lit("")).isin(*blank) & named
 
 
+_FOUND = "array<struct<field:string,start:int,end:int,cls:string,fate:string,p:double>>"
+_MINTS = "array<struct<cls:string,value:string,f:int,s:int>>"
+
+
+def _likeliest(found: Column) -> Column:
+    """The class of the likeliest finding, the last in the alphabet of equals; null if there is none."""
+    return F.array_max(F.transform(found, lambda x: F.struct(x["p"].alias("p"), x["cls"].alias("cls"))))["cls"]
+
+
 def redact(elements: DataFrame, findings: DataFrame, profile: DataFrame | None = None, most: int = 240) -> tuple[DataFrame, DataFrame]:
-    """Safe elements (scope, ord, id, role, tag, name, text, holds, wants, sensitive, empty, fate counts) and the vault.
+    """Safe elements (scope, ord, id, role, tag, type, name, box and state, text, holds, wants, sensitive, empty, fate) and the vault.
 
     Value disposition, first that applies: any drop -> sensitive; a whole-value substitute -> its handle; spans -> the
-    substituted string; harmless controls echo; a blank field -> wants, or empty. profile: cls, ord, value."""
-    f = cut(findings.filter("anchored"))
-    base = elements.select("scope", "ord", "id", "value", "text")
-    raw = F.when(F.col("field") == "value", F.col("value")).otherwise(F.col("text"))
-    met = f.filter("fate = 'substitute' and field in ('value', 'text')").drop("ord").join(base, ["scope", "id"]).withColumn("raw", raw).filter("raw is not null and raw <> ''")
-    whole = met.filter("field = 'value' and start is null").groupBy("scope", "ord", "id").agg(F.max_by("cls", "p").alias("cls"), F.first("raw").alias("value"))
-    spans = met.filter("start is not null").join(whole.select("scope", "id", F.lit("value").alias("field"), F.lit(True).alias("whole")), ["scope", "id", "field"], "left").filter("whole is null")
-    spans = spans.select("scope", "ord", "id", "field", "start", "end", "cls", F.substring("raw", F.col("start") + 1, F.col("end") - F.col("start")).alias("value"))
-    phase = F.when(F.col("field") == "value", 0).otherwise(1)
-    minted = whole.select("scope", "cls", "value", F.struct(F.col("ord").alias("o"), F.lit(0).alias("f"), F.lit(0).alias("s")).alias("place"))
-    minted = minted.unionByName(spans.select("scope", "cls", "value", F.struct(F.col("ord").alias("o"), phase.alias("f"), (-F.col("start")).alias("s")).alias("place")))
-    blank = None
-    if profile is not None:
-        slots = profile.filter("value <> ''").groupBy("cls").agg(F.min_by("value", "ord").alias("value"))
-        first = f.filter("field = 'value'").groupBy("scope", "id").agg(F.max_by("cls", "p").alias("cls"))
-        blank = elements.filter("coalesce(value, '') = ''").join(first, ["scope", "id"]).join(F.broadcast(slots), "cls").select("scope", "id", "cls", slots["value"], "ord")
-        minted = minted.unionByName(blank.select("scope", "cls", "value", F.struct(F.col("ord").alias("o"), F.lit(0).alias("f"), F.lit(0).alias("s")).alias("place")))
-    vault = cut(mint(minted).select("scope", "cls", "value", "handle").distinct())
-    named = spans.join(vault, ["scope", "cls", "value"]).select("scope", "id", "field", F.struct("start", "end", F.col("handle").alias("rep")).alias("s"))
-    gone = f.filter("fate = 'drop' and field = 'text' and start is not null").select("scope", "id", "field", F.struct("start", "end", F.lit(REMOVED).alias("rep")).alias("s"))
-    lists = named.unionByName(gone).groupBy("scope", "id").pivot("field", ["value", "text"]).agg(F.collect_list("s"))
-    lists = lists.select("scope", "id", F.col("value").alias("value_spans"), F.col("text").alias("text_spans"))
-    handles = whole.join(vault, ["scope", "cls", "value"]).select("scope", "id", F.col("handle").alias("whole_handle"))
-    dropped = f.filter("fate = 'drop' and field = 'value'").select("scope", "id").distinct().withColumn("sensitive", F.lit(True))
-    out = elements.join(lists, ["scope", "id"], "left").join(handles, ["scope", "id"], "left").join(dropped, ["scope", "id"], "left")
-    if blank is not None:
-        out = out.join(blank.join(vault, ["scope", "cls", "value"]).select("scope", "id", F.col("handle").alias("wants")), ["scope", "id"], "left")
-    else:
-        out = out.withColumn("wants", F.lit(None).cast("string"))
-    full, sensitive = F.coalesce(F.col("value"), F.lit("")) != "", F.coalesce("sensitive", F.lit(False))
-    some = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
-    echo = safe_to_echo(F.col("role"), F.col("tag"), F.col("type"))
+    substituted string; harmless controls echo; a blank field -> wants, or empty. profile: cls, ord, value.
+    An element's findings meet it once, as an array; values to be named go through `mint` and come back to their element once."""
+    lists = findings.filter("anchored").groupBy("scope", "id").agg(F.collect_list(F.struct("field", "start", "end", "cls", "fate", "p")).alias("found"))
+    e = elements.join(lists, ["scope", "id"], "left").withColumn("found", F.coalesce("found", F.array().cast(_FOUND)))
+    of = lambda field, fate, spans: F.filter("found", lambda x: (x["field"] == field) & (x["fate"] == fate) & (x["start"].isNotNull() if spans else x["start"].isNull()))
+    full, worded = F.coalesce(F.col("value"), F.lit("")) != "", F.coalesce(F.col("text"), F.lit("")) != ""
+    sensitive = F.exists("found", lambda x: (x["field"] == "value") & (x["fate"] == "drop"))
+    none = F.array().cast(_FOUND)
+    e = e.withColumns({"sensitive": sensitive, "full": full, "whole": F.when(full, _likeliest(of("value", "substitute", False)))})
+    e = e.withColumns({
+        "value_spans": F.when(F.col("full") & F.col("whole").isNull(), of("value", "substitute", True)).otherwise(none), "text_spans": F.when(worded, of("text", "substitute", True)).otherwise(none),
+        "removed": F.when(worded, of("text", "drop", True)).otherwise(none), "wanted": F.when(~F.col("full") & ~F.col("sensitive"), _likeliest(F.filter("found", lambda x: x["field"] == "value"))),
+    })
+    if profile is None:
+        e = e.withColumn("slot", F.lit(None).cast("string"))
+    else:  # a profile has one row for each of its few slots
+        slots = profile.filter("value <> ''").groupBy(F.col("cls").alias("wanted")).agg(F.min_by("value", "ord").alias("slot"))
+        e = e.join(F.broadcast(slots), "wanted", "left")
+    one = lambda cls, value, f, s: F.struct(cls.alias("cls"), value.alias("value"), F.lit(f).alias("f"), s.alias("s"))
+    part = lambda raw, f: lambda x: one(x["cls"], F.substring(F.col(raw), x["start"] + 1, x["end"] - x["start"]), f, -x["start"])
+    single = lambda on, item: F.when(on, F.array(item)).otherwise(F.array().cast(_MINTS))
+    mints = F.concat(
+        single(F.col("whole").isNotNull(), one(F.col("whole"), F.col("value"), 0, F.lit(0))), F.transform("value_spans", part("value", 0)), F.transform("text_spans", part("text", 1)),
+        single(F.col("slot").isNotNull(), one(F.col("wanted"), F.col("slot"), 0, F.lit(0))),
+    )
+    e = cut(e.withColumn("mints", mints).drop("found"))
+    named = e.select("scope", "id", "ord", F.inline("mints")).select("scope", "id", "cls", "value", F.struct(F.col("ord").alias("o"), F.col("f").alias("f"), F.col("s").alias("s")).alias("place"))
+    named = cut(mint(named))
+    handles = named.groupBy("scope", "id").agg(F.collect_set(F.struct("cls", "value", "handle")).alias("handles"))
+    out = e.join(handles, ["scope", "id"], "left")
+    handle = lambda cls, value: F.get(F.filter("handles", lambda h: (h["cls"] == cls) & (h["value"] == value)), 0)["handle"]
+    spans = lambda raw, found: F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), handle(x["cls"], F.substring(F.col(raw), x["start"] + 1, x["end"] - x["start"])).alias("rep")))
+    gone = F.transform("removed", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(REMOVED).alias("rep")))
+    out = out.withColumns({"value_reps": spans("value", "value_spans"), "text_reps": F.concat(spans("text", "text_spans"), gone)})
+    some = lambda c: F.size(c) > 0
+    wants = F.when(F.col("slot").isNotNull(), handle(F.col("wanted"), F.col("slot")))
     holds = (
-        F.when(sensitive | ~full, F.lit(None)).when(F.col("whole_handle").isNotNull(), F.col("whole_handle"))
-        .when(some("value_spans"), apply_spans(F.col("value"), F.col("value_spans"), most)).when(echo, F.left("value", F.lit(120)))
+        F.when(F.col("sensitive") | ~F.col("full"), F.lit(None)).when(F.col("whole").isNotNull(), handle(F.col("whole"), F.col("value")))
+        .when(some("value_reps"), apply_spans(F.col("value"), F.col("value_reps"), most)).when(safe_to_echo(F.col("role"), F.col("tag"), F.col("type")), F.left("value", F.lit(120)))
     )
-    text = F.when(some("text_spans"), apply_spans(F.col("text"), F.col("text_spans"), most)).otherwise(F.left("text", F.lit(most)))
-    empty = ~full & ~sensitive & F.col("wants").isNull() & F.col("tag").isin("input", "textarea", "select") & worth_asking(F.col("role"), F.col("type"), F.col("label"), F.col("name"), F.col("placeholder"))
+    text = F.when(some("text_reps"), apply_spans(F.col("text"), F.col("text_reps"), most)).otherwise(F.left("text", F.lit(most)))
+    empty = ~F.col("full") & ~F.col("sensitive") & F.col("slot").isNull() & F.col("tag").isin("input", "textarea", "select") & worth_asking(F.col("role"), F.col("type"), F.col("label"), F.col("name"), F.col("placeholder"))
     safe = out.select(
-        "scope", "ord", "id", "role", "tag", "name", text.alias("text"), holds.alias("holds"), F.when(~full & ~sensitive, F.col("wants")).alias("wants"), sensitive.alias("sensitive"), empty.alias("empty"),
-        F.when(sensitive, "drop").when(full & (F.col("whole_handle").isNotNull() | some("value_spans")) | some("text_spans"), "substitute").otherwise("keep").alias("fate"),
+        "scope", "ord", "id", "role", "tag", "type", "name", *"xywh", "visible", "offscreen", "enabled", "parent", text.alias("text"), holds.alias("holds"), wants.alias("wants"), "sensitive", empty.alias("empty"),
+        F.when(F.col("sensitive"), "drop").when(F.col("full") & (F.col("whole").isNotNull() | some("value_reps")) | some("text_reps"), "substitute").otherwise("keep").alias("fate"),
     )
-    return safe, vault
+    return safe, named.select("scope", "cls", "value", "handle").distinct()
 
 
 def regions(elements: DataFrame, findings: DataFrame) -> DataFrame:
@@ -127,6 +140,48 @@ def serialise(safe: DataFrame) -> DataFrame:
     return lists.select("scope", F.to_json(F.struct(F.lit("sanitized/1").alias("schema"), F.transform("elements", lambda x: x.dropFields("ord")).alias("elements"))).alias("payload"))
 
 
+#: An element's confidence and source where it was read from a page.
+CONFIDENCE, SOURCE = 0.98, "dom"
+
+
+def contexts(
+    safe: DataFrame, pages: DataFrame, mode: str = "balanced", groups: DataFrame | None = None, regions: DataFrame | None = None, history: DataFrame | None = None, vault: DataFrame | None = None
+) -> DataFrame:
+    """scope, payload: the whole context that may leave, as JSON with a fixed key order; what is null is left out.
+
+    pages: scope, task, url_class, title, width, height, scroll_y, doc_height. groups: scope, id, kind, name, children, x, y, w, h. regions: scope, x, y, w, h,
+    cls. history: scope, step, action, target, result, note, of which the last six steps go. vault: known values are replaced in the task."""
+    flag = lambda c: F.when(F.col(c), F.lit(True))
+    box = lambda r: F.when(r("x").isNotNull(), F.struct(*[r(c).alias(c) for c in "xywh"]))
+    here = lambda c: F.col(c)
+    e = F.struct(
+        "ord", "id", "role", "tag", "type", "name", F.when(F.col("x").isNotNull(), F.array(*"xywh")).alias("bbox"), "visible", flag("offscreen").alias("offscreen"), "enabled", "parent",
+        F.lit(CONFIDENCE).alias("conf"), F.lit(SOURCE).alias("src"), "holds", "wants", flag("sensitive").alias("sensitive"), flag("empty").alias("empty"), "text",
+    )
+    out = safe.groupBy("scope").agg(F.array_sort(F.collect_list(e)).alias("elements"))
+    tasks = pages.select("scope", F.left("task", F.lit(500)).alias("task")) if vault is None else scrub_task(pages.select("scope", "task"), vault)
+    viewport = F.struct(F.col("width").alias("w"), F.col("height").alias("h"), F.col("scroll_y").alias("scrollY"), F.col("doc_height").alias("docH"))
+    out = out.join(pages.select("scope", "url_class", "title", viewport.alias("viewport")), "scope", "left").join(tasks, "scope", "left")
+    lists = {
+        "groups": None if groups is None else groups.groupBy("scope").agg(F.array_sort(F.collect_list(F.struct(F.length("id").alias("n"), "id", "kind", "name", "children", box(here).alias("bbox")))).alias("groups")),
+        "regions": None if regions is None else regions.groupBy("scope").agg(F.array_sort(F.collect_list(F.struct(F.array(*"xywh").alias("bbox"), "cls", F.lit("masked").alias("state")))).alias("regions")),
+        "history": None if history is None else history.groupBy("scope").agg(F.slice(F.array_sort(F.collect_list(F.struct("step", "action", "target", "result", "note"))), -F.least(F.count("*"), F.lit(6)).cast("int"), 6).alias("history")),
+    }
+    inner = {"groups": "n", "history": "step"}  # what only orders a list
+    without = lambda field: lambda x: x.dropFields(field)
+    for name, some in lists.items():
+        out = out.join(some, "scope", "left") if some is not None else out.withColumn(name, F.lit(None).cast("array<struct<id:string>>"))
+        if name in inner and some is not None:
+            out = out.withColumn(name, F.transform(name, without(inner[name])))
+        empty = F.array().cast(out.schema[name].dataType)
+        out = out.withColumn(name, F.coalesce(name, empty))
+    whole = F.struct(
+        F.lit("sanitized/1").alias("schema"), "task", F.lit(mode).alias("mode"), F.col("url_class").alias("urlClass"), "title", "viewport",
+        F.transform("elements", lambda x: x.dropFields("ord")).alias("elements"), "groups", "regions", "history",
+    )
+    return out.select("scope", F.to_json(whole).alias("payload"))
+
+
 def preview(cls: Column, value: Column) -> Column:
     """A value for display; secrets never."""
     return F.when(cls.isin("password", "otp", "apikey"), F.lit(None)).otherwise(value)

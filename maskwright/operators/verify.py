@@ -150,7 +150,6 @@ def escalate(safe: DataFrame, vault: DataFrame, masks: DataFrame | None = None,
     """scope, payload, passed, retries: scopes that fail are hardened and verified again; what still fails is refused (payload null)."""
     done = None
     for k in range(retries + 1):
-        safe = cut(safe)
         payloads = cut(serialise(safe))
         verdict = cut(payloads.join(verify(payloads, vault, masks).select("scope", "passed"), "scope").withColumn("retries", F.lit(k)))
         last = k == retries
@@ -159,7 +158,7 @@ def escalate(safe: DataFrame, vault: DataFrame, masks: DataFrame | None = None,
         if not last and not verdict.filter("not passed").limit(1).count():
             break
         if not last:
-            safe = harden(safe.join(verdict.filter("not passed").select("scope"), "scope", "left_semi"))
+            safe = cut(harden(safe.join(verdict.filter("not passed").select("scope"), "scope", "left_semi")))
     return done.select("scope", F.when(F.col("passed"), F.col("payload")).alias("payload"), "passed", "retries")
 
 

@@ -247,26 +247,26 @@ def _(spark, d):
     return rows.select("k", agent.says(F.col("label"), agent.IRREVERSIBLE).alias("irreversible"))
 
 
-REPLIES = "SELECT n_nationkey AS k, CASE n_nationkey % 4 WHEN 0 THEN '{{\"type\":\"action\",\"action\":{{\"kind\":\"click\",\"target\":\"el_' || CAST(n_nationkey AS STRING) || '\"}}}}' WHEN 1 THEN '{{\"type\":\"plan\",\"steps\":[{{\"kind\":\"fill\"}},{{\"kind\":\"click\"}},{{\"kind\":\"wait\"}},{{\"kind\":\"done\"}}],\"confidence\":0.9}}' WHEN 2 THEN '{{\"type\":\"magic\"}}' ELSE '{{\"type\":\"data\",\"answer\":\"x\"}}' END AS reply FROM {nation}"
+REPLIES = "SELECT o_orderkey AS k, CASE o_orderkey % 4 WHEN 0 THEN '{{\"type\":\"action\",\"action\":{{\"kind\":\"click\",\"target\":\"el_' || CAST(o_orderkey AS STRING) || '\"}}}}' WHEN 1 THEN '{{\"type\":\"plan\",\"steps\":[{{\"kind\":\"fill\"}},{{\"kind\":\"click\"}},{{\"kind\":\"wait\"}},{{\"kind\":\"done\"}}],\"confidence\":0.9}}' WHEN 2 THEN '{{\"type\":\"magic\"}}' ELSE '{{\"type\":\"data\",\"answer\":\"x\"}}' END AS reply FROM {orders}"
 
 
-@query("f28_validated", "SELECT k, CASE k % 4 WHEN 0 THEN 'action' WHEN 1 THEN 'plan' WHEN 2 THEN 'error' ELSE 'data' END AS type, CASE k % 4 WHEN 0 THEN 'click' WHEN 1 THEN 'fill' END AS kind, CASE k % 4 WHEN 1 THEN 0.9 ELSE 0.5 END::DOUBLE AS confidence, CAST(CASE k % 4 WHEN 1 THEN 3 ELSE 0 END AS INT) AS n_steps, CASE k % 4 WHEN 0 THEN 'execute' WHEN 1 THEN 'execute' WHEN 2 THEN 'stop' ELSE 'answer' END AS next FROM (SELECT n_nationkey AS k FROM nation)")
+@query("f28_validated", "SELECT k, CASE k % 4 WHEN 0 THEN 'action' WHEN 1 THEN 'plan' WHEN 2 THEN 'error' ELSE 'data' END AS type, CASE k % 4 WHEN 0 THEN 'click' WHEN 1 THEN 'fill' END AS kind, CASE k % 4 WHEN 1 THEN 0.9 ELSE 0.5 END::DOUBLE AS confidence, CAST(CASE k % 4 WHEN 1 THEN 3 ELSE 0 END AS INT) AS n_steps, CASE k % 4 WHEN 0 THEN 'execute' WHEN 1 THEN 'execute' WHEN 2 THEN 'stop' ELSE 'answer' END AS next FROM (SELECT o_orderkey AS k FROM orders)")
 def _(spark, d):
     r = derived(spark, d, REPLIES).select("k", agent.validated(F.col("reply")).alias("r"))
     return r.select("k", "r.type", "r.kind", "r.confidence", "r.n_steps", agent.next_state(F.col("r.type")).alias("next"))
 
 
-@query("s12_reply_json", "SELECT n_nationkey AS k, '{\"type\":\"data\",\"answer\":\"a } b\"}' AS reply FROM nation")
+@query("s12_reply_json", "SELECT o_orderkey AS k, '{\"type\":\"data\",\"answer\":\"a } b\"}' AS reply FROM orders")
 def _(spark, d):
     body = '{"type":"data","answer":"a } b"}'
-    rows = derived(spark, d, "SELECT n_nationkey AS k FROM {nation}")
+    rows = derived(spark, d, "SELECT o_orderkey AS k FROM {orders}")
     text = F.when(F.col("k") % 2 == 0, f"Sure:\n```json\n{body}\n```").otherwise(f"I think {body} is best {{")
     return rows.select("k", agent.reply_json(text).alias("reply"))
 
 
-@query("l04_model_first", "SELECT n_nationkey AS scope, CASE n_nationkey % 3 WHEN 0 THEN '{\"type\":\"data\"}' WHEN 1 THEN '{\"type\":\"error\",\"message\":\"blocked by the output guard\"}' ELSE '{\"type\":\"rule\"}' END AS reply FROM nation")
+@query("l04_model_first", "SELECT o_orderkey AS scope, CASE o_orderkey % 3 WHEN 0 THEN '{\"type\":\"data\"}' WHEN 1 THEN '{\"type\":\"error\",\"message\":\"blocked by the output guard\"}' ELSE '{\"type\":\"rule\"}' END AS reply FROM orders")
 def _(spark, d):
-    rows = derived(spark, d, "SELECT n_nationkey AS scope FROM {nation}")
+    rows = derived(spark, d, "SELECT o_orderkey AS scope FROM {orders}")
     prompts = rows.select("scope", F.when(F.col("scope") % 3 == 0, '{"type":"data"}').when(F.col("scope") % 3 == 1, '{"type":"data","answer":"a@b.org"}').otherwise("no idea").alias("prompt"))
     return agent.planned(rows.withColumn("reply", F.lit('{"type":"rule"}')), prompts, _echo)
 
@@ -482,10 +482,10 @@ def _(spark, d):
     return vault.task_vaults(derived(spark, d, FOUND))
 
 
-BODIES = "SELECT n_nationkey AS id, CASE n_nationkey % 4 WHEN 0 THEN '{{\"schema\":\"sanitized/1\",\"task\":\"x\",\"elements\":[{{\"id\":\"a\"}},{{\"id\":\"b\"}}]}}' WHEN 1 THEN '{{\"schema\":\"other\"}}' WHEN 2 THEN 'oops' ELSE '{{\"task\":\"x\"}}' END AS body FROM {nation}"
+BODIES = "SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN '{{\"schema\":\"sanitized/1\",\"task\":\"x\",\"elements\":[{{\"id\":\"a\"}},{{\"id\":\"b\"}}]}}' WHEN 1 THEN '{{\"schema\":\"other\"}}' WHEN 2 THEN 'oops' ELSE '{{\"task\":\"x\"}}' END AS body FROM {orders}"
 
 
-@query("s11_requests", "SELECT id, CASE WHEN id % 4 = 0 THEN 'x' END AS task, CAST(CASE WHEN id % 4 = 0 THEN 2 END AS INT) AS n_elements, CASE id % 4 WHEN 1 THEN 'unknown schema' WHEN 2 THEN 'not a request' WHEN 3 THEN 'not a request' END AS error FROM (SELECT n_nationkey AS id FROM nation)")
+@query("s11_requests", "SELECT id, CASE WHEN id % 4 = 0 THEN 'x' END AS task, CAST(CASE WHEN id % 4 = 0 THEN 2 END AS INT) AS n_elements, CASE id % 4 WHEN 1 THEN 'unknown schema' WHEN 2 THEN 'not a request' WHEN 3 THEN 'not a request' END AS error FROM (SELECT o_orderkey AS id FROM orders)")
 def _(spark, d):
     return sources.requests(derived(spark, d, BODIES))
 

@@ -118,10 +118,10 @@ def _(spark, d):
     return fusion.grouped(rows).select("scope", "id", "cls", F.col("n_detections").alias("n"))
 
 
-@query("a07_verdict", "SELECT n_nationkey AS scope, n_nationkey % 2 = 0 AS passed FROM nation")
+@query("a07_verdict", "SELECT o_orderkey AS scope, o_orderkey % 2 = 0 AS passed FROM orders")
 def _(spark, d):
     leak = F.when(F.col("scope") % 2 == 0, "EMAIL_1").otherwise("a@b.org")
-    safe = derived(spark, d, "SELECT n_nationkey AS scope FROM {nation}").select("scope", F.lit(0).alias("ord"), F.lit("el_1").alias("id"), F.lit("textbox").alias("role"), F.lit("Mail").alias("name"), leak.alias("text"), *[F.lit(None).cast("string").alias(c) for c in ("holds", "wants")], F.lit(False).alias("sensitive"), F.lit(False).alias("empty"))
+    safe = derived(spark, d, "SELECT o_orderkey AS scope FROM {orders}").select("scope", F.lit(0).alias("ord"), F.lit("el_1").alias("id"), F.lit("textbox").alias("role"), F.lit("Mail").alias("name"), leak.alias("text"), *[F.lit(None).cast("string").alias(c) for c in ("holds", "wants")], F.lit(False).alias("sensitive"), F.lit(False).alias("empty"))
     vault = safe.select("scope", F.lit("EMAIL_1").alias("handle"), F.lit("c@d.org").alias("value"))
     return verify.verify(redact.serialise(safe), vault).select("scope", "passed")
 
@@ -146,9 +146,9 @@ def _(spark, d):
     return lookup.first_pass(derived(spark, d, PASSES))
 
 
-@query("u03_distinct_unknown_keys", "SELECT n_nationkey AS k, CASE n_nationkey % 2 WHEN 0 THEN 'secret,token' ELSE '' END AS bad FROM nation")
+@query("u03_distinct_unknown_keys", "SELECT o_orderkey AS k, CASE o_orderkey % 2 WHEN 0 THEN 'secret,token' ELSE '' END AS bad FROM orders")
 def _(spark, d):
-    rows = derived(spark, d, "SELECT n_nationkey AS k FROM {nation}")
+    rows = derived(spark, d, "SELECT o_orderkey AS k FROM {orders}")
     body = F.when(F.col("k") % 2 == 0, '{"schema":"sanitized/1","token":1,"elements":[{"id":"a","secret":1},{"id":"b","secret":2,"token":3}]}').otherwise('{"schema":"sanitized/1","elements":[]}')
     return rows.select("k", F.array_join(F.array_sort(F.array_distinct(verify.unknown_keys(body))), ",").alias("bad"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import norm
 from ..operators import fusion, labels, metrics, patterns, redact, verify
 from ..sources import profile as profiles
+from ..schema import CLASSES, fate, prefix
 from ..session import cut
 from ..sources import tables as sources
 from .base import BOXES, FORMS, ORACLE_SQL, derived, plain, query, six
@@ -193,11 +194,14 @@ def _(spark, d):
     return derived(spark, d, TIES).select("k", six(fusion.delta(*[F.col(c) for c in ("cls", "context", "span", "tag", "role", "repeats", "sources")])).alias("delta"))
 
 
-@query("d18_fates", "SELECT cls, fate, prefix FROM (VALUES ('password','drop','SECRET'),('otp','drop','OTP'),('apikey','drop','SECRET'),('email','substitute','EMAIL'),('phone','substitute','PHONE'),('person','substitute','PERSON'),('address','substitute','ADDR'),('card','substitute','CARD'),('aadhaar','substitute','AADHAAR'),('pan','substitute','PAN'),('ifsc','substitute','IFSC'),('upi','substitute','UPI'),('dob','substitute','DOB'),('face','mask','FACE'),('id_document','mask','IDDOC'),('document','mask','DOC'),('screenshot','mask','SCREEN'),('signature','mask','SIGN')) t(cls, fate, prefix)")
-def _(spark, d):
-    from ..schema import class_table
+_CLASSES = "(VALUES ('password','drop','SECRET'),('otp','drop','OTP'),('apikey','drop','SECRET'),('email','substitute','EMAIL'),('phone','substitute','PHONE'),('person','substitute','PERSON'),('address','substitute','ADDR'),('card','substitute','CARD'),('aadhaar','substitute','AADHAAR'),('pan','substitute','PAN'),('ifsc','substitute','IFSC'),('upi','substitute','UPI'),('dob','substitute','DOB'),('face','mask','FACE'),('id_document','mask','IDDOC'),('document','mask','DOC'),('screenshot','mask','SCREEN'),('signature','mask','SIGN')) t(cls, fate, prefix)"
+#: A class for each order, all of them in turn, and one that is not known.
+CLASSED = "SELECT o_orderkey AS k, CASE o_orderkey % 19 " + " ".join(f"WHEN {i} THEN '{c}'" for i, (c, _, _) in enumerate(CLASSES)) + " ELSE 'licence' END AS cls FROM {orders}"
+
 
-    return class_table(spark)
+@query("d18_fates", f"SELECT k, c.cls AS cls, coalesce(fate, 'substitute') AS fate, coalesce(prefix, 'PII') AS prefix FROM {plain(CLASSED)} c LEFT JOIN {_CLASSES} ON c.cls = t.cls")
+def _(spark, d):
+    return derived(spark, d, CLASSED).select("k", "cls", fate(F.col("cls")).alias("fate"), prefix(F.col("cls")).alias("prefix"))
 
 
 MINTED = "SELECT conv_id AS scope, CAST(turn AS INT) AS ord, CASE WHEN turn % 2 = 0 THEN 'email' ELSE 'phone' END AS cls, CASE WHEN turn % 2 = 0 THEN 'u' || CAST(turn % 3 AS STRING) || '@example.com' ELSE CAST(9000000000 + turn % 4 AS STRING) END AS value FROM {conversations}"
@@ -281,17 +285,81 @@ def _(spark, d):
     return safe.groupBy("scope").agg(F.count("*").alias("n"), F.count_if("sensitive").alias("sensitive"), F.count_if(F.col("wants").isNotNull()).alias("wants"))
 
 
+#: What each element of a form becomes.
+_SAFE = f"""SELECT scope, ord, id, role, tag, type, name, x, y, w, h, visible, offscreen, enabled, CASE WHEN starts_with(text, 'Phone') THEN 'Phone: PHONE_2 or mail EMAIL_2' ELSE text END AS text,
+  CASE name WHEN 'Full name' THEN 'PERSON_1' WHEN 'Email address' THEN 'EMAIL_1' WHEN 'Mobile number' THEN 'PHONE_1' WHEN 'Card number' THEN 'CARD_1' WHEN 'Aadhaar number' THEN 'AADHAAR_1' WHEN 'Street address' THEN CASE WHEN value IS NOT NULL THEN 'ADDR_1' END END AS holds,
+  CASE WHEN tag = 'textarea' AND value IS NULL THEN 'ADDR_1' END AS wants, role = 'password' AS sensitive, false AS empty,
+  CASE WHEN role = 'password' THEN 'drop' WHEN starts_with(text, 'Phone') OR tag = 'input' OR tag = 'textarea' AND value IS NOT NULL THEN 'substitute' ELSE 'keep' END AS fate FROM {_FORM}"""
+_SAFE_COLUMNS = ("scope", "ord", "id", "role", "tag", "name", "text", "holds", "wants", "sensitive", "empty", "fate")
+
+
+@query("r02_safe_values", f"SELECT {', '.join(_SAFE_COLUMNS)} FROM ({_SAFE})")
+def _(spark, d):
+    return _redacted(spark, d)[2].select(*_SAFE_COLUMNS)
+
+
+def _json(*fields: str) -> str:
+    """DuckDB: a JSON object of (name, expression) pairs as `name=expression`; strings are quoted with `'`, null ones left out."""
+    parts = []
+    for f in fields:
+        name, _, e = f.partition("=")
+        parts.append(f"""coalesce('"{name}":"' || ({e[1:]}) || '",', '')""" if e[0] == "'" else f"""coalesce('"{name}":' || CAST(({e}) AS VARCHAR) || ',', '')""")
+    return "'{' || rtrim(" + " || ".join(parts) + ", ',') || '}'"
+
+
+_PAYLOADS = f"""SELECT scope, '{{"schema":"sanitized/1","elements":[' || string_agg({_json("id='id", "role='role", "name='name", "text='text", "holds='holds", "wants='wants", "sensitive=sensitive", "empty=empty")}, ',' ORDER BY ord) || ']}}' AS payload FROM ({_SAFE}) GROUP BY scope"""
+_HASH = "lpad(lower(to_hex(list_reduce(list_prepend(CAST(2166136261 AS BIGINT), [CAST(ascii(c) AS BIGINT) FOR c IN string_split(payload, '') IF c <> '']), lambda a, b: (xor(a, b) * 16777619) & 4294967295))), 8, '0')"
+
+
 @query("r06_regions", f"SELECT scope, x, y, w, h, 'id_document' AS cls, false AS unanchored FROM {_FORM} WHERE tag = 'img'")
 def _(spark, d):
     e, found, _, _ = _redacted(spark, d)
     return redact.regions(e, found)
 
 
-@query("r08_payloads")
+@query("r08_payloads", _PAYLOADS)
 def _(spark, d):
     return redact.serialise(_redacted(spark, d)[2])
 
 
+#: The last steps of a form's run.
+PAST = "SELECT user_id AS scope, event_id AS step, CASE WHEN event_id % 5 = 0 THEN 'ask_user' ELSE 'click' END AS action, 'el_' || CAST(event_id % 4 AS STRING) AS target, CASE WHEN event_id % 7 = 0 THEN 'failed' ELSE 'ok' END AS result, CASE WHEN event_id % 3 = 0 THEN event_type END AS note FROM {events}"
+#: A page for each form, with a task that names its email address.
+TASKED = "SELECT scope, 'mail to ' || coalesce(max(CASE WHEN name = 'Email address' THEN value END), 'nobody') AS task, 'shop.example.com/form/:id' AS url_class, 'Form ' || CAST(scope AS STRING) AS title, 1280 AS width, 720 AS height, 0 AS scroll_y, 2000 AS doc_height FROM (" + FORMS + ") GROUP BY scope"
+
+
+@query(
+    "r08_contexts",
+    f"""WITH e AS (SELECT scope, string_agg({_json("id='id", "role='role", "tag='tag", "type='type", "name='name", "bbox=concat('[', x, ',', y, ',', w, ',', h, ']')", "visible=visible", "offscreen=CASE WHEN offscreen THEN true END", "enabled=enabled", "conf=0.98", "src=''dom'", "holds='holds", "wants='wants", "sensitive=CASE WHEN sensitive THEN true END", "text='text")}, ',' ORDER BY ord) AS elements,
+      string_agg('"' || id || '"', ',' ORDER BY ord) AS children, '{{"x":' || min(x) || ',"y":' || min(y) || ',"w":' || (max(x + w) - min(x)) || ',"h":' || (max(y + h) - min(y)) || '}}' AS box,
+      coalesce(string_agg('{{"bbox":[' || x || ',' || y || ',' || w || ',' || h || '],"cls":"id_document","state":"masked"}}', ',') FILTER (tag = 'img'), '') AS regions, bool_or(name = 'Email address') AS mailed FROM ({_SAFE}) GROUP BY scope),
+    h AS (SELECT scope, string_agg({_json("action='action", "target='target", "result='result", "note='note")}, ',' ORDER BY step) AS history FROM (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY step DESC) AS r FROM {plain(PAST)}) WHERE r <= 6 GROUP BY scope)
+    SELECT scope, '{{"schema":"sanitized/1","task":"mail to ' || CASE WHEN mailed THEN 'EMAIL_1' ELSE 'nobody' END || '","mode":"balanced","urlClass":"shop.example.com/form/:id","title":"Form ' || scope || '","viewport":{{"w":1280,"h":720,"scrollY":0,"docH":2000}},"elements":[' || elements || '],"groups":[{{"id":"g_1","kind":"form","name":"Form ' || scope || '","children":[' || children || '],"bbox":' || box || '}}],"regions":[' || regions || '],"history":[' || coalesce(history, '') || ']}}' AS payload
+    FROM e LEFT JOIN h USING (scope)""",
+)
+def _(spark, d):
+    """The whole context of each form: task without known values, viewport, elements, its group, masked regions and last steps."""
+    e, found, safe, vault = _redacted(spark, d)
+    edge = lambda c, n: F.max(F.col(c) + F.col(n)) - F.min(c)
+    group = e.groupBy("scope").agg(F.array_sort(F.collect_list(F.struct("ord", "id"))).alias("c"), F.min("x").alias("x"), F.min("y").alias("y"), edge("x", "w").alias("w"), edge("y", "h").alias("h"))
+    group = group.select("scope", F.lit("g_1").alias("id"), F.lit("form").alias("kind"), F.concat(F.lit("Form "), F.col("scope").cast("string")).alias("name"), F.transform("c", lambda x: x["id"]).alias("children"), *"xywh")
+    return redact.contexts(safe, derived(spark, d, TASKED), groups=group, regions=redact.regions(e, found), history=derived(spark, d, PAST), vault=vault)
+
+
+#: Contexts that pass at once, pass once hardened, and never do: a value in a field can be dropped, one in a text stays.
+ESCALATED = "SELECT c_custkey AS scope, 0 AS ord, 'el_1' AS id, 'textbox' AS role, 'Mail' AS name, CASE WHEN c_custkey % 3 = 2 THEN 'write to u' || CAST(c_custkey AS STRING) || '@example.com' ELSE 'hello' END AS text, CASE WHEN c_custkey % 3 = 1 THEN 'v' || CAST(c_custkey AS STRING) || '@example.com' ELSE 'EMAIL_1' END AS holds, CAST(NULL AS STRING) AS wants, false AS sensitive, false AS empty FROM {customer}"
+
+
+@query(
+    "v06_escalations",
+    f"""SELECT scope, scope % 3 <> 2 AS passed, CAST(scope % 3 AS INT) AS retries, CASE scope % 3 WHEN 0 THEN '{{"schema":"sanitized/1","elements":[{{"id":"el_1","role":"textbox","name":"Mail","text":"hello","holds":"EMAIL_1","sensitive":false,"empty":false}}]}}' WHEN 1 THEN '{{"schema":"sanitized/1","elements":[{{"id":"el_1","role":"textbox","name":"Mail","text":"hello","sensitive":true,"empty":false}}]}}' END AS payload FROM {plain(ESCALATED)}""",
+)
+def _(spark, d):
+    safe = derived(spark, d, ESCALATED)
+    vault = safe.select("scope", F.lit("EMAIL_1").alias("handle"), F.concat(F.lit("value "), F.col("scope").cast("string")).alias("value"))
+    return verify.escalate(safe, vault).select("scope", "passed", "retries", "payload")
+
+
 @query("a05_fate_counts", f"SELECT scope, sum(CASE WHEN role = 'password' THEN 1 ELSE 0 END)::BIGINT AS dropped, sum(CASE WHEN tag = 'img' THEN 1 ELSE 0 END)::BIGINT AS masked FROM {_FORM} GROUP BY scope")
 def _(spark, d):
     return metrics.fate_counts(_redacted(spark, d)[1]).select("scope", "dropped", "masked")
@@ -303,7 +371,11 @@ def _(spark, d):
     return verify.escalate(safe, vault).select("scope", "passed", "retries")
 
 
-@query("v07_receipts")
+@query(
+    "v07_receipts",
+    f"""SELECT scope, dropped, substituted, kept, masked, CAST(strlen(payload) AS INT) AS payload_bytes, {_HASH} AS payload_hash, true AS passed FROM ({_PAYLOADS}) JOIN
+    (SELECT scope, count(*) FILTER (fate = 'drop') AS dropped, count(*) FILTER (fate = 'substitute') AS substituted, count(*) FILTER (fate = 'keep') AS kept, count(*) FILTER (tag = 'img') AS masked FROM ({_SAFE}) GROUP BY scope) USING (scope)""",
+)
 def _(spark, d):
     _, found, safe, vault = _redacted(spark, d)
     return verify.receipts(safe, found, verify.escalate(safe, vault))
@@ -332,19 +404,19 @@ def _(spark, d):
     return verify.secret_like(derived(spark, d, QUOTED))
 
 
-@query("v05_unknown_keys", "SELECT k, CASE WHEN k % 3 = 0 THEN 'secret' WHEN k % 3 = 1 THEN '' ELSE '(not JSON)' END AS bad FROM (SELECT n_nationkey AS k FROM nation)")
+@query("v05_unknown_keys", "SELECT k, CASE WHEN k % 3 = 0 THEN 'secret' WHEN k % 3 = 1 THEN '' ELSE '(not JSON)' END AS bad FROM (SELECT o_orderkey AS k FROM orders)")
 def _(spark, d):
-    rows = derived(spark, d, "SELECT n_nationkey AS k FROM {nation}")
+    rows = derived(spark, d, "SELECT o_orderkey AS k FROM {orders}")
     payload = F.when(F.col("k") % 3 == 0, '{"elements":[{"id":"a","secret":1}]}').when(F.col("k") % 3 == 1, '{"task":"x"}').otherwise("{")
     return rows.select("k", F.array_join(verify.unknown_keys(payload), ",").alias("bad"))
 
 
-@query("r07_scrub_task", "SELECT n_nationkey AS scope, 'send EMAIL_1 to ' || n_name AS task FROM nation")
+@query("r07_scrub_task", "SELECT c_custkey AS scope, 'send EMAIL_1 to ' || c_name AS task FROM customer")
 def _(spark, d):
-    rows = derived(spark, d, "SELECT n_nationkey AS scope, n_name FROM {nation}")
-    mail = F.concat(F.lower(F.regexp_replace("n_name", " ", "")), F.lit("@x.org"))
+    rows = derived(spark, d, "SELECT c_custkey AS scope, c_name FROM {customer}")
+    mail = F.concat(F.lower(F.replace("c_name", F.lit("#"), F.lit("."))), F.lit("@x.org"))
     vault = rows.select("scope", F.lit("EMAIL_1").alias("handle"), mail.alias("value"))
-    return redact.scrub_task(rows.select("scope", F.concat(F.lit("send "), mail, F.lit(" to "), "n_name").alias("task")), vault)
+    return redact.scrub_task(rows.select("scope", F.concat(F.lit("send "), mail, F.lit(" to "), "c_name").alias("task")), vault)
 
 
 @query("p10_preview", f"SELECT id, CASE WHEN c IN ('password') THEN NULL ELSE value END AS shown FROM (SELECT id, value, CASE WHEN role = 'password' THEN 'password' ELSE 'email' END AS c FROM {_FORM})")
@@ -352,15 +424,23 @@ def _(spark, d):
     return derived(spark, d, FORMS).select("id", redact.preview(F.when(F.col("role") == "password", "password").otherwise("email"), F.col("value")).alias("shown"))
 
 
-@query("j07_profile_slot", "SELECT c AS cls, CASE c WHEN 'person' THEN 'fullName' WHEN 'email' THEN 'email' END AS key FROM (SELECT unnest(['person', 'email', 'pan']) AS c)")
+#: A profile for each customer: eight slots, some of them blank.
+PROFILES = """
+SELECT c_custkey AS scope, ord, key, cls, CASE WHEN c_custkey % (ord + 2) = 1 THEN '' WHEN key = 'fullName' THEN c_name WHEN key = 'email' THEN lower(c_name) || '@example.com' ELSE key || ' of ' || CAST(c_custkey AS STRING) END AS value FROM {customer}
+CROSS JOIN (SELECT 0 AS ord, 'fullName' AS key, 'person' AS cls UNION ALL SELECT 1, 'email', 'email' UNION ALL SELECT 2, 'phone', 'phone' UNION ALL SELECT 3, 'dob', 'dob' UNION ALL SELECT 4, 'address', 'address' UNION ALL SELECT 5, 'pan', 'pan' UNION ALL SELECT 6, 'aadhaar', 'aadhaar' UNION ALL SELECT 7, 'upi', 'email') slots
+"""
+
+
+@query("j07_profile_slot", f"SELECT o_orderkey AS k, cls, p.key AS key, p.value AS value FROM (SELECT o_orderkey, o_custkey, CASE o_orderkey % 3 WHEN 0 THEN 'email' WHEN 1 THEN 'person' ELSE 'card' END AS cls FROM orders) o LEFT JOIN (SELECT scope, cls, arg_min(key, ord) AS key, arg_min(value, ord) AS value FROM {plain(PROFILES)} WHERE value <> '' GROUP BY scope, cls) p USING (cls) WHERE p.scope = o_custkey OR p.scope IS NULL UNION ALL SELECT o_orderkey, cls, NULL, NULL FROM (SELECT o_orderkey, o_custkey, CASE o_orderkey % 3 WHEN 0 THEN 'email' WHEN 1 THEN 'person' END AS cls FROM orders) o WHERE cls IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {plain(PROFILES)} p WHERE p.scope = o_custkey AND p.cls = o.cls AND value <> '')")
 def _(spark, d):
-    classes = spark.createDataFrame([("person",), ("email",), ("pan",)], "cls string")
-    return profiles.slot_of(classes, profiles.profile(spark, {"fullName": "A B", "email": "a@b.org"})).select("cls", "key")
+    """The class of each order with its customer's first filled slot of that class."""
+    classes = derived(spark, d, "SELECT o_orderkey AS k, o_custkey AS scope, CASE o_orderkey % 3 WHEN 0 THEN 'email' WHEN 1 THEN 'person' ELSE 'card' END AS cls FROM {orders}")
+    return profiles.slot_of(classes, derived(spark, d, PROFILES)).select("k", "cls", "key", "value")
 
 
-@query("a20_filled_slots", "SELECT CAST(2 AS BIGINT) AS filled, CAST(8 AS BIGINT) AS slots")
+@query("a20_filled_slots", f"SELECT scope, count(*) FILTER (value <> '') AS filled, count(*) AS slots FROM {plain(PROFILES)} GROUP BY scope")
 def _(spark, d):
-    return profiles.profile(spark, {"fullName": "A B", "email": "a@b.org"}).agg(F.count_if(F.col("value") != "").alias("filled"), F.count("*").alias("slots"))
+    return profiles.filled(derived(spark, d, PROFILES))
 
 
 @query("f23_seal_round_trip", "SELECT c_custkey AS k, c_name AS opened, CAST(NULL AS VARCHAR) AS wrong FROM customer")

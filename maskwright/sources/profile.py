@@ -47,5 +47,12 @@ def read(spark: SparkSession, path: str, key: bytes) -> DataFrame:
 
 
 def slot_of(classes: DataFrame, slots: DataFrame) -> DataFrame:
-    """Each class with the first filled slot of it, by slot order."""
-    return classes.join(F.broadcast(slots.filter("value <> ''").groupBy("cls").agg(F.min_by("key", "ord").alias("key"), F.min_by("value", "ord").alias("value"))), "cls", "left")
+    """Each class (cls, or scope and cls where profiles have a scope) with the first filled slot of it, by slot order."""
+    keys = ["scope", "cls"] if "scope" in slots.columns else ["cls"]
+    first = slots.filter("value <> ''").groupBy(*keys).agg(F.min_by("key", "ord").alias("key"), F.min_by("value", "ord").alias("value"))
+    return classes.join(F.broadcast(first) if keys == ["cls"] else first, keys, "left")
+
+
+def filled(slots: DataFrame) -> DataFrame:
+    """scope, filled, slots: how many of each profile's slots have a value."""
+    return slots.groupBy("scope").agg(F.count_if(F.coalesce("value", F.lit("")) != "").alias("filled"), F.count("*").alias("slots"))
