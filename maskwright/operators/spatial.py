@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import box, containment, intersection, iou, overlaps
 from ..schema import opaque, visibility
+from ..session import cut
 
 CELL = 32
 TILE = 256
@@ -140,6 +141,41 @@ def _fold(boxes: DataFrame, keys: list[str], order: list[Column], clashes, cap:
     return chosen.select(*[F.col(c) if c in keys else F.col(f"r.{c}").alias(c) for c in boxes.columns])
 
 
+#: Boxes of a group that are folded as one array at most; larger groups go by rounds over pairs that meet in a tile.
+FOLD_MOST = 1_000
+
+
+def _rounds(boxes: DataFrame, keys: list[str], order: list[Column], clashes) -> DataFrame:
+    """The same choice as `_fold` without a group ever being one array: of the rows still open, those stay that clash with no open row before
+    them, and those that clash with one that stays go; repeated until none is open. Pairs meet over tiles; each round reads what the last one wrote."""
+    rest = [c for c in boxes.columns if c not in keys]
+    rows = cut(boxes.withColumn("row_", F.monotonically_increasing_id()).withColumn("rank_", F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], "row_")))
+    side = lambda name: tiled(rows.select(*keys, F.col("row_").alias(f"{name}_row"), F.col("rank_").alias(f"{name}_rank"), *[F.col(c).alias(f"{name}_{c}") for c in rest]), f"{name}_")
+    row = lambda name: {c: F.col(f"{name}_{c}") for c in rest}
+    met = side("a").join(side("b"), [*keys, "tile_x", "tile_y"])
+    pairs = cut(met.filter((F.col("b_rank") < F.col("a_rank")) & clashes(row("a"), row("b"))).select(F.col("a_row").alias("row_"), F.col("b_row").alias("before_")).distinct())
+    still, kept = rows.select("row_"), None
+    while True:
+        blocked = pairs.join(still, "row_", "left_semi").join(still.withColumnRenamed("row_", "before_"), "before_", "left_semi").select("row_").distinct()
+        stay = cut(still.join(blocked, "row_", "left_anti"))
+        kept = stay if kept is None else kept.unionByName(stay)
+        gone = pairs.join(stay.withColumnRenamed("row_", "before_"), "before_", "left_semi").select("row_").distinct()
+        still = cut(still.join(stay, "row_", "left_anti").join(gone, "row_", "left_anti"))
+        if still.isEmpty():
+            return rows.join(kept, "row_", "left_semi").select(*boxes.columns)
+
+
+def _greedy(boxes: DataFrame, keys: list[str], order: list[Column], clashes, cap: int | None = None) -> DataFrame:
+    """In order, a row stays unless it clashes with one that stays, up to `cap` rows of a group: small groups as arrays, large ones by rounds."""
+    large = cut(boxes.groupBy(*keys).agg(F.count("*").alias("n_")).filter(F.col("n_") > FOLD_MOST).drop("n_"))
+    if large.isEmpty():
+        return _fold(boxes, keys, order, clashes, cap)
+    many = _rounds(boxes.join(large, keys, "left_semi").select(*boxes.columns), keys, order, clashes)
+    if cap is not None:
+        many = many.withColumn("r_", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("r_") <= cap).drop("r_")
+    return _fold(boxes.join(large, keys, "left_anti").select(*boxes.columns), keys, order, clashes, cap).unionByName(many)
+
+
 def _box(r: Column) -> tuple:
     return tuple(r[c] for c in "xywh")
 
@@ -147,19 +183,19 @@ def _box(r: Column) -> tuple:
 def nms(boxes: DataFrame, least: float = 0.7, most_iou: float = 0.4, cap: int = 24) -> DataFrame:
     """Greedy suppression per scope by score; ties by box_id."""
     some = boxes.filter(F.col("score") >= least)
-    return _fold(some, ["scope"], [-F.col("score"), F.col("box_id")], lambda a, b: iou(_box(a), _box(b)) > most_iou, cap)
+    return _greedy(some, ["scope"], [-F.col("score"), F.col("box_id")], lambda a, b: iou(_box(a), _box(b)) > most_iou, cap)
 
 
 def dedupe_regions(boxes: DataFrame, most: float = 0.35) -> DataFrame:
     """Of boxes of one class that share over `most` of the smaller one's area, the likelier stays."""
     area = lambda r: r["w"] * r["h"]
-    return _fold(boxes, ["scope", "cls"], [-F.col("score"), F.col("box_id")], lambda a, b: intersection(_box(a), _box(b)) > most * F.least(area(a), area(b)))
+    return _greedy(boxes, ["scope", "cls"], [-F.col("score"), F.col("box_id")], lambda a, b: intersection(_box(a), _box(b)) > most * F.least(area(a), area(b)))
 
 
 def add_unless_overlapping(regions: DataFrame, boxes: DataFrame) -> DataFrame:
     """Regions, and boxes in order of `ord` that overlap neither a region nor a box added before."""
     both = regions.select("scope", F.lit(-1).alias("ord"), *"xywh").unionByName(boxes.select("scope", "ord", *"xywh"))
-    return _fold(both, ["scope"], [F.col(c) for c in ("ord", *"xywh")], lambda a, b: (a["ord"] >= 0) & overlaps(_box(a), _box(b)))
+    return _greedy(both, ["scope"], [F.col(c) for c in ("ord", *"xywh")], lambda a, b: (a["ord"] >= 0) & overlaps(_box(a), _box(b)))
 
 
 def union_box(df: DataFrame, *keys: str) -> DataFrame:

@@ -265,6 +265,18 @@ def _(spark, d):
     return rows.select("k", redact.apply_spans(F.col("text"), F.array(s("s1", "e1", "EMAIL_1"), s("s2", "e2", redact.REMOVED)), 27).alias("t"))
 
 
+#: An address in a field, and two in the text beside it.
+THREE = "SELECT c_custkey AS scope, 0 AS ord, 'el_1' AS id, 'textbox' AS role, 'input' AS tag, 'text' AS type, 'Mail' AS name, 'v' || CAST(c_custkey AS STRING) || '@example.com' AS value, 'first a' || CAST(c_custkey AS STRING) || '@example.com, then b' || CAST(c_custkey AS STRING) || '@example.com or v' || CAST(c_custkey AS STRING) || '@example.com' AS text, 0 AS x, 0 AS y, 9 AS w, 9 AS h, true AS visible, false AS offscreen, true AS enabled, CAST(NULL AS STRING) AS parent, CAST(NULL AS STRING) AS autocomplete, CAST(NULL AS STRING) AS placeholder, CAST(NULL AS STRING) AS label FROM {customer}"
+
+
+@query("w02_mint_order", "SELECT c_custkey AS scope, 'EMAIL_1' AS holds, 'first EMAIL_3, then EMAIL_2 or EMAIL_1' AS text FROM customer")
+def _(spark, d):
+    """Handles are numbered value before text, and within a string from the right; a value met again keeps its own."""
+    e = derived(spark, d, THREE)
+    hits = patterns.detect(e, ["scope", "id"]).select("scope", "id", "field", "start", "end", "cls", "p", F.lit("substitute").alias("fate"), F.lit(True).alias("anchored"))
+    return redact.redact(e, hits)[0].select("scope", "holds", "text")
+
+
 @query("p06_safe_to_echo", f"SELECT id, coalesce(role <> 'password' AND (tag = 'select' OR type IN ('checkbox', 'radio', 'search')), false) AS echo, role <> 'password' AND type NOT IN ('search', 'submit') AND length(name) > 0 AS ask FROM {_FORM}")
 def _(spark, d):
     c = F.col
